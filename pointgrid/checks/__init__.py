@@ -27,5 +27,5 @@ def check(key: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    for name in ("filters", "scalars", "stats", "voxels", "grids"):
+    for name in ("filters", "scalars", "stats", "voxels", "grids", "files", "neighbors", "placement", "graph", "panorama", "redaction", "merging", "doors"):
         importlib.import_module(f"{__name__}.{name}")

@@ -174,14 +174,15 @@ def _s2(v):
     return voxels.blacken_origin(grey, frame)
 
 
-def voxel_files(v):
+def voxel_files(v, store=lambda df: df):
     """Thresholded, rotated and trimmed voxels with their metadata (stage 2, 3D)."""
     ok, frame = frame_of(v, VOXEL_SCALE, None)
     pts = voxels.voxel_count(ok, frame)
     both = pts.withColumn("kind", F.lit("point")).unionByName(voxels.free_count(pts, frame).withColumn("kind", F.lit("free")))
-    kept = filters.threshold_voxels(both, voxels.voxel_stats(pts, ["scan_id"]), ["scan_id"])
+    kept = store(filters.threshold_voxels(both, voxels.voxel_stats(pts, ["scan_id"]), ["scan_id"]))
     rot = voxels.rotate_grid(kept.drop("n"), frame, rotations_of(v), "trunc")
-    return kept, *voxels.trim_voxels(rot, frame, MAP_SCALE)
+    vox, meta = voxels.trim_voxels(store(rot), frame, MAP_SCALE)
+    return kept, store(vox), store(meta)
 
 
 FILES = f"""{base_sql(VOXEL_SCALE, None)}, {COUNT}, st AS (SELECT scan_id, avg(n) m, stddev_samp(n) s FROM vx GROUP BY scan_id),

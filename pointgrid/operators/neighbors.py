@@ -12,11 +12,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from ..stages import cut, spread
 from .grids import offsets
 
+_NORMAL = T.StructType([T.StructField(n, T.DoubleType()) for n in ("nx", "ny", "nz", "curvature")])
+
 
 def cell_of(col: str, size: float) -> Column:
     return F.floor(F.col(col) / size)
@@ -89,7 +92,7 @@ def _moments(pairs: DataFrame, by: list[str]) -> DataFrame:
         "x", "y", "z")
 
 
-@F.pandas_udf("struct<nx:double,ny:double,nz:double,curvature:double>")
+@F.pandas_udf(_NORMAL)
 def _smallest_direction(xx, xy, xz, yy, yz, zz, x, y, z):  # noqa: ANN001
     import numpy as np
     import pandas as pd
@@ -116,16 +119,16 @@ def normals_radius(queries: DataFrame, points: DataFrame, r: float = 0.03, by: l
     return normals_of(covariance_radius(queries, points, r, by), by)
 
 
-def start_cell(data: DataFrame, k: int) -> float:
-    """Cube edge at which an average cube neighbourhood holds about ``k`` rows. Runs a job."""
-    s = data.agg(F.count("*").alias("n"), *[(F.max(a) - F.min(a)).alias(a) for a in "xyz"]).first()
+def start_cell(data: DataFrame, k: int, by: list[str]) -> float:
+    """Cube edge within which a point of an average group finds about ``k`` others. Runs a job."""
+    groups = F.countDistinct(*by) if by else F.lit(1)
+    s = data.agg(F.count("*").alias("n"), groups.alias("g"), *[(F.max(a) - F.min(a)).alias(a) for a in "xyz"]).first()
     spans = [v for v in (s["x"], s["y"], s["z"]) if v and v > 0]
     if not spans:
         return 1.0
     # Surfaces fill two dimensions of the box, so density is taken over the larger faces.
     top = sorted(spans)[-2:]
-    area = math.prod(top)
-    return max((area * k / max(1, s["n"]) / 9.0) ** (1.0 / len(top)), 1e-6)
+    return max((math.prod(top) * k * 1.5 / math.pi / max(1.0, s["n"] / s["g"])) ** (1.0 / len(top)), 1e-6)
 
 
 def knn(queries: DataFrame, points: DataFrame, k: int, by: list[str], cell: float | None = None,
@@ -138,10 +141,10 @@ def knn(queries: DataFrame, points: DataFrame, k: int, by: list[str], cell: floa
     """
     axes = ["x", "y", "z"]
     data = cut(positions(points, by), "knn-data")
-    cell = cell or start_cell(data, k)
-    group = data.groupBy(*by).agg(F.sum("n").alias("_all"), *[
-        (F.max(a) - F.min(a)).alias(f"_s{a}") for a in axes]).withColumn("_span", F.greatest("_sx", "_sy", "_sz")).select(
-        *by, "_all", "_span")
+    cell = cell or start_cell(data, k, by)
+    group = data.groupBy(*by).agg(F.sum("n").alias("_all"), F.greatest(*[F.max(a) - F.min(a) for a in axes]).alias("_span"))
+    if not by:
+        whole = group.first()
     waiting = queries.select(*by, "idx", *axes)
     done = None
     for _ in range(max_rounds):
@@ -154,7 +157,8 @@ def knn(queries: DataFrame, points: DataFrame, k: int, by: list[str], cell: floa
             "upto", F.sum("n").over(run)).where(F.col("upto") - F.col("n") < k).drop("_rn")
         best = cut(best, "knn")
         reach = best.groupBy(*by, "idx").agg(F.max("upto").alias("_got"))
-        full = reach.join(group, by).where(
+        known = reach.join(group, by) if by else reach.withColumns({"_all": F.lit(whole["_all"]), "_span": F.lit(whole["_span"])})
+        full = known.where(
             (F.col("_got") >= k) | (F.col("_got") >= F.col("_all")) | (F.lit(cell) > F.col("_span") * 2)).select(*by, "idx")
         part = best.join(full, by + ["idx"], "left_semi")
         done = part if done is None else done.unionByName(part)
@@ -214,7 +218,7 @@ def nearest(source: DataFrame, target: DataFrame, limit: float, by: list[str],
     return pairs.groupBy(*by, "idx").agg(F.min(F.struct("d2", "qx", "qy", "qz", *rest)).alias("p")).select(*by, "idx", "p.*")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _rigid_fit(cov, src, dst):  # noqa: ANN001
     """Best rotation and shift from a 3x3 cross-covariance and two centroids."""
     import numpy as np

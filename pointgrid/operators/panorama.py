@@ -52,16 +52,18 @@ def reproject(keypoints: DataFrame, pano: DataFrame, pairs: DataFrame, rows: int
         (c + s).alias(f"u{a}") for c, s, a in zip(turned, shift, "xyz")])
     px, py, radius = G.pano_xy(G.flip_y(G.vec("u")), cols, rows)
     p = p.select("*", px.alias("bx"), py.alias("by"), radius.alias("radius"))
-    p = p.where((F.col("bx") >= 0) & (F.col("bx") < cols) & (F.col("by") >= 0) & (F.col("by") < rows))
     p = p.withColumn("row", G.trunc(F.col("by"))).withColumn("col", G.trunc(F.col("bx")))
     there = pano.select(F.col("scan_id").alias("dst"), "row", "col", F.col("depth").cast("double").alias("true_r"),
                         F.col("ave_depth").alias("ave_dst"), *[F.col(f"n{a}").cast("double").alias(f"d{a}") for a in "xyz"])
     p = p.join(there, ["dst", "row", "col"])
     seen = G.flip_y(G.rotate(G.flip_y(G.vec("d")), F.col("unturn")))
-    p = p.where(
-        (G.angle(G.vec("w"), G.vec("u")) <= MAX_ANGLE) & (F.abs(F.col("radius") - F.col("true_r")) <= MAX_DEPTH_GAP)
-        & (F.abs(F.col("ave_src") - F.col("r")) <= MAX_DEPTH_GAP)
-        & (F.abs(F.col("true_r") - F.col("ave_dst")) <= MAX_DEPTH_GAP) & (G.angle(G.vec("s"), seen) <= MAX_ANGLE))
+    # One predicate over both sides: the gates stay above the join and are evaluated once.
+    outside = F.when((F.col("bx") < 0) | (F.col("by") < 0), F.lit(2.0)).otherwise(F.lit(0.0))
+    worst = F.greatest(
+        outside, G.angle(G.vec("w"), G.vec("u")) / MAX_ANGLE, G.angle(G.vec("s"), seen) / MAX_ANGLE,
+        F.abs(F.col("radius") - F.col("true_r")) / MAX_DEPTH_GAP, F.abs(F.col("ave_src") - F.col("r")) / MAX_DEPTH_GAP,
+        F.abs(F.col("true_r") - F.col("ave_dst")) / MAX_DEPTH_GAP)
+    p = p.where(worst <= 1.0)
     return p.select("pair", "src", "dst", "kp_id", *[f"v{a}" for a in "xyz"], *[f"u{a}" for a in "xyz"],
                     patch_level(F.col("r"), F.col("radius")).alias("src_level"),
                     patch_level(F.col("radius"), F.col("r")).alias("dst_level"), "bx", "by", "radius", "true_r")

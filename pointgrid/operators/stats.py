@@ -40,42 +40,29 @@ def dominant_of_counts(counts: DataFrame, by: list[str], tol: float = 0.03) -> D
     strips of width ``tol``: a neighbourhood reaches only the adjacent strips, so
     each strip is sorted on its own and groups of any size stay distributed.
     """
-    strip = F.floor(F.col("v") / tol)
-    base = counts.select(*by, "v", "n", strip.alias("b"))
-    # Per strip: edge probes v-tol and v+tol count the mass before them.
-    probes = base.select(
-        *by, F.col("v").alias("own"),
-        F.explode(F.array(
-            F.struct(F.lit(0).alias("kind"), F.col("v").alias("at"), F.col("n").alias("n")),
-            F.struct(F.lit(1).alias("kind"), (F.col("v") + tol).alias("at"), F.lit(0).cast("long").alias("n")),
-            F.struct(F.lit(-1).alias("kind"), (F.col("v") - tol).alias("at"), F.lit(0).cast("long").alias("n")),
-        )).alias("e"),
-    ).select(*by, "own", "e.*", F.floor(F.col("e.at") / tol).alias("b"))
+    # Each value is a row that counts, and two probes that ask how much lies before them.
+    probe = lambda kind, at, n: F.struct(F.lit(kind).alias("kind"), at.alias("at"), n.cast("long").alias("n"))
+    v = F.col("v")
+    rows = counts.select(*by, v.alias("own"), F.explode(F.array(
+        probe(0, v, F.col("n")), probe(1, v + tol, F.lit(0)), probe(-1, v - tol, F.lit(0)))).alias("e"))
+    rows = rows.select(*by, "own", "e.*", F.floor(F.col("e.at") / tol).alias("b"))
     # Mass below an upper probe excludes ties; below a lower probe it includes them.
-    order = F.when(F.col("kind") == 0, 0).otherwise(-F.col("kind"))
-    inside = W.partitionBy(*by, "b").orderBy("at", order)
+    inside = W.partitionBy(*by, "b").orderBy("at", F.when(F.col("kind") == 0, 0).otherwise(-F.col("kind")))
     run = inside.rowsBetween(W.unboundedPreceding, 0)
-    ranked = probes.select(
-        *by, "own", "kind", "b",
-        F.sum("n").over(run).alias("below"),
-        F.sum(F.col("n") * F.col("at")).over(run).alias("sum_below"),
-    ).where("kind <> 0")
-    strips = base.groupBy(*by, "b").agg(
-        F.sum("n").alias("sn"), F.sum(F.col("n") * F.col("v")).alias("sv"))
-    # A neighbourhood spans at most the strips between its two probes.
-    low = ranked.where("kind = -1").select(*by, "own", F.col("b").alias("b0"),
-                                           F.col("below").alias("n0"), F.col("sum_below").alias("s0"))
-    high = ranked.where("kind = 1").select(*by, "own", F.col("b").alias("b1"),
-                                           F.col("below").alias("n1"), F.col("sum_below").alias("s1"))
-    spans = low.join(high, by + ["own"]).withColumn(
-        "b", F.explode(F.when(F.col("b1") > F.col("b0"), F.sequence("b0", F.col("b1") - 1))
-                       .otherwise(F.array(F.lit(None).cast("long")))))
-    full = spans.join(strips, by + ["b"], "left").groupBy(*by, "own", "n0", "s0", "n1", "s1").agg(
-        F.coalesce(F.sum("sn"), F.lit(0)).alias("mid_n"), F.coalesce(F.sum("sv"), F.lit(0.0)).alias("mid_s"))
-    support = F.col("mid_n") + F.col("n1") - F.col("n0")
-    total = F.col("mid_s") + F.col("s1") - F.col("s0")
-    return full.groupBy(*by).agg(
-        F.max(F.struct(support.alias("support"), (-F.col("own")).alias("k"), total.alias("total"))).alias("best")
+    mass = F.col("n") * F.col("at")
+    ranked = rows.withColumn("below", F.sum("n").over(run)).withColumn("sum_below", F.sum(mass).over(run)).where("kind <> 0")
+    # One row per strip and group, so the running total over strips stays small.
+    strips = rows.groupBy(*by, "b").agg(F.sum("n").alias("sn"), F.sum(mass).alias("sv"))
+    before = W.partitionBy(*by).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0.0)
+    strips = strips.select(*by, "b", F.coalesce(F.sum("sn").over(before), F.lit(0)).alias("pn"),
+                           F.coalesce(F.sum("sv").over(before), zero).alias("ps"))
+    side = F.col("kind")
+    spans = ranked.join(strips, by + ["b"]).groupBy(*by, "own").agg(
+        F.sum((F.col("below") + F.col("pn")) * side).alias("support"),
+        F.sum((F.col("sum_below") + F.col("ps")) * side).alias("total"))
+    return spans.groupBy(*by).agg(
+        F.max(F.struct("support", (-F.col("own")).alias("k"), "total")).alias("best")
     ).select(*by, (-F.col("best.k")).alias("centre"), F.col("best.support").alias("support"),
              (F.col("best.total") / F.col("best.support")).alias("dominant"))
 

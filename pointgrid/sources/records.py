@@ -50,7 +50,7 @@ def write_transforms(df: DataFrame, path: str) -> None:
 
 def read_transforms(spark: SparkSession, path: str, stage: str = "after") -> DataFrame:
     """``scan_id, m`` of one stage from transform texts (32 numbers per file)."""
-    df = spark.read.option("wholetext", True).text(path)
+    df = spark.read.text(path, wholetext=True)
     numbers = F.transform(F.regexp_extract_all("value", F.lit(f"({NUMBER})"), 1), lambda v: v.cast("double"))
     first = 1 if stage == "before" else 17
     return df.select("scan_id", F.slice(numbers, first, 16).alias("m"))
