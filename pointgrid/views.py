@@ -42,7 +42,7 @@ FROM {events}"""),
     "v_place": ("orders", """
 SELECT o_orderkey AS cand_id, CAST(o_custkey % 10 AS INT) AS scan_id,
        CAST(o_orderkey % 4 AS INT) AS rot, CAST((o_orderkey * 13) % 200 AS INT) AS x,
-       CAST((o_orderkey * 29) % 150 AS INT) AS y, round(o_totalprice / 500000, 6) AS score
+       CAST((o_orderkey * 29) % 150 AS INT) AS y, floor(o_totalprice * 2 + 0.500001) / 1000000 AS score
 FROM {orders}"""),
     "v_rects": ("supplier", """
 SELECT CAST(s_suppkey AS INT) AS rect_id, CAST(s_suppkey % 8 AS INT) AS scan_id,
