@@ -21,8 +21,8 @@ def plan_of(v):
 
 
 def templates_of(v, level: int = 3, side: int = 13):
-    """Pooled copies of every grid in four quarter turns."""
-    p = grids.pyramid(v.grid.where(F.col("value").isNotNull()), level, ["scan_id"]).where(F.col("level") == level)
+    """Block means of every grid in four quarter turns."""
+    p = grids.block_mean(v.grid, ["scan_id"], 2**level)
     r, c = F.col("row"), F.col("col")
     turns = F.array(*[F.struct(F.lit(k).alias("rot"), a.alias("row"), b.alias("col")) for k, (a, b) in enumerate(
         [(r, c), (side - 1 - c, r), (side - 1 - r, side - 1 - c), (c, side - 1 - r)])])
@@ -30,9 +30,9 @@ def templates_of(v, level: int = 3, side: int = 13):
 
 
 PLAN = """pl AS (SELECT "row", col, max(value) AS value FROM v_grid WHERE value IS NOT NULL GROUP BY ALL),
- pw AS (SELECT scan_id, CAST("row" >> 3 AS INT) r, CAST(col >> 3 AS INT) c, max(value) AS value FROM v_grid WHERE value IS NOT NULL GROUP BY ALL),
+ pw AS (SELECT scan_id, CAST("row" >> 3 AS INT) r, CAST(col >> 3 AS INT) c, avg(value) AS value FROM v_grid WHERE value <> 0 GROUP BY ALL),
  tp AS (SELECT scan_id, 0 rot, r, c, value FROM pw UNION ALL SELECT scan_id, 1, 12 - c, r, value FROM pw UNION ALL SELECT scan_id, 2, 12 - r, 12 - c, value FROM pw UNION ALL SELECT scan_id, 3, c, 12 - r, value FROM pw),
- tm AS (SELECT scan_id, rot, r, c, CASE WHEN value > 0.75 THEN value ELSE 0 END s, CASE WHEN value > 0.6 THEN value ELSE 0 END e FROM tp WHERE value > 0.2),
+ tm AS (SELECT scan_id, rot, r, c, CASE WHEN value > 0.25 THEN value ELSE 0 END s, CASE WHEN value > 0.2 THEN value ELSE 0 END e FROM tp WHERE value > 0.05),
  mm AS (SELECT scan_id, rot, count(*) n_mask, sum(s) scan_mass FROM tm GROUP BY ALL),
  pc AS (SELECT "row", col, CASE WHEN value > 0.4 THEN value ELSE 0 END p, CASE WHEN value > 0.3 THEN value ELSE 0 END pe FROM pl),
  ex AS (SELECT scan_id, rot, max(r) + 1 AS rows, max(c) + 1 AS cols FROM tm GROUP BY ALL),
@@ -44,7 +44,7 @@ PLAN = """pl AS (SELECT "row", col, max(value) AS value FROM v_grid WHERE value
 
 def correlation(v):
     t = templates_of(v)
-    tmpl = placement.template(t.where("value > 0.75"), t.where("value > 0.6"), t.where("value > 0.2"))
+    tmpl = placement.template(t.where("value > 0.25"), t.where("value > 0.2"), t.where("value > 0.05"))
     p = plan_of(v)
     sheet = placement.sheet(p.where("value > 0.4"), p.where("value > 0.3"), p)
     size = tmpl.groupBy(*KEY).agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"))
@@ -77,7 +77,7 @@ def _e24(v):
 @check("d15_mass_under_mask", S(f"WITH {PLAN} SELECT scan_id, rot, n_mask, {s4('scan_mass')} AS scan_mass FROM mm", "v_grid"))
 def _d15(v):
     t = templates_of(v)
-    return placement.mass_under_mask(placement.template(t.where("value > 0.75"), t.where("value > 0.6"), t.where("value > 0.2"))).withColumn(
+    return placement.mass_under_mask(placement.template(t.where("value > 0.25"), t.where("value > 0.2"), t.where("value > 0.05"))).withColumn(
         "scan_mass", r4("scan_mass"))
 
 
@@ -141,9 +141,9 @@ def _e19(v):
 
 
 def _small_scans(v):
-    """Pooled grids as scans (25 x 25) with their masks."""
+    """Brightened block means as scans (25 x 25) with their masks."""
     t = templates_of(v, 2, 25)
-    return t, t.select(*KEY, "row", "col", F.lit(1.0).alias("value"))
+    return t.withColumn("value", F.least(F.col("value") * 2, F.lit(1.0))), t.select(*KEY, "row", "col", F.lit(1.0).alias("value"))
 
 
 @check("k01_place_scans")

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import filters, grids, stats, voxels
+from ..stages import cut
 from ..stages import rounded as r4
 from ..stages import rounded_sql as s4
 from ..views import with_views as S
@@ -213,7 +214,7 @@ def _agreement_input(v):
     ok, frame = frame_of(v, VOXEL_SCALE, None)
     pts = voxels.voxel_count(ok, frame)
     both = pts.withColumn("kind", F.lit("point")).unionByName(voxels.free_count(pts, frame).withColumn("kind", F.lit("free")))
-    vox = both.select("scan_id", F.lit(0).alias("rot"), "kind", "vx", "vy", "vz")
+    vox = cut(both.select("scan_id", F.lit(0).alias("rot"), "kind", "vx", "vy", "vz"), "voxels")
     size = frame.select("scan_id", "nx", "ny", "nz")
     right = size.select((F.col("scan_id") - 1).alias("scan_id"), *[F.col(f"n{a}").alias(f"m{a}") for a in "xyz"])
     p = size.join(right, "scan_id")

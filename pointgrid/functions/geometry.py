@@ -102,11 +102,12 @@ def inverse3(m: Column) -> Column:
 
 
 def multiply(a: Column, b: Column, n: int) -> Column:
-    """Product of two n x n matrices."""
-    return F.array(*[
-        sum((a[n * i + k] * b[n * k + j] for k in range(1, n)), a[n * i] * b[j])
-        for i in range(n) for j in range(n)
-    ])
+    """Product of two n x n matrices, cell by cell."""
+    def cell(k: Column) -> Column:
+        row, col = F.floor(k / n) * n, k % n
+        return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0.0), lambda s, i: s + F.get(a, (row + i).cast("int")) * F.get(b, (i * n + col).cast("int")))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), cell)
 
 
 def transform4(v: Vec, m: Column) -> Vec:

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions.colour import free_grey, point_grey
 from ..functions.weights import sigmoid_weight
-from ..stages import spread
-from .grids import offsets
+from ..stages import cut, spread
 
 SLABS = 100
 FOLD_CHUNK = 4096
@@ -128,22 +127,24 @@ def rotate_grid(voxels: DataFrame, frame: DataFrame, rotations: DataFrame, mode:
 
     A target cell t reads the source cell at round(R (t - z1) + z0) (``trunc`` mode:
     truncated). Instead of visiting every target cell, each source voxel proposes the
-    27 cells around its own image and keeps those that really read it, so the work
-    follows the occupied voxels and nothing is joined or shuffled but the voxel rows.
+    cells inside the bounding box of its own image (two on average for an upright
+    rotation) and keeps those that really read it, so the work follows the occupied
+    voxels and nothing is joined or shuffled but the voxel rows.
     """
     extra = [c for c in voxels.columns if c not in ("scan_id", "vx", "vy", "vz")]
     rot = rotations.select("scan_id", "rot", "m", G.inverse3(F.col("m")).alias("mi"))
-    v = voxels.join(frame.join(rot, "scan_id"), "scan_id")
+    reach = [(F.abs(r[0]) + F.abs(r[1]) + F.abs(r[2])) * 0.5 + 1e-6 for r in G.rows3(F.col("mi"))]
+    turned = frame.join(rot, "scan_id").select("*", *[h.alias(f"h{a}") for h, a in zip(reach, "xyz")])
+    v = voxels.join(turned, "scan_id")
     z0 = tuple(F.col(f"o{a}") for a in "xyz")
     z1 = (F.col("ox") + F.col("dx"), F.col("oy") + F.col("dy"), F.col("oz"))
     centre = 0.0 if mode == "round" else 0.5
     image = G.plus(G.rotate(tuple(F.col(f"v{a}") + centre - o for a, o in zip("xyz", z0)), F.col("mi")), z1)
-    v = v.select("*", *[F.rint(c).cast("int").alias(f"c{a}") for c, a in zip(image, "xyz")])
-    near = [F.struct(*[F.lit(d).alias(n) for d, n in zip(o, "xyz")]) for o in offsets(1, 3)]
-    v = v.withColumn("o", F.explode(F.array(*near)))
-    v = v.select("*", *[(F.col(f"c{a}") + F.col(f"o.{a}")).alias(f"t{a}") for a in "xyz"])
-    v = v.where((F.col("tx") >= 0) & (F.col("tx") < F.col("side")) & (F.col("ty") >= 0)
-                & (F.col("ty") < F.col("side")) & (F.col("tz") >= 0) & (F.col("tz") < F.col("nz")))
+    v = v.select("*", *[c.alias(f"c{a}") for c, a in zip(image, "xyz")])
+    for a, size in (("x", "side"), ("y", "side"), ("z", "nz")):
+        low = F.greatest(F.ceil(F.col(f"c{a}") - F.col(f"h{a}")), F.lit(0)).cast("int")
+        high = F.least(F.floor(F.col(f"c{a}") + F.col(f"h{a}")), F.col(size) - 1).cast("int")
+        v = v.withColumn(f"t{a}", F.explode(F.when(low <= high, F.sequence(low, high))))
     src = G.plus(G.rotate(tuple(F.col(f"t{a}") - z for a, z in zip("xyz", z1)), F.col("m")), z0)
     hit = F.lit(True)
     for s, a in zip(src, "xyz"):
@@ -213,43 +214,55 @@ def trim_voxels(voxels: DataFrame, frame: DataFrame, px_per_m: float) -> tuple[D
     return cut_v.select(*by, "kind", "vx", "vy", "vz"), meta
 
 
+def voxel_marks(voxels: DataFrame, reach: int) -> DataFrame:
+    """One row per voxel with marks: ``p`` point, ``f`` free, ``d`` near a point of its slab."""
+    byte = lambda v: F.lit(v).cast("byte")
+    keys = ["scan_id", "rot", "vx", "vy", "vz"]
+    is_point = F.col("kind") == "point"
+    step = F.sequence(F.lit(-reach), F.lit(reach))
+    none = F.array(F.lit(0))
+    own = F.when(is_point, byte(1)).otherwise(byte(0))
+    e = voxels.select(*keys, is_point.alias("_pt"), own.alias("p"), (1 - own).cast("byte").alias("f")).withColumn(
+        "_i", F.explode(F.when(F.col("_pt"), step).otherwise(none))).withColumn("_j", F.explode(F.when(F.col("_pt"), step).otherwise(none)))
+    home = (F.col("_i") == 0) & (F.col("_j") == 0)
+    return e.select(
+        "scan_id", "rot", (F.col("vx") + F.col("_i")).alias("vx"), (F.col("vy") + F.col("_j")).alias("vy"), "vz",
+        F.when(home, F.col("p")).otherwise(byte(0)).alias("p"), F.when(home, F.col("f")).otherwise(byte(0)).alias("f"), F.col("p").alias("d"),
+    ).groupBy(*keys).agg(*[F.max(c).alias(c) for c in "pfd"])
+
+
 def voxel_agreement(pairs: DataFrame, voxels: DataFrame, reach: int = 2) -> DataFrame:
     """Point and free-space agreement of node pairs inside their overlap.
 
     ``pairs`` has ``a, b``, the scan and rotation of both sides and ``box_a, box_b``
-    (overlap relative to each side). Both sides' voxels are moved into the frame of
-    the overlap, tagged and counted by one aggregation per (pair, voxel), so there is
-    no voxel-to-voxel join. A point counts as agreeing when the other side has a point
-    within ``reach`` cells in the same slab. Slabs empty on one side are skipped.
+    (overlap relative to each side). Voxels are marked once per scan and rotation,
+    moved into the frame of the overlap and counted by one aggregation per (pair,
+    voxel), so there is no voxel-to-voxel join. A point counts as agreeing when the
+    other side has a point within ``reach`` cells in the same slab. Slabs empty on one
+    side are skipped. Runs a job.
     """
+    marks = cut(voxel_marks(voxels, reach), "marks")
+
     def side(s: str) -> DataFrame:
         p = pairs.select("a", "b", F.col(f"scan_{s}").alias("scan_id"), F.col(f"rot_{s}").alias("rot"),
                          F.col(f"box_{s}").alias("box"))
-        v = p.join(voxels, ["scan_id", "rot"])
-        rel = [(F.col(f"v{n}") - F.col(f"box.{n}1")).alias(f"u{n}") for n in "xyz"]
-        return v.select("a", "b", "kind", *rel, *[(F.col(f"box.{n}2") - F.col(f"box.{n}1")).alias(f"m{n}") for n in "xyz"])
-
-    def flags(s: str) -> DataFrame:
-        v = side(s).where((F.col("uz") >= 0) & (F.col("uz") <= F.col("mz")))
-        steps = F.sequence(F.lit(-reach), F.lit(reach))
-        near = v.where("kind = 'point'").withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
-        near = near.select("a", "b", "mx", "my", (F.col("ux") + F.col("i")).alias("ux"),
-                           (F.col("uy") + F.col("j")).alias("uy"), "uz", F.lit(f"d{s}").alias("f"))
-        own = v.select("a", "b", "mx", "my", "ux", "uy", "uz",
-                       F.when(F.col("kind") == "point", f"p{s}").otherwise(f"f{s}").alias("f"))
-        return near.unionByName(own).where(
-            (F.col("ux") >= 0) & (F.col("ux") <= F.col("mx")) & (F.col("uy") >= 0) & (F.col("uy") <= F.col("my")))
+        v = p.join(marks, ["scan_id", "rot"])
+        for n in "xyz":
+            v = v.where(F.col(f"v{n}").between(F.col(f"box.{n}1"), F.col(f"box.{n}2")))
+        own, other = ("a", "b") if s == "a" else ("b", "a")
+        none = F.lit(0).cast("byte")
+        return v.select("a", "b", *[(F.col(f"v{n}") - F.col(f"box.{n}1")).alias(f"u{n}") for n in "xyz"],
+                        *[F.col(c).alias(f"{c}{own}") for c in "pfd"], *[none.alias(f"{c}{other}") for c in "pfd"])
 
     names = ["pa", "pb", "fa", "fb", "da", "db"]
-    cell = flags("a").unionByName(flags("b")).groupBy("a", "b", "uz", "ux", "uy").agg(
-        *[F.max((F.col("f") == n).cast("int")).alias(n) for n in names])
+    cell = side("a").unionByName(side("b")).groupBy("a", "b", "uz", "ux", "uy").agg(*[F.max(n).cast("int").alias(n) for n in names])
     both = lambda x, y: F.sum(F.col(x) * F.col(y))
     slab = cell.groupBy("a", "b", "uz").agg(
         F.sum(F.greatest(F.col("da") * F.col("pb"), F.col("pa") * F.col("db"))).alias("agree"),
         both("pa", "fb").alias("free_a"), both("pb", "fa").alias("free_b"), both("fa", "fb").alias("free_cross"),
         F.sum("pa").alias("total_a"), F.sum("pb").alias("total_b"),
         F.sum(F.col("pa") + F.col("pb") + F.col("fa") + F.col("fb")).alias("total"))
-    used = voxels.select("scan_id", "rot", "vz").distinct()
+    used = marks.select("scan_id", "rot", "vz").distinct()
 
     def filled(s: str) -> DataFrame:
         p = pairs.select("a", "b", F.col(f"scan_{s}").alias("scan_id"), F.col(f"rot_{s}").alias("rot"),
