@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters, grids, placement
 from ..plans import placing
+from ..stages import cut
 from ..stages import rounded as r4
 from ..stages import rounded_sql as s4
 from ..views import with_views as S
@@ -48,7 +49,7 @@ def correlation(v):
     p = plan_of(v)
     sheet = placement.sheet(p.where("value > 0.4"), p.where("value > 0.3"), p)
     size = tmpl.groupBy(*KEY).agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"))
-    return placement.correlate(placement.initial_candidates(size, 100, 100), tmpl, sheet)
+    return placement.correlate(placement.initial_candidates(size, 100, 100), cut(tmpl, "template"), cut(sheet, "sheet"))
 
 
 SUMS = ("plan_mass", "scan_mass", "scan_fp", "fp_scan")

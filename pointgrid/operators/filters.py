@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..stages import measured
 
 MIN_INTENSITY = 0.01
 AXES = ("x", "y", "z")
@@ -38,7 +39,7 @@ def in_box(points: DataFrame, box: DataFrame, by: list[str], min_intensity: floa
         keep = keep & F.col(a).between(F.col(f"{a}0"), F.col(f"{a}1"))
     if min_intensity is not None:
         keep = keep & (F.col("intensity") >= min_intensity)
-    return points.join(box, by).where(keep).select(*[points[c] for c in points.columns])
+    return points.join(measured(box), by).where(keep).select(*[points[c] for c in points.columns])
 
 
 def finite_normals(df: DataFrame) -> DataFrame:
@@ -83,14 +84,14 @@ def drop_outliers(df: DataFrame, value: str, by: list[str], k: float = 1.0) -> D
     """Keep values within ``k`` deviations of their group's mean."""
     stats = df.groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
     keep = F.abs(F.col(value) - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0)) <= k
-    return df.join(stats, by).where(keep).select(*[df[c] for c in df.columns])
+    return df.join(measured(stats), by).where(keep).select(*[df[c] for c in df.columns])
 
 
 def threshold_voxels(voxels: DataFrame, stats: DataFrame, by: list[str], k: float = -1.0) -> DataFrame:
     """Voxels whose count is not far below average. ``stats`` always come from the
     point voxels, also when free-space voxels are filtered."""
     z = (F.col("n") - F.col("mean_n")) / F.nullif(F.col("sigma_n"), F.lit(0.0))
-    return voxels.join(stats, by).where(z > k).select(*[voxels[c] for c in voxels.columns])
+    return voxels.join(measured(stats), by).where(z > k).select(*[voxels[c] for c in voxels.columns])
 
 
 def clip(df: DataFrame, bounds: dict[str, tuple]) -> DataFrame:

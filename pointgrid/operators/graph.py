@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions import geometry as G
 from ..functions.weights import clamp, clamped_norm, gaussian_weight, node_weight
-from ..stages import cut, ranked
+from ..stages import cut, measured, ranked, spread
 
 # Fixed values of the labelling model.
 UNARY_WEIGHT, NO_LABEL_UNARY, NO_LABEL_PAIR = 0.75, -1.0, -10.0
@@ -33,14 +33,14 @@ def top_fraction(df: DataFrame, by: list[str], order: list[str], f: float = 0.7)
     """First trunc(f n) + 1 rows of each group, by distributed rank. Runs a job."""
     r = ranked(df, order, by)
     size = df.groupBy(*by).agg(F.count("*").alias("_n"))
-    return r.join(size, by).where(F.col("rank") <= (F.col("_n") * f).cast("long") + 1).select(*df.columns)
+    return r.join(measured(size), by).where(F.col("rank") <= (F.col("_n") * f).cast("long") + 1).select(*df.columns)
 
 
 def normalise_nodes(placements: DataFrame) -> DataFrame:
     """Adds ``w = 1 - score`` and its z-score within the scan."""
     p = placements.withColumn("w", node_weight(F.col("score")))
     s = p.groupBy("scan_id").agg(F.avg("w").alias("_m"), F.stddev_samp("w").alias("_s"))
-    return p.join(s, "scan_id").withColumn("nw", (F.col("w") - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))).drop("_m", "_s")
+    return p.join(measured(s), "scan_id").withColumn("nw", (F.col("w") - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))).drop("_m", "_s")
 
 
 def select_nodes(placements: DataFrame, order: list[str], n: int = NODES_PER_SCAN) -> DataFrame:
@@ -65,6 +65,7 @@ def overlap_pairs(nodes: DataFrame, tile: int = 64) -> DataFrame:
     laid = nodes.where((F.col("box.x1") <= F.col("box.x2")) & (F.col("box.y1") <= F.col("box.y2"))).select(
         "node_id", "scan_id", "rot", "box", F.explode(F.sequence(t("x1"), t("x2"))).alias("tx"), t("y1").alias("_y1"), t("y2").alias("_y2"))
     laid = laid.withColumn("ty", F.explode(F.sequence("_y1", "_y2"))).drop("_y1", "_y2")
+    laid = spread(laid, "tx", "ty")
     side = lambda s: laid.select("tx", "ty", *[F.col(c).alias(f"{n}_{s}") for c, n in (
         ("node_id", "node"), ("scan_id", "scan_id"), ("rot", "rot"), ("box", "full"))])
     p = side("a").join(side("b"), ["tx", "ty"]).where(
@@ -125,7 +126,7 @@ def normalise_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     real = lambda c: F.when(F.col(c) != 0, F.col(c))
     s = e.groupBy("_scan").agg(
         *[f for c in ("w", "pano_w") for f in (F.avg(real(c)).alias(f"m_{c}"), F.stddev_samp(real(c)).alias(f"s_{c}"))])
-    e = e.join(s, "_scan")
+    e = e.join(measured(s), "_scan")
 
     def norm(c: str, centre: tuple[float, float]) -> Column:
         ok = (F.col(c) != 0) & (F.col(f"s_{c}") > 0)

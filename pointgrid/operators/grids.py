@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import geometry as G
-from ..stages import cut
+from ..stages import cut, measured
 
 FILL_BLOCK = 4096
 
@@ -49,7 +49,7 @@ def cells_to_grey(cells: DataFrame, by: list[str]) -> DataFrame:
     top = cells.groupBy(*by).agg(F.max("value").alias("_top"))
     rest = [c for c in cells.columns if c != "value"]
     grey = G.trunc(255.0 - F.col("value") * 255.0 / F.nullif(F.col("_top"), F.lit(0.0)))
-    return cells.join(top, by).select(*[cells[c] for c in rest], grey.alias("grey"))
+    return cells.join(measured(top), by).select(*[cells[c] for c in rest], grey.alias("grey"))
 
 
 def rasterise(points: DataFrame, rows: int, cols: int, by: list[str]) -> DataFrame:
@@ -101,7 +101,7 @@ def extent(cells: DataFrame, by: list[str]) -> DataFrame:
 
 def trim(cells: DataFrame, ext: DataFrame, by: list[str]) -> DataFrame:
     """Cells inside the extent, moved to its corner."""
-    t = cells.join(ext, by).where(
+    t = cells.join(measured(ext), by).where(
         F.col("row").between(F.col("min_row"), F.col("max_row")) & F.col("col").between(F.col("min_col"), F.col("max_col")))
     rest = [c for c in cells.columns if c not in ("row", "col")]
     return t.select(*rest, (F.col("row") - F.col("min_row")).alias("row"), (F.col("col") - F.col("min_col")).alias("col"))
@@ -221,13 +221,13 @@ def fill_gaps(cells: DataFrame, by: list[str], limit: int = 15, chained: bool =
     ``(by, row, col, value)`` and complete.
     """
     size = cells.groupBy(*by).agg((F.max("row") + 1).alias("_rows"), (F.max("col") + 1).alias("_cols"))
-    out = cells.join(size, by).withColumn("_orig", F.col(value))
+    out = cells.join(measured(size), by).withColumn("_orig", F.col(value))
     row_major = F.col("row").cast("long") * F.col("_cols") + F.col("col")
     col_major = F.col("col").cast("long") * F.col("_rows") + F.col("row")
     source = value if chained else "_orig"
     if chained:
         out = cut(out, "gaps")
-    plain = None if chained else _ends(out, by, [row_major, col_major], source)
+    plain = None if chained else measured(_ends(out, by, [row_major, col_major], source))
     for k, (pos, forward) in enumerate([(row_major, True), (row_major, False), (col_major, True), (col_major, False)]):
         ends = _ends(out, by, [row_major, col_major], source) if chained else plain
         o = k // 2

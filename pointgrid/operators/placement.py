@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from ..functions import geometry as G
 from ..functions.weights import placement_score
-from ..stages import spread
+from ..stages import measured, spread
 
 # Fixed values of the candidate search.
 SEARCH_REACH = 2                                        # inner square: 5 x 5
@@ -69,7 +69,7 @@ def correlate(cands: DataFrame, tmpl: DataFrame, plan: DataFrame, by: list[str]
     by = by or KEY
     salt = F.pmod(F.xxhash64("x", "y"), F.lit(SALTS)).cast("int")
     t = tmpl.select(*by, "row", "col", "s", "e").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    c = cands.select(*by, "x", "y").withColumn("_salt", salt)
+    c = spread(cands.select(*by, "x", "y").withColumn("_salt", salt), *by, "_salt")
     shifted = c.join(t, by + ["_salt"]).select(
         *by, "x", "y", (F.col("row") + F.col("y")).alias("row"), (F.col("col") + F.col("x")).alias("col"), "s", "e")
     hit = shifted.join(plan, ["row", "col"])
@@ -165,7 +165,7 @@ def adaptive_minima(scores: DataFrame, group: list[str], by: list[str], half: Co
     Being a minimum does not depend on the cutoff, so the minima are found once and
     counted per cutoff; the last cutoff applies when none admits enough.
     """
-    stats = scores.groupBy(*group).agg((F.avg("score") - F.stddev_samp("score") * bias).alias("base"))
+    stats = measured(scores.groupBy(*group).agg((F.avg("score") - F.stddev_samp("score") * bias).alias("base")))
     mins = local_minima(scores, by, half).join(stats, group)
     limit = lambda k: F.col("base") + k * CUTOFF_STEP
     guess = F.greatest(F.floor((F.col("score") - F.col("base")) / CUTOFF_STEP) - 1, F.lit(0))

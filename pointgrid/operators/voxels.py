@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions.colour import free_grey, point_grey
 from ..functions.weights import sigmoid_weight
-from ..stages import cut, spread
+from ..stages import cut, measured, spread
 
 SLABS = 100
 FOLD_CHUNK = 4096
@@ -25,7 +25,7 @@ def grid_frame(box: DataFrame, scale: float, slabs: int | None = SLABS) -> DataF
 
     With ``slabs`` the height is cut into that many layers, otherwise the vertical
     scale equals ``scale``. ``side`` is the edge of the square that holds any
-    rotation, ``dx, dy`` the margins added around the grid.
+    rotation, ``dx, dy`` the margins added around the grid. The frame is stored.
     """
     size = lambda a, s: (s * (F.col(f"{a}1") - F.col(f"{a}0"))).cast("int")
     df = box.withColumn("zs", F.lit(float(slabs)) / (F.col("z1") - F.col("z0")) if slabs else F.lit(float(scale)))
@@ -33,13 +33,13 @@ def grid_frame(box: DataFrame, scale: float, slabs: int | None = SLABS) -> DataF
     df = df.withColumn("nz", F.lit(slabs) if slabs else size("z", F.col("zs")))
     side = (F.lit(math.sqrt(2.0)) * F.greatest("nx", "ny")).cast("int")
     df = df.withColumn("side", side)
-    return df.select(
+    return measured(df.select(
         "scan_id", "x0", "y0", "z0", "zs", "nx", "ny", "nz", "side",
         ((F.col("side") - F.col("nx")) / 2.0).cast("int").alias("dx"),
         ((F.col("side") - F.col("ny")) / 2.0).cast("int").alias("dy"),
         (-F.col("x0") * scale).alias("ox"), (-F.col("y0") * scale).alias("oy"),
         (-F.col("z0") * F.col("zs")).alias("oz"), F.lit(float(scale)).alias("scale"),
-    )
+    ))
 
 
 def _voxel_of(points: DataFrame, frame: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def rotate_grid(voxels: DataFrame, frame: DataFrame, rotations: DataFrame, mode:
     extra = [c for c in voxels.columns if c not in ("scan_id", "vx", "vy", "vz")]
     rot = rotations.select("scan_id", "rot", "m", G.inverse3(F.col("m")).alias("mi"))
     reach = [(F.abs(r[0]) + F.abs(r[1]) + F.abs(r[2])) * 0.5 + 1e-6 for r in G.rows3(F.col("mi"))]
-    turned = frame.join(rot, "scan_id").select("*", *[h.alias(f"h{a}") for h, a in zip(reach, "xyz")])
+    turned = measured(frame.join(rot, "scan_id").select("*", *[h.alias(f"h{a}") for h, a in zip(reach, "xyz")]))
     v = voxels.join(turned, "scan_id")
     z0 = tuple(F.col(f"o{a}") for a in "xyz")
     z1 = (F.col("ox") + F.col("dx"), F.col("oy") + F.col("dy"), F.col("oz"))
@@ -167,7 +167,7 @@ def evidence(cells: DataFrame, kind: str) -> DataFrame:
     by = [c for c in ("scan_id", "rot") if c in cells.columns]
     stats = cells.groupBy(*by).agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
     grey = point_grey if kind == "point" else free_grey
-    return cells.join(stats, by).select(
+    return cells.join(measured(stats), by).select(
         *by, "row", "col", grey(F.col("value"), F.col("_m"), F.col("_s")).alias("grey"))
 
 
@@ -200,6 +200,7 @@ def trim_voxels(voxels: DataFrame, frame: DataFrame, px_per_m: float) -> tuple[D
     by = ["scan_id", "rot"]
     ext = voxels.where("kind = 'point'").groupBy(*by).agg(
         *[f(f"v{a}").alias(f"{n}{a}") for a in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    ext = measured(ext)
     cut_v = voxels.join(ext, by)
     for a in "xyz":
         cut_v = cut_v.where(F.col(f"v{a}").between(F.col(f"lo{a}"), F.col(f"hi{a}"))).withColumn(

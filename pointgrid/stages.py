@@ -40,6 +40,17 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame) -> DataFrame:
+    """Store a per-group table (statistics, extents, frames) before it is joined to rows.
+
+    The planner then knows its true size: below the broadcast threshold the large side
+    is not shuffled at all, above it the join falls back to a shuffle with skew
+    handling. An aggregate left in the plan would be guessed as large as its input and
+    force that shuffle. Runs a job.
+    """
+    return cut(df, "measured")
+
+
 def write_stage(df: DataFrame, root: str, name: str, keys: list[str] | None = None) -> None:
     """Store a stage table, partitioned by ``keys`` when given."""
     writer = df.write.mode("overwrite")
