@@ -219,7 +219,8 @@ def _e18(v):
     n = graph.normalise_nodes(v.place)
     n = graph.select_nodes(n, ["score", "cand_id"])
     side = lambda s: n.select(F.col("node_id").alias(s), F.col("scan_id").alias(f"s{s}"), F.col("x").alias(f"x{s}"))
-    near = side("a").join(side("b"), (F.col("sa") > F.col("sb")) & (F.col("sa") - F.col("sb") <= 2))
+    later = side("b").withColumn("sa", F.explode(F.array(F.col("sb") + 1, F.col("sb") + 2)))
+    near = side("a").join(later, "sa")
     e = near.select("a", "b", ((F.col("xa") * 3 + F.col("xb") * 7) % 23 / 10.0 - 1.0).alias("weight"))
     return graph.label_graph(n, e, rounds=4)
 

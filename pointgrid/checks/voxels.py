@@ -264,11 +264,11 @@ def _s7(v):
 
 
 @check("e21_descriptor_at", S(
-    "SELECT e.event_id, d.vec_id AS feature_id, CAST(embedding[1] AS DOUBLE) AS first FROM events e LEFT JOIN v_desc d ON d.vec_id = e.event_id % 1000 AND d.vec_id % 3 = 0", "v_desc"))
+    "SELECT e.event_id, d.vec_id AS feature_id, CAST(embedding[1] AS DOUBLE) AS first FROM events e LEFT JOIN v_desc d ON d.vec_id = e.event_id", "v_desc"))
 def _e21(v):
     vox = lambda i: [(i % 10).cast("int").alias("vx"), (F.floor(i / 10) % 10).cast("int").alias("vy"), F.floor(i / 100).cast("int").alias("vz")]
-    pts = v.table("events").select(F.lit(0).alias("scan_id"), "event_id", *vox(F.col("event_id") % 1000))
-    feats = v.desc.where("vec_id < 1000 AND vec_id % 3 = 0").select(F.lit(0).alias("scan_id"), *vox(F.col("vec_id")), F.col("vec_id").alias("feature_id"))
+    pts = v.table("events").select(F.lit(0).alias("scan_id"), "event_id", *vox(F.col("event_id")))
+    feats = v.desc.select(F.lit(0).alias("scan_id"), *vox(F.col("vec_id")), F.col("vec_id").alias("feature_id"))
     desc = v.desc.select(F.col("vec_id").alias("feature_id"), "embedding")
     return voxels.descriptor_at(pts, feats, desc).select("event_id", "feature_id", F.get("embedding", F.lit(0)).cast("double").alias("first"))
 

@@ -108,13 +108,23 @@ def find_doors(voxels: DataFrame, axes: DataFrame, limits: DataFrame, vpm: float
         *[(F.col("second")[i] * F.col("ci") + F.col("third")[i] * F.col("cj") + (floor if a == "z" else 0)).alias(f"c{a}")
           for i, a in enumerate("xyz")])
 
-    # Height of the lintel. Steps start above 0.2 m and end shortly above the limit.
+    # Height of the lintel. Steps start above 0.2 m and end shortly above the limit. A walk
+    # that ends below the smallest height is no door, so a few early steps are tried first
+    # and only their survivors, next to an opening, expand the whole walk.
     start = int(0.2 * vpm)
-    walk = base.withColumn("k", F.explode(F.sequence(F.lit(start + 1), F.floor("h_max").cast("int") + 11)))
     keys = CANDIDATE + ["k"]
     k = F.col("k").cast("double")
     side = F.lit(0.15 * vpm)
-    walk = _gap(walk, voxels, keys, (side, k), (-side, k), (0.8, 0.0), vpm)
+
+    def climb(cands: DataFrame, low: int, high: Column) -> DataFrame:
+        walk = cands.where(high >= low).withColumn("k", F.explode(F.sequence(F.lit(low), high)))
+        return _gap(walk, voxels, keys, (side, k), (-side, k), (0.8, 0.0), vpm)
+
+    for steps in (1, 4):
+        early = F.least(F.lit(start + steps), F.ceil("h_min").cast("int") - 1)
+        ended = climb(base, start + 1, early).where(~(F.col("gap") > GRADIENT)).select(*CANDIDATE).distinct()
+        base = cut(base.join(ended, CANDIDATE, "left_anti"), "doors")
+    walk = climb(base, start + 1, F.floor("h_max").cast("int") + 11)
     height = first_failing(walk, CANDIDATE, "k", ~(F.col("gap") > GRADIENT) | ~(F.col("k") <= F.col("h_max") + 10), "h")
     found = base.join(height, CANDIDATE).where((F.col("h") >= F.col("h_min")) & (F.col("h") <= F.col("h_max")))
     found = cut(found, "doors")

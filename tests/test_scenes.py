@@ -204,7 +204,10 @@ def test_door_in_a_wall_is_found(spark):
     d = doors.depth_at(walk, vox, ["scan_id", "k"], 0.0, 0.0, vpm)
     first = doors.first_failing(d, ["scan_id"], "k", F.col("found") < 1e9).first()["first"]
     assert first == 20
-    doors.find_doors(vox, axes, limits, vpm).collect()
+    found = doors.find_doors(vox, axes, limits, vpm).collect()
+    assert {(r["ci"], r["axis"]) for r in found} >= {(0, 0)}
+    door = next(r for r in found if (r["ci"], r["axis"]) == (0, 0))
+    assert (door["h"], door["w"]) == (2.0, 1.0) and door["corner"]["y"] == pytest.approx(1.9, abs=0.11)
 
 
 def test_merge_places_scans_side_by_side(spark):
