@@ -160,6 +160,30 @@ def _e17(v):
     return placing.plan_doors(plan_of(v).where("value > 0.4"), (100, 100), sym, (16, 16), levels=2, out_levels=2)
 
 
+@check("k03_find_scale")
+def _k03f(v):
+    """Scale at which the scan points fit a plan drawn from them at 10.3 cells per unit."""
+    def cells(scale, *key):
+        at = lambda c: F.floor((F.col(c) + 2) * scale).cast("int")
+        return v.scanpts.select(*key, at("y").alias("row"), at("x").alias("col"), F.lit(1.0).alias("value")).distinct()
+
+    plan = cells(F.lit(10.3)).withColumns({"row": F.col("row") + 6, "col": F.col("col") + 9})
+    sheet = cut(placement.sheet(plan, plan, plan), "sheet")
+
+    def score_at(scales):
+        at = F.array(*[F.struct(F.lit(k).alias("rot"), F.lit(float(s)).alias("scale")) for k, s in enumerate(scales)])
+        t = v.scanpts.select("x", "y", F.explode(at).alias("t")).select(
+            F.lit(0).alias("scan_id"), "t.rot", "t.scale", F.floor((F.col("y") + 2) * F.col("t.scale")).cast("int").alias("row"),
+            F.floor((F.col("x") + 2) * F.col("t.scale")).cast("int").alias("col")).distinct().withColumn("value", F.lit(1.0))
+        tmpl = cut(placement.template(t, t, t), "template")
+        size = tmpl.groupBy(*KEY).agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"))
+        sums = placement.correlate(placement.initial_candidates(size, 64, 64), tmpl, sheet)
+        s = placement.score_candidates(sums.withColumns({"door_uxp": F.lit(0.0), "door_count": F.lit(1.0)}))
+        return s.join(t.select("rot", "scale").distinct(), "rot").select("scale", "score")
+
+    return v.spark.range(1).select(F.lit(placing.find_scale(score_at, 10.0)).alias("scale"))
+
+
 @check("k03_scale_scores", S(
     """WITH g AS (SELECT s AS scale, floor(x * s) AS c, floor(y * s) AS r, count(*) n FROM v_points, (VALUES (4.0), (5.0), (6.0)) t(s) GROUP BY ALL)
     SELECT CAST(scale AS DOUBLE) AS scale, count(*) AS cells, """ + s4("avg(n)") + " AS mean FROM g GROUP BY scale", "v_points"))

@@ -55,7 +55,7 @@ SAT = "CAST(least(greatest(round_even({}, 0), 0), 255) AS INT)"
     "SELECT scan_id, \"row\", col, 255 - " + SAT.format("(c - m - s) / (nullif(s, 0) * 3.0) * 255.0") + " AS grey FROM cl JOIN st USING (scan_id)", "v_points"))
 def _s1(v):
     ok, frame = frame_of(v, MAP_SCALE)
-    return voxels.evidence(voxels.collapse(voxels.occupancy(ok, frame)), "point")
+    return voxels.evidence(voxels.column_counts(ok, frame), "point")
 
 
 @check("d03_occupancy", S(f"WITH {base_sql(MAP_SCALE, 100)} SELECT scan_id, vx, vy, vz FROM vx", "v_points"))

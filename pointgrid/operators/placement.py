@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from ..functions import geometry as G
 from ..functions.weights import placement_score
-from ..stages import measured, spread
+from ..stages import cut, measured, spread
 
 # Fixed values of the candidate search.
 SEARCH_REACH = 2                                        # inner square: 5 x 5
@@ -140,13 +140,13 @@ def local_minima(df: DataFrame, by: list[str], half: Column) -> DataFrame:
 
     Positions fall into blocks of edge half + 1. Two positions of a block are always
     within reach of each other, so only a block's minimum can survive; these few are
-    then compared with the positions of the nine blocks around them.
+    then compared with the positions of the nine blocks around them. Runs a job.
     """
     cells = df.groupBy(*by, "x", "y").agg(F.min("score").alias("s"), F.first(half.cast("int")).alias("h"))
     edge = F.col("h") + 1
-    cells = cells.withColumn("bx", F.floor(F.col("x") / edge)).withColumn("by_", F.floor(F.col("y") / edge))
-    low = cells.groupBy(*by, "bx", "by_").agg(F.min("s").alias("low"))
-    top = cells.join(low, by + ["bx", "by_"]).where(F.col("s") == F.col("low")).select(*by, "x", "y", "s", "h", "bx", "by_")
+    cells = cut(cells.withColumn("bx", F.floor(F.col("x") / edge)).withColumn("by_", F.floor(F.col("y") / edge)), "cells")
+    low = F.min("s").over(W.partitionBy(*by, "bx", "by_"))
+    top = cells.withColumn("low", low).where(F.col("s") == F.col("low")).drop("low")
     near = F.sequence(F.lit(-1), F.lit(1))
     probe = top.withColumn("i", F.explode(near)).withColumn("j", F.explode(near)).select(
         *by, F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("s").alias("s1"), F.col("h").alias("h1"),

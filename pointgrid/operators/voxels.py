@@ -18,6 +18,7 @@ from ..stages import cut, measured, spread
 
 SLABS = 100
 FOLD_CHUNK = 4096
+WORD = 63
 
 
 def grid_frame(box: DataFrame, scale: float, slabs: int | None = SLABS) -> DataFrame:
@@ -162,6 +163,21 @@ def collapse(voxels: DataFrame) -> DataFrame:
         F.count("*").cast("double").alias("value"))
 
 
+def column_counts(points: DataFrame, frame: DataFrame, slabs: int = SLABS) -> DataFrame:
+    """``collapse(occupancy(...))`` of upright slabs in one shuffle.
+
+    Each map column keeps its occupied slabs as bits of a few integers, which combine
+    before the shuffle; counting bits replaces the distinct voxels.
+    """
+    v = _voxel_of(points, frame)
+    words = (slabs + WORD - 1) // WORD
+    bit = F.expr(f"shiftleft(1L, vz % {WORD})")
+    masks = [F.bit_or(F.when(F.floor(F.col("vz") / WORD) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"_m{k}") for k in range(words)]
+    n = sum((F.bit_count(f"_m{k}") for k in range(1, words)), F.bit_count("_m0"))
+    return v.groupBy("scan_id", F.col("vy").alias("row"), F.col("vx").alias("col")).agg(*masks).select(
+        "scan_id", "row", "col", n.cast("double").alias("value"))
+
+
 def evidence(cells: DataFrame, kind: str) -> DataFrame:
     """Grey evidence image of collapsed counts (``kind`` is 'point' or 'free')."""
     by = [c for c in ("scan_id", "rot") if c in cells.columns]

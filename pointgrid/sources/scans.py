@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..stages import measured
+
 # Fixed values of the file formats.
 HEADER_LINES = 10
 BINARY_HEADER, BINARY_RECORD = 8, 19
@@ -49,7 +51,7 @@ def text_lines(spark: SparkSession, path: str, per_folder: bool = False) -> Data
     """``file, line, value`` with 0-based line numbers.
 
     A file's splits are counted and each split's first line number is the sum of the
-    splits before it. With ``per_folder`` the part files of a folder form one file, in
+    splits before it; the text itself is never shuffled. Runs a job. With ``per_folder`` the part files of a folder form one file, in
     name order.
     """
     raw = spark.read.option("recursiveFileLookup", "true").text(path).select(
@@ -60,7 +62,7 @@ def text_lines(spark: SparkSession, path: str, per_folder: bool = False) -> Data
     blocks = raw.groupBy("file", "part", "block").agg(F.count("*").alias("n"), F.min("mid").alias("first"))
     w = W.partitionBy("file").orderBy("part", "block").rowsBetween(W.unboundedPreceding, -1)
     start = blocks.select("part", "block", "first", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("start"))
-    return raw.join(start, ["part", "block"]).select(
+    return raw.join(measured(start), ["part", "block"]).select(
         "file", (F.col("mid") - F.col("first") + F.col("start")).alias("line"), "value")
 
 
@@ -74,7 +76,7 @@ def ptx_source(spark: SparkSession, path: str, per_folder: bool = False) -> Data
         "file", (F.col("line") - HEADER_LINES).alias("idx"), *[t[i].cast("float").alias(n) for i, n in enumerate(
             ("x", "y", "z", "intensity"))], *[byte(4 + i).alias(n) for i, n in enumerate("rgb")])
     shape = ptx_headers(lines)
-    return pts.join(shape, "file").where(F.col("idx") < F.col("columns") * F.col("rows")).select(*pts.columns)
+    return pts.join(measured(shape), "file").where(F.col("idx") < F.col("columns") * F.col("rows")).select(*pts.columns)
 
 
 def ptx_headers(lines: DataFrame) -> DataFrame:
