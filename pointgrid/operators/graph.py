@@ -221,7 +221,7 @@ def unlock_weak(solution: DataFrame, z: float = UNLOCK_BELOW) -> DataFrame:
         "locked", F.col("locked") & ~F.coalesce(F.col("norm") < z, F.lit(False)))
 
 
-def exclude_near(solution: DataFrame, pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
+def exclude_near(solution: DataFrame, pairs: DataFrame) -> DataFrame:
     """Among neighbouring locked nodes keep the one with the best agreement.
 
     ``pairs`` is the symmetric ``(a, b)`` list of nodes too close together. Each round
@@ -233,9 +233,7 @@ def exclude_near(solution: DataFrame, pairs: DataFrame, max_rounds: int = 100) -
     side = lambda s, n: locked.select(F.col("node_id").alias(s), F.col("agreement").alias(n))
     live = cut(pairs.join(side("a", "ga"), "a").join(side("b", "gb"), "b"), "near")
     lost = None
-    for _ in range(max_rounds):
-        if live.isEmpty():
-            break
+    while not live.isEmpty():  # the best live node always wins, so every round ends some conflict
         a_wins = (F.col("ga") > F.col("gb")) | ((F.col("ga") == F.col("gb")) & (F.col("a") < F.col("b")))
         kept = live.groupBy("a").agg(F.min(a_wins).alias("_all")).where("_all").select("a")
         out = cut(live.join(kept, "a", "left_semi").select(F.col("b").alias("node_id")).distinct(), "near")

@@ -231,65 +231,83 @@ def trim_voxels(voxels: DataFrame, frame: DataFrame, px_per_m: float) -> tuple[D
     return cut_v.select(*by, "kind", "vx", "vy", "vz"), meta
 
 
-def voxel_marks(voxels: DataFrame, reach: int) -> DataFrame:
-    """One row per voxel with marks: ``p`` point, ``f`` free, ``d`` near a point of its slab."""
-    byte = lambda v: F.lit(v).cast("byte")
-    keys = ["scan_id", "rot", "vx", "vy", "vz"]
+def voxel_columns(voxels: DataFrame, reach: int) -> DataFrame:
+    """Voxels as upright columns: one row per ``(scan_id, rot, vx, vy, word)`` with the
+    slabs of 63 as bits. ``p`` point, ``f`` free, ``d`` within ``reach`` cells of a point
+    of the same slab."""
+    keys = ["scan_id", "rot", "vx", "vy", "word"]
+    none = F.lit(0).cast("long")
+    bit = F.expr(f"shiftleft(1L, cast(pmod(vz, {WORD}) as int))")
     is_point = F.col("kind") == "point"
-    step = F.sequence(F.lit(-reach), F.lit(reach))
-    none = F.array(F.lit(0))
-    own = F.when(is_point, byte(1)).otherwise(byte(0))
-    e = voxels.select(*keys, is_point.alias("_pt"), own.alias("p"), (1 - own).cast("byte").alias("f")).withColumn(
-        "_i", F.explode(F.when(F.col("_pt"), step).otherwise(none))).withColumn("_j", F.explode(F.when(F.col("_pt"), step).otherwise(none)))
-    home = (F.col("_i") == 0) & (F.col("_j") == 0)
-    return e.select(
-        "scan_id", "rot", (F.col("vx") + F.col("_i")).alias("vx"), (F.col("vy") + F.col("_j")).alias("vy"), "vz",
-        F.when(home, F.col("p")).otherwise(byte(0)).alias("p"), F.when(home, F.col("f")).otherwise(byte(0)).alias("f"), F.col("p").alias("d"),
-    ).groupBy(*keys).agg(*[F.max(c).alias(c) for c in "pfd"])
+    own = voxels.withColumn("word", F.floor(F.col("vz") / WORD).cast("int")).groupBy(*keys).agg(
+        F.bit_or(F.when(is_point, bit).otherwise(none)).alias("p"), F.bit_or(F.when(is_point, none).otherwise(bit)).alias("f"))
+    step, still = F.sequence(F.lit(-reach), F.lit(reach)), F.array(F.lit(0))
+    moves = F.when(F.col("p") != 0, step).otherwise(still)
+    near = own.withColumn("i", F.explode(moves)).withColumn("j", F.explode(moves))
+    home = (F.col("i") == 0) & (F.col("j") == 0)
+    return near.select(
+        "scan_id", "rot", (F.col("vx") + F.col("i")).alias("vx"), (F.col("vy") + F.col("j")).alias("vy"), "word",
+        F.when(home, F.col("p")).otherwise(none).alias("p"), F.when(home, F.col("f")).otherwise(none).alias("f"),
+        F.col("p").alias("d")).groupBy(*keys).agg(*[F.bit_or(c).alias(c) for c in "pfd"])
+
+
+def _lowered(df: DataFrame, bits: list[str], low: str, top: str) -> DataFrame:
+    """Move column bits down by ``low`` slabs and keep slabs 0..``top``.
+
+    A shift that is no multiple of the word splits each word over two.
+    """
+    d = df.withColumn("_k", F.pmod(-F.col(low), F.lit(WORD)).cast("int")).withColumn("_half", F.explode(F.array(F.lit(0), F.lit(1))))
+    d = d.withColumn("word", (F.floor((F.col("word") * WORD - F.col(low)) / WORD) + F.col("_half")).cast("int"))
+    d = d.withColumn("_room", F.col(top) - F.col("word") * WORD + 1).where((F.col("word") >= 0) & (F.col("_room") > 0))
+    full = (1 << WORD) - 1
+    keep = F.expr(f"CASE WHEN _room >= {WORD} THEN {full}L ELSE shiftleft(1L, cast(_room as int)) - 1 END")
+    moved = {b: F.expr(f"CASE WHEN _half = 0 THEN shiftleft({b}, _k) WHEN _k = 0 THEN 0L ELSE shiftrightunsigned({b}, {WORD} - _k) END").bitwiseAND(
+        keep) for b in bits}
+    return d.withColumns(moved).drop("_k", "_half", "_room")
 
 
 def voxel_agreement(pairs: DataFrame, voxels: DataFrame, reach: int = 2) -> DataFrame:
     """Point and free-space agreement of node pairs inside their overlap.
 
     ``pairs`` has ``a, b``, the scan and rotation of both sides and ``box_a, box_b``
-    (overlap relative to each side). Voxels are marked once per scan and rotation,
-    moved into the frame of the overlap and counted by one aggregation per (pair,
-    voxel), so there is no voxel-to-voxel join. A point counts as agreeing when the
-    other side has a point within ``reach`` cells in the same slab. Slabs empty on one
-    side are skipped. Runs a job.
+    (overlap relative to each side). Voxels are packed once into columns of slab bits;
+    a pair moves both sides' columns into the frame of the overlap, one aggregation per
+    (pair, column) brings them together, and all counts are bit counts. A point counts
+    as agreeing when the other side has a point within ``reach`` cells in the same
+    slab. Slabs empty on one side are skipped. Runs a job.
     """
-    marks = cut(voxel_marks(voxels, reach), "marks")
+    columns = cut(voxel_columns(voxels, reach), "columns")
+    used = columns.groupBy("scan_id", "rot", "word").agg(F.bit_or(F.col("p").bitwiseOR(F.col("f"))).alias("u"))
+    ends = lambda s: pairs.select("a", "b", F.col(f"scan_{s}").alias("scan_id"), F.col(f"rot_{s}").alias("rot"), F.col(f"box_{s}").alias("box"),
+                                  F.col(f"box_{s}.z1").alias("z1"), (F.col(f"box_{s}.z2") - F.col(f"box_{s}.z1")).alias("mz"))
 
     def side(s: str) -> DataFrame:
-        p = pairs.select("a", "b", F.col(f"scan_{s}").alias("scan_id"), F.col(f"rot_{s}").alias("rot"),
-                         F.col(f"box_{s}").alias("box"))
-        v = p.join(marks, ["scan_id", "rot"])
-        for n in "xyz":
+        v = ends(s).join(columns, ["scan_id", "rot"])
+        for n in "xy":
             v = v.where(F.col(f"v{n}").between(F.col(f"box.{n}1"), F.col(f"box.{n}2")))
+        v = _lowered(v, ["p", "f", "d"], "z1", "mz")
         own, other = ("a", "b") if s == "a" else ("b", "a")
-        none = F.lit(0).cast("byte")
-        return v.select("a", "b", *[(F.col(f"v{n}") - F.col(f"box.{n}1")).alias(f"u{n}") for n in "xyz"],
-                        *[F.col(c).alias(f"{c}{own}") for c in "pfd"], *[none.alias(f"{c}{other}") for c in "pfd"])
+        none = F.lit(0).cast("long")
+        return v.where("p <> 0 OR f <> 0 OR d <> 0").select(
+            "a", "b", *[(F.col(f"v{n}") - F.col(f"box.{n}1")).alias(f"u{n}") for n in "xy"], "word",
+            *[F.col(c).alias(f"{c}{own}") for c in "pfd"], *[none.alias(f"{c}{other}") for c in "pfd"])
+
+    def slabs(s: str) -> DataFrame:
+        u = _lowered(ends(s).join(used, ["scan_id", "rot"]), ["u"], "z1", "mz")
+        return u.groupBy("a", "b", "word").agg(F.bit_or("u").alias(f"u{s}"))
 
     names = ["pa", "pb", "fa", "fb", "da", "db"]
-    cell = side("a").unionByName(side("b")).groupBy("a", "b", "uz", "ux", "uy").agg(*[F.max(n).cast("int").alias(n) for n in names])
-    both = lambda x, y: F.sum(F.col(x) * F.col(y))
-    slab = cell.groupBy("a", "b", "uz").agg(
-        F.sum(F.greatest(F.col("da") * F.col("pb"), F.col("pa") * F.col("db"))).alias("agree"),
-        both("pa", "fb").alias("free_a"), both("pb", "fa").alias("free_b"), both("fa", "fb").alias("free_cross"),
-        F.sum("pa").alias("total_a"), F.sum("pb").alias("total_b"),
-        F.sum(F.col("pa") + F.col("pb") + F.col("fa") + F.col("fb")).alias("total"))
-    used = marks.select("scan_id", "rot", "vz").distinct()
-
-    def filled(s: str) -> DataFrame:
-        p = pairs.select("a", "b", F.col(f"scan_{s}").alias("scan_id"), F.col(f"rot_{s}").alias("rot"),
-                         F.col(f"box_{s}.z1").alias("z1"), F.col(f"box_{s}.z2").alias("z2"))
-        return p.join(used, ["scan_id", "rot"]).where(F.col("vz").between(F.col("z1"), F.col("z2"))).select(
-            "a", "b", (F.col("vz") - F.col("z1")).alias("uz"))
-
-    keep = slab.join(filled("a"), ["a", "b", "uz"], "left_semi").join(filled("b"), ["a", "b", "uz"], "left_semi")
-    return keep.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in (
-        "agree", "free_a", "free_b", "free_cross", "total_a", "total_b", "total")])
+    cell = side("a").unionByName(side("b")).groupBy("a", "b", "ux", "uy", "word").agg(*[F.bit_or(n).alias(n) for n in names])
+    both = slabs("a").join(slabs("b"), ["a", "b", "word"]).select("a", "b", "word", F.col("ua").bitwiseAND(F.col("ub")).alias("u"))
+    cell = cell.join(measured(both), ["a", "b", "word"])
+    c = {n: F.col(n).bitwiseAND(F.col("u")) for n in names}
+    count = lambda bits: F.sum(F.bit_count(bits)).cast("long")
+    total = lambda *ns: F.sum(sum((F.bit_count(c[n]) for n in ns[1:]), F.bit_count(c[ns[0]]))).cast("long")
+    return cell.groupBy("a", "b").agg(
+        count(c["da"].bitwiseAND(c["pb"]).bitwiseOR(c["pa"].bitwiseAND(c["db"]))).alias("agree"),
+        count(c["pa"].bitwiseAND(c["fb"])).alias("free_a"), count(c["pb"].bitwiseAND(c["fa"])).alias("free_b"),
+        count(c["fa"].bitwiseAND(c["fb"])).alias("free_cross"), total("pa").alias("total_a"), total("pb").alias("total_b"),
+        total("pa", "pb", "fa", "fb").alias("total"))
 
 
 def agreement_edges(agreement: DataFrame, meta: DataFrame) -> DataFrame:

@@ -87,6 +87,36 @@ def test_rotation_four_quarter_turns_is_identity(spark):
     assert one == rows(got.where("rot = 4"), "vx", "vy", "vz") and len(one) == 16
 
 
+def test_voxel_agreement_of_tall_grids_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    size, tall = 7, 140
+    grid = {(s, k): {tuple(int(x) for x in q) for q in rng.integers(0, (size, size, tall), (260, 3))} for s in (0, 1) for k in ("point", "free")}
+    grid[0, "point"] = {q for q in grid[0, "point"] if q[2] % 9}
+    grid[0, "free"] = {q for q in grid[0, "free"] if q[2] % 9}
+    vox = spark.createDataFrame([(s, 0, k, *q) for (s, k), qs in grid.items() for q in qs], "scan_id int, rot int, kind string, vx int, vy int, vz int")
+    lo_a, lo_b, ext = (1, 0, 37), (0, 2, 5), (5, 4, 99)
+    box = lambda lo: {n: v for a, l, e in zip("xyz", lo, ext) for n, v in ((f"{a}1", l), (f"{a}2", l + e))}
+    kind = "struct<x1:int,x2:int,y1:int,y2:int,z1:int,z2:int>"
+    pairs = spark.createDataFrame([(3, 4, 0, 0, 1, 0, box(lo_a), box(lo_b))], f"a int, b int, scan_a int, rot_a int, scan_b int, rot_b int, box_a {kind}, box_b {kind}")
+    got = voxels.voxel_agreement(pairs, vox).first().asDict()
+    want = dict.fromkeys(("agree", "free_a", "free_b", "free_cross", "total_a", "total_b", "total"), 0)
+    filled = {s: {q[2] for k in ("point", "free") for q in grid[s, k]} for s in (0, 1)}
+    close = lambda s, q: any((q[0] + i, q[1] + j, q[2]) in grid[s, "point"] for i in range(-2, 3) for j in range(-2, 3))
+    for u in itertools.product(*[range(e + 1) for e in ext]):
+        qa, qb = tuple(x + y for x, y in zip(u, lo_a)), tuple(x + y for x, y in zip(u, lo_b))
+        if qa[2] not in filled[0] or qb[2] not in filled[1]:
+            continue
+        pa, fa, pb, fb = qa in grid[0, "point"], qa in grid[0, "free"], qb in grid[1, "point"], qb in grid[1, "free"]
+        want["agree"] += (pb and close(0, qa)) or (pa and close(1, qb))
+        want["free_a"] += pa and fb
+        want["free_b"] += pb and fa
+        want["free_cross"] += fa and fb
+        want["total_a"] += pa
+        want["total_b"] += pb
+        want["total"] += pa + fa + pb + fb
+    assert {k: got[k] for k in want} == want
+
+
 def test_pyramid_keeps_the_maximum(spark):
     df = spark.createDataFrame([(0, r, c, float((r * 31 + c * 17) % 97)) for r in range(13) for c in range(9)], "scan_id int, row int, col int, value double")
     tops = {r["level"]: r["m"] for r in grids.pyramid(df, 3, ["scan_id"]).groupBy("level").agg(F.max("value").alias("m")).collect()}
