@@ -60,14 +60,14 @@ def _a03(v):
     return files.select(F.regexp_extract("path", SCAN_OF, 1).cast("int").alias("scan_id")).distinct()
 
 
-NAMES = "nm AS (SELECT idx, CASE WHEN idx % 2 = 0 THEN 'CSE_scan_' || lpad(CAST(scan_id AS VARCHAR), 3, '0') || '.ptx' ELSE 'DUC' || lpad(CAST(scan_id AS VARCHAR), 3, '0') || '.ptx' END AS name, scan_id FROM v_scanpts)"
+NAMES = "nm AS (SELECT idx, CASE WHEN idx % 2 = 0 THEN 'ABC_scan_' || lpad(CAST(scan_id AS VARCHAR), 3, '0') || '.ptx' ELSE 'DEF' || lpad(CAST(scan_id AS VARCHAR), 3, '0') || '.ptx' END AS name, scan_id FROM v_scanpts)"
 
 
 @check("a04_parse_name", S(
-    f"WITH {NAMES} SELECT idx, name, CASE WHEN idx % 2 = 0 THEN 'CSE' ELSE 'DUC' END AS building, lpad(CAST(scan_id AS VARCHAR), 3, '0') AS scan FROM nm", "v_scanpts"))
+    f"WITH {NAMES} SELECT idx, name, CASE WHEN idx % 2 = 0 THEN 'ABC' ELSE 'DEF' END AS building, lpad(CAST(scan_id AS VARCHAR), 3, '0') AS scan FROM nm", "v_scanpts"))
 def _a04(v):
     num = F.lpad(F.col("scan_id").cast("string"), 3, "0")
-    name = F.when(F.col("idx") % 2 == 0, F.concat(F.lit("CSE_scan_"), num, F.lit(".ptx"))).otherwise(F.concat(F.lit("DUC"), num, F.lit(".ptx")))
+    name = F.when(F.col("idx") % 2 == 0, F.concat(F.lit("ABC_scan_"), num, F.lit(".ptx"))).otherwise(F.concat(F.lit("DEF"), num, F.lit(".ptx")))
     return scans.with_scan_name(v.scanpts.select("idx", name.alias("name")), "name")
 
 
@@ -193,12 +193,12 @@ def _a17(v):
     return one("before").join(one("after"), ["scan_id", "pos"])
 
 
-@check("a18_rects_from_json", S("SELECT 'CSE' || scan_id AS floor_id, 'CSE_pano_' || rect_id || '.png' AS img_name, 0 AS pos, x, y, width, height FROM v_rects", "v_rects"))
+@check("a18_rects_from_json", S("SELECT 'ABC' || scan_id AS floor_id, 'ABC_pano_' || rect_id || '.png' AS img_name, 0 AS pos, x, y, width, height FROM v_rects", "v_rects"))
 def _a18(v):
     body = F.to_json(F.struct(
         F.array(F.struct("x", "y", "width", "height")).alias("rects"),
-        F.struct(F.concat(F.lit("CSE"), F.col("scan_id").cast("string")).alias("floor_id"),
-                 F.concat(F.lit("CSE_pano_"), F.col("rect_id").cast("string"), F.lit(".png")).alias("img_name")).alias("img_data")))
+        F.struct(F.concat(F.lit("ABC"), F.col("scan_id").cast("string")).alias("floor_id"),
+                 F.concat(F.lit("ABC_pano_"), F.col("rect_id").cast("string"), F.lit(".png")).alias("img_name")).alias("img_data")))
     return records.rects_from_json(v.rects.select(body.alias("body")), "body")
 
 
