@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointgrid.llm import bpe, simhash
+from pointgrid.llm import bpe, recompression, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,3 +44,15 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
+@query()
+def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document without those that 20 words repeat from earlier on."""
+    return recompression.digests(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left of every document without those in 400 bytes that stand elsewhere too."""
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
