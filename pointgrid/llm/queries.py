@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointgrid.llm import bpe, recompression, simhash, suffix_dedup
+from pointgrid.llm import bpe, cap_filters, recompression, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -56,3 +56,25 @@ def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes left of every document without those in 400 bytes that stand elsewhere too."""
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH RECURSIVE sound AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), unit AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM sound),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM unit a JOIN unit b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93
+), reach AS (
+  SELECT vec_id AS u, vec_id AS v FROM embeddings
+  UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u
+), least AS (SELECT u AS vec_id, min(v) AS component_id FROM reach GROUP BY u),
+degree AS (SELECT u AS vec_id, count(*) AS n FROM links GROUP BY u)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN least USING (vec_id) LEFT JOIN degree USING (vec_id)
+""")
+def op2_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
