@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointgrid.llm import bpe, cap_filters, recompression, simhash, suffix_dedup
+from pointgrid.llm import bpe, cap_filters, mixing, preferences, recompression, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,3 +78,59 @@ FROM embeddings e JOIN least USING (vec_id) LEFT JOIN degree USING (vec_id)
 def op2_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
     return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("""
+WITH parts AS (
+  SELECT conv_id // 2 AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         count(*) FILTER (conv_id % 2 = 0) AS chosen, count(*) FILTER (conv_id % 2 = 1) AS rejected
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL
+), apart AS (SELECT pair_id, min(turn) AS first_apart FROM parts WHERE chosen <> rejected GROUP BY pair_id),
+placed AS (SELECT parts.*, first_apart IS NULL OR turn < first_apart AS common FROM parts LEFT JOIN apart USING (pair_id)),
+sides AS (
+  SELECT *, 'prompt' AS part, chosen AS n FROM placed WHERE common
+  UNION ALL SELECT *, 'chosen', chosen FROM placed WHERE NOT common
+  UNION ALL SELECT *, 'rejected', rejected FROM placed WHERE NOT common
+)
+SELECT pair_id, part, turn, role, text, '<|' || role || '|>' || chr(10) || text || chr(10) AS rendered, n,
+       role = 'assistant' AND NOT common AS in_loss
+FROM sides WHERE n > 0
+""")
+def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered turns of every pair of neighbouring conversations."""
+    return preferences.formatted(preferences.by_neighbour(table(spark, sf_dir, "conversations")))
+
+
+@query("""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size FROM documents
+), totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, 3 * source_size AS cap, (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS weight FROM totals
+), total AS (SELECT sum(source_size) AS s FROM totals),
+filling AS (
+  SELECT 0 AS step, (SELECT s FROM total) AS rest, sum(weight) AS weights, -1 AS before FROM weighed
+  UNION ALL
+  SELECT step + 1,
+         (SELECT s FROM total) - (SELECT coalesce(sum(cap), 0) FROM weighed WHERE cap * weights <= rest * weight),
+         (SELECT sum(weight) FROM weighed WHERE cap * weights > rest * weight), weights
+  FROM filling WHERE weights IS NOT NULL AND weights <> before
+), ended AS (SELECT rest, weights FROM filling WHERE weights IS NOT NULL ORDER BY step DESC LIMIT 1),
+shares AS (
+  SELECT source, source_size,
+         CASE WHEN cap * weights > rest * weight THEN CAST(rest * weight AS DOUBLE) / CAST(weights AS DOUBLE) ELSE CAST(cap AS DOUBLE) END AS target
+  FROM weighed, ended
+), rated AS (
+  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / CAST(source_size AS DOUBLE) ELSE 0 END AS rate
+  FROM sized JOIN shares ON sized.source IS NOT DISTINCT FROM shares.source
+), counted AS (
+  SELECT *, CAST(floor(rate) AS BIGINT) + CAST(
+    CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0
+    < rate - floor(rate) AS BIGINT) AS copies
+  FROM rated
+)
+SELECT doc_id, size, source_size, target, rate, copies, copies * size AS taken FROM counted
+""")
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, source, target and words taken of every document."""
+    return mixing.planned(table(spark, sf_dir, "documents"))
