@@ -28,13 +28,21 @@ def rendered() -> Column:
     return F.concat(F.lit(HEAD[0]), F.col("role"), F.lit(HEAD[1]), F.col("text"), F.lit(TAIL))
 
 
-def by_neighbour(conversations: DataFrame) -> DataFrame:
-    """Turns with pair_id and side: conversations 2k (chosen) and 2k + 1 (rejected) form pair k."""
-    return conversations.where("conv_id IS NOT NULL").select(
-        F.floor(F.col("conv_id") / 2).alias("pair_id"),
-        F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected").alias("side"),
-        "turn", "role", "text",
-    )
+def with_swapped_replies(conversations: DataFrame, trained: str = TRAINED) -> DataFrame:
+    """Turns with pair_id and side: every conversation is chosen, and rejected with its neighbour's last reply.
+
+    Conversations 2k and 2k + 1 are neighbours. The last turn of the trained role is exchanged for the
+    neighbour's; a conversation without such a turn has no rejected side, and one whose neighbour has none
+    is rejected without a reply. Rows without conv_id are left out.
+    """
+    rows = conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("pair_id"), "turn", "role", "text")
+    last = cut(rows.where(F.col("role") == trained).groupBy("pair_id").agg(F.max("turn").alias("_last")), "last")
+    marked = rows.join(last, "pair_id", "left").withColumn("_reply", F.coalesce((F.col("turn") == F.col("_last")) & (F.col("role") == trained), F.lit(False)))
+    side = lambda df, s: df.select("pair_id", F.lit(s).alias("side"), "turn", "role", "text")
+    neighbour = F.col("pair_id") + 1 - 2 * F.pmod("pair_id", F.lit(2))
+    replies = marked.where("_reply").select(neighbour.alias("pair_id"), "role", "text")
+    replies = replies.join(last.where("_last IS NOT NULL"), "pair_id").withColumnRenamed("_last", "turn")
+    return side(rows, "chosen").union(side(marked.where("_last IS NOT NULL AND NOT _reply"), "rejected")).union(side(replies, "rejected"))
 
 
 def formatted(turns: DataFrame, trained: str = TRAINED) -> DataFrame:

@@ -81,10 +81,19 @@ def op2_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH parts AS (
-  SELECT conv_id // 2 AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         count(*) FILTER (conv_id % 2 = 0) AS chosen, count(*) FILTER (conv_id % 2 = 1) AS rejected
-  FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL
+WITH rows_ AS (SELECT conv_id AS pair_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+last_ AS (SELECT pair_id, max(turn) AS last_turn FROM rows_ WHERE role = 'assistant' GROUP BY pair_id),
+marked AS (
+  SELECT rows_.*, last_turn, coalesce(turn = last_turn AND role = 'assistant', false) AS reply FROM rows_ LEFT JOIN last_ USING (pair_id)
+), sided AS (
+  SELECT pair_id, 'chosen' AS side, turn, role, text FROM rows_
+  UNION ALL SELECT pair_id, 'rejected', turn, role, text FROM marked WHERE last_turn IS NOT NULL AND NOT reply
+  UNION ALL SELECT l.pair_id, 'rejected', l.last_turn, m.role, m.text
+            FROM marked m JOIN last_ l ON l.pair_id = m.pair_id + 1 - 2 * (m.pair_id % 2) WHERE m.reply AND l.last_turn IS NOT NULL
+), parts AS (
+  SELECT pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         count(*) FILTER (side = 'chosen') AS chosen, count(*) FILTER (side = 'rejected') AS rejected
+  FROM sided GROUP BY ALL
 ), apart AS (SELECT pair_id, min(turn) AS first_apart FROM parts WHERE chosen <> rejected GROUP BY pair_id),
 placed AS (SELECT parts.*, first_apart IS NULL OR turn < first_apart AS common FROM parts LEFT JOIN apart USING (pair_id)),
 sides AS (
@@ -97,8 +106,8 @@ SELECT pair_id, part, turn, role, text, '<|' || role || '|>' || chr(10) || text
 FROM sides WHERE n > 0
 """)
 def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rendered turns of every pair of neighbouring conversations."""
-    return preferences.formatted(preferences.by_neighbour(table(spark, sf_dir, "conversations")))
+    """Rendered turns of every conversation paired with itself under its neighbour's last reply."""
+    return preferences.formatted(preferences.with_swapped_replies(table(spark, sf_dir, "conversations")))
 
 
 @query("""
