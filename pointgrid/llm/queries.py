@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointgrid.llm import bpe, cap_filters, mixing, preferences, recompression, simhash, suffix_dedup
+from pointgrid.llm import bpe, cap_filters, mixing, preferences, recompression, simhash, spotsigs, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -143,3 +143,40 @@ SELECT doc_id, size, source_size, target, rate, copies, copies * size AS taken F
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, source, target and words taken of every document."""
     return mixing.planned(table(spark, sf_dir, "documents"))
+
+
+_QUOTED = ", ".join(f"'{w}'" for w in spotsigs.ANCHORS)
+_BLANKS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(f"""
+WITH texts AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text NULLS FIRST) AS r, doc_id, coalesce(text, '') AS own FROM documents),
+placed AS (
+  SELECT r, doc_id, own, length(own) AS n_chars,
+         coalesce(lead(own) OVER (ORDER BY r), first_value(own) OVER (ORDER BY r)) AS next FROM texts
+), sides AS (
+  SELECT r, 'own' AS side, own AS t FROM placed
+  UNION ALL SELECT r, 'edited', substring(own, 1, n_chars - n_chars // 2) || substring(next, 1, n_chars // 2) FROM placed
+), split AS (
+  SELECT r, side, t, list_filter(string_split(translate(lower(t), {_BLANKS} || '{spotsigs.DROPPED}', '     '), ' '), lambda x: x <> '') AS w FROM sides
+), content AS (
+  SELECT r, side, t, w, list_filter(list_zip(w, list_concat([''], w[:len(w) - 1])), lambda z: z[1] IS NOT NULL AND z[1] NOT IN ({_QUOTED})) AS c FROM split
+), signed AS (
+  SELECT r, side, t, w, list_transform(
+    list_filter(list_zip(c, c[2:], c[3:]), lambda z: z[3] IS NOT NULL AND z[1][2] IN ({_QUOTED})),
+    lambda z: substr(md5(z[1][2] || ' ' || z[1][1] || ' ' || z[2][1] || ' ' || z[3][1]), 1, 8)) AS s FROM content
+), prints AS (
+  SELECT r, side, t, CASE WHEN len(s) > 0 THEN list_sort(list_distinct(s)) ELSE [substr(md5('= ' || array_to_string(w, ' ')), 1, 8)] END AS f FROM signed
+), joined AS (
+  SELECT p.doc_id, p.n_chars, e.t AS edited, o.f AS f, e.f AS g, coalesce(n.f, z.f) AS h
+  FROM placed p JOIN prints o ON o.r = p.r AND o.side = 'own' JOIN prints e ON e.r = p.r AND e.side = 'edited'
+  LEFT JOIN prints n ON n.r = p.r + 1 AND n.side = 'own' JOIN prints z ON z.r = 1 AND z.side = 'own'
+)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, array_to_string(f, ' ') AS fingerprint, array_to_string(g, ' ') AS edited_fingerprint,
+       CAST(len(list_intersect(f, g)) AS DOUBLE) / (len(f) + len(g) - len(list_intersect(f, g))) AS near_edited,
+       CAST(len(list_intersect(f, h)) AS DOUBLE) / (len(f) + len(h) - len(list_intersect(f, h))) AS near_next
+FROM joined
+""")
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return spotsigs.beside_edited(table(spark, sf_dir, "documents"))
