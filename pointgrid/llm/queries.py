@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointgrid.llm import bpe, cap_filters, mixing, preferences, recompression, simhash, spotsigs, suffix_dedup
+from pointgrid.llm import bpe, cap_filters, language, mixing, preferences, quality, recompression, simhash, spotsigs, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -180,3 +180,15 @@ FROM joined
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return spotsigs.beside_edited(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op7_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return language.identified(table(spark, sf_dir, "documents"))
