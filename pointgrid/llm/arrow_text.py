@@ -62,3 +62,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last[cuts - 1] = inside[cuts - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     return start, end, np.searchsorted(start, offsets)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, made longer where a column has that name already (in any case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
+    """The batch with other values in one column."""
+    return batch.set_column(batch.schema.get_field_index(name), name, values)

@@ -209,3 +209,22 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
                 )
 
     return docs.selectExpr("CAST(doc_id AS long) doc_id", "text").mapInArrow(run, DIGESTS)
+
+
+def encoded_corpus(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, source, n_tokens, ids of every row, and whether the ids decode to the text."""
+
+    def run(batches):
+        bpe = tokenizer(path)
+        for b in batches:
+            for chunk in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
+                texts = [t or "" for t in chunk.column(2).to_pylist()]
+                ids = [bpe.encode(t) for t in texts]
+                same = [bpe.decode(i) == t for i, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [chunk.column(0), chunk.column(1), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)],
+                    ["doc_id", "source", "n_tokens", "ids", "decodes"],
+                )
+
+    rows = docs.selectExpr("CAST(doc_id AS long) doc_id", "source", "text")
+    return rows.mapInArrow(run, "doc_id long, source string, n_tokens long, ids array<int>, decodes boolean")

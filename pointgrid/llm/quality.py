@@ -180,3 +180,18 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored(docs, w).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted")
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame, least: float = ACCEPT) -> DataFrame:
+    """The documents, with all their columns, whose score is ``least`` or more."""
+    w = train(docs, labels.where(~held_out()))
+    shared = docs.sparkSession.sparkContext.broadcast(w)
+
+    def run(batches):
+        for b in batches:
+            data, at = utf8(b.column("text"))
+            for a, z in slices(at, SLICE):
+                score = probabilities(shared.value, data[at[a] : at[z]], at[a : z + 1] - at[a])
+                yield b[a:z].filter(pa.array(score >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -21,9 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pointgrid.llm.arrow_text import NO_ID, ints, mixed, slices, utf8, words
+from pointgrid.llm.arrow_text import NO_ID, ints, mixed, replaced, slices, unused, utf8, words
 from pointgrid.llm.windows import SLICE, Names, Runs, covered, keyed, none, ranges_of, repeated
 
 DIGESTS = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -162,52 +164,59 @@ def repeats(docs: DataFrame, width: int = 20) -> DataFrame:
     return repeated(docs, width, False, spots(width), single(width))
 
 
-def _joined(docs: DataFrame, width: int) -> DataFrame:
-    return keyed(docs).join(repeats(docs, width), ["id", "key"], "left").select("id", "text", "runs", "key")
-
-
-def _kept(batches):
-    """Identity, number of words, number removed and kept words of each document."""
-    for b in batches:
-        ids = ints(b.column(0))
-        ids = pa.array(ids, mask=ids == NO_ID)
-        data, at = utf8(b.column(1))
-        row, start, end = ranges_of(b.column(2))
-        for a, z in slices(at, SLICE):
-            d, o = data[at[a] : at[z]], at[a : z + 1] - at[a]
-            begin, stop, first = words(d, o)
-            mine = (row >= a) & (row < z)
-            gone = covered(len(begin), first, row[mine] - a, start[mine], end[mine])
-            kept = np.flatnonzero(~gone)
-            # Mark the bytes of kept words and one space behind each; the last space of a document goes.
-            lengths = stop[kept] - begin[kept] + 1
-            total = np.r_[0, np.cumsum(lengths)]
-            source = np.arange(total[-1]) - np.repeat(total[:-1], lengths) + np.repeat(begin[kept], lengths)
-            text = np.append(d, np.uint8(32))[source]
-            text[total[1:] - 1] = 32
-            edge = total[np.searchsorted(kept, first)]
-            removed = np.diff(np.r_[0, np.cumsum(gone)][first])
-            texts = [text[x : max(x, y - 1)].tobytes() for x, y in zip(edge, edge[1:], strict=False)]
-            yield ids[a:z], b.column(3)[a:z], np.diff(first), removed, texts
+def _kept(texts: pa.Array, runs: pa.Array):
+    """First row, numbers of words, numbers removed and kept words of the documents, slice by slice."""
+    data, at = utf8(texts)
+    row, start, end = ranges_of(runs)
+    for a, z in slices(at, SLICE):
+        d, o = data[at[a] : at[z]], at[a : z + 1] - at[a]
+        begin, stop, first = words(d, o)
+        mine = (row >= a) & (row < z)
+        gone = covered(len(begin), first, row[mine] - a, start[mine], end[mine])
+        kept = np.flatnonzero(~gone)
+        # The bytes of every kept word and one more, which becomes a space; the last one of a document is left out.
+        lengths = stop[kept] - begin[kept] + 1
+        total = np.r_[0, np.cumsum(lengths)]
+        source = np.arange(total[-1]) - np.repeat(total[:-1], lengths) + np.repeat(begin[kept], lengths)
+        text = np.append(d, np.uint8(32))[source]
+        text[total[1:] - 1] = 32
+        edge = total[np.searchsorted(kept, first)]
+        removed = np.diff(np.r_[0, np.cumsum(gone)][first])
+        yield a, np.diff(first), removed, [text[x : max(x, y - 1)].tobytes() for x, y in zip(edge, edge[1:], strict=False)]
 
 
 def digests(docs: DataFrame, width: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
 
     def run(batches):
-        for ids, _, n, removed, texts in _kept(batches):
-            sha = pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(removed), sha], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+        for b in batches:
+            ids = ints(b.column(0))
+            ids = pa.array(ids, mask=ids == NO_ID)
+            for a, n, removed, texts in _kept(b.column(1), b.column(2)):
+                sha = pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
+                yield pa.RecordBatch.from_arrays([ids[a : a + len(n)], pa.array(n), pa.array(removed), sha], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _joined(docs, width).mapInArrow(run, DIGESTS)
+    joined = keyed(docs).join(repeats(docs, width), ["id", "key"], "left")
+    return joined.select("id", "text", "runs").mapInArrow(run, DIGESTS)
 
 
 def cleaned(docs: DataFrame, width: int = 20) -> DataFrame:
-    """id, key (see ``windows.keyed``), n_removed and kept text of every document with removed words."""
+    """The documents, with all their columns; where words are removed, text is the kept words joined by one space."""
+    own_id, own_key, gone = unused(docs.columns, "_id", "_key", "_gone")
+    found = repeats(docs, width).toDF(own_id, own_key, gone)
+    own = docs.withColumn(own_id, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    own = own.withColumn(own_key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = own.join(found, [own_id, own_key], "left").select(*docs.columns, gone)
 
     def run(batches):
-        for ids, keys, _, removed, texts in _kept(batches):
-            out = pa.RecordBatch.from_arrays([ids, keys, pa.array(removed), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "key", "n_removed", "kept"])
-            yield out
-
-    return _joined(docs, width).mapInArrow(run, "doc_id long, key long, n_removed long, kept string")
+        for b in batches:
+            texts, runs = b.column("text"), b.column(gone)
+            changed: list[bytes] = []
+            for _, _, _, some in _kept(texts, runs):
+                changed += some
+            changed = pa.array(changed, pa.binary()).cast(texts.type)
+            touched = runs.is_valid()
+            b = b.select(range(b.num_columns - 1))
+            yield replaced(b, "text", pc.if_else(touched, changed, texts))
+
+    return joined.mapInArrow(run, docs.schema)

@@ -20,8 +20,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pointgrid.llm.arrow_text import unused
 from pointgrid.llm.blocks import dealt, roots, runs
 from pointgrid.llm.components import components
 from pointgrid.stages import cut
@@ -60,14 +62,15 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, fingerprint (its 64 bits as a long) of every whole text."""
+    """doc_id, key (hash of the text), fingerprint (its 64 bits as a long) of every whole text."""
 
     def run(batches):
         for b in batches:
             bits = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits.view(np.int64))], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(bits.view(np.int64))], ["doc_id", "key", "fingerprint"])
 
-    return docs.selectExpr("CAST(doc_id AS long) doc_id", "text").mapInArrow(run, "doc_id long, fingerprint long")
+    own = docs.selectExpr("CAST(doc_id AS long) doc_id", "text", "xxhash64(coalesce(text, '')) AS key")
+    return own.mapInArrow(run, "doc_id long, key long, fingerprint long")
 
 
 def links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
@@ -98,13 +101,35 @@ def links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, max_bits: int = 4, shingle: int = 4) -> DataFrame:
     """doc_id, fingerprint, component_id (smallest doc_id reachable by links) of every row."""
+    return grouped(docs, max_bits, shingle).select("doc_id", "fingerprint", "component_id")
+
+
+def one_of_each(docs: DataFrame, max_bits: int = 4, shingle: int = 4) -> DataFrame:
+    """The documents, with all their columns, that stay when one of each component does.
+
+    It is the one with the smallest doc_id (null last), of several rows with it the one with the smallest
+    hash of its text; of rows that repeat both one stays.
+    """
+    text_key, number = unused(docs.columns, "_key", "_n")
+    null = F.col("doc_id").isNull()
+    first = F.min(F.struct(null.alias("no_id"), "doc_id", "key")).alias("first")
+    kept = cut(grouped(docs, max_bits, shingle).groupBy("root").agg(first).select("first.doc_id", "first.key"), "kept")
+    own = docs.withColumn(text_key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = own["doc_id"].eqNullSafe(kept["doc_id"]) & (own[text_key] == kept["key"])
+    order = W.partitionBy("doc_id", text_key).orderBy(F.lit(0))
+    left = own.join(kept, same, "left_semi").withColumn(number, F.row_number().over(order))
+    return left.where(F.col(number) == 1).select(*docs.columns)
+
+
+def grouped(docs: DataFrame, max_bits: int, shingle: int) -> DataFrame:
+    """doc_id, key (hash of the text), fingerprint, root (fingerprint that stands for the component), component_id."""
     marked = cut(fingerprints(docs, shingle), "prints")
     prints = cut(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "prints")
     of = cut(components(links(prints.select("fingerprint"), max_bits)), "groups")
-    grouped = prints.join(of, prints.fingerprint == of.node, "left").select(
+    rooted = prints.join(of, prints.fingerprint == of.node, "left").select(
         "fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root")
     )
-    grouped = cut(grouped, "grouped")
-    named = cut(grouped.groupBy("root").agg(F.min("first_id").alias("component_id")), "named")
-    final = cut(grouped.join(named, "root").select("fingerprint", "component_id"), "named")
-    return marked.join(final, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    rooted = cut(rooted, "rooted")
+    named = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "named")
+    final = cut(rooted.join(named, "root").select("fingerprint", "root", "component_id"), "named")
+    return marked.join(final, "fingerprint").select("doc_id", "key", "fingerprint", "root", "component_id")
