@@ -72,7 +72,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probabilities (BUCKETS x languages) from text and lang of all given rows."""
+    """Languages and their log-probabilities (a row per bucket, and one of zeros) from text and lang of all given rows."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
     languages = sorted(r[0] for r in labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(languages) > MOST_LANGUAGES:
@@ -102,11 +102,11 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     counted = labelled.mapInArrow(count, "language int, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((BUCKETS, len(languages)), SMOOTHING)
     table[counted.column("bucket").to_numpy(), counted.column("language").to_numpy()] += counted.column("n").to_numpy()
-    return languages, np.log(table / table.sum(axis=0)).astype(np.float32) if languages else table.astype(np.float32)
+    return languages, np.vstack([np.log(table / table.sum(axis=0)), np.zeros((1, len(languages)))]).astype(np.float32)
 
 
 def scores(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-likelihood of every text in every language, and whether it has a letter."""
+    """Log-likelihood of every text in every language by the matrix of ``train``, and whether it has a letter."""
     points, at = characters(texts)
     total = np.zeros((len(texts), table.shape[1]))
     has_letter = np.zeros(len(texts), bool)
@@ -129,7 +129,7 @@ def scores(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def predicted(docs: DataFrame, languages: list[str], table: np.ndarray) -> DataFrame:
     """doc_id, lang_pred, score of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.vstack([table, np.zeros((1, table.shape[1]), table.dtype)]))
+    shared = docs.sparkSession.sparkContext.broadcast(table)
     names = np.array([*languages, UNKNOWN], object)
 
     def run(batches):

@@ -50,21 +50,26 @@ def start_weights() -> dict[str, np.ndarray]:
 def pieces(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all pieces, marks of repetition, and n + 1 offsets of the documents' half chunks.
 
-    Every text is padded to whole half chunks (STRIDE * CHUNK / 2 bytes), two at least.
+    Every text is padded to whole half chunks (STRIDE * CHUNK / 2 bytes), two at least, with more zeros
+    than the longest lag, so that no mark reaches into the text before.
     """
     half = STRIDE * CHUNK // 2
-    halves = np.maximum(2, -(-np.diff(at) // half))
+    halves = np.maximum(2, -(-(np.diff(at) + LAGS[-1]) // half))
     first = np.r_[0, np.cumsum(halves)]
     padded = np.zeros(first[-1] * half + WIDTH, np.uint8)
     target = np.arange(len(data)) + np.repeat(first[:-1] * half - at[:-1], np.diff(at))
     padded[target] = data
-    windows = np.lib.stride_tricks.as_strided(padded, (first[-1] * half // STRIDE, WIDTH), (STRIDE, 1), writeable=False)
+    windows = np.lib.stride_tricks.as_strided(padded, (first[-1] * half // STRIDE, WIDTH), (STRIDE, 1)).copy()
+    # The last piece of a text sees nothing of the next one.
+    last = first[1:] * (CHUNK // 2) - 1
+    windows[last, STRIDE:] = 0
     marks = np.empty((len(windows), len(LAGS)), np.float32)
     for i, lag in enumerate(LAGS):
         same = np.zeros(len(padded), np.uint8)
         same[lag:] = (padded[lag:] == padded[:-lag]) & (padded[lag:] != 0)
         by = same[: len(windows) * STRIDE].reshape(-1, STRIDE).sum(axis=1, dtype=np.uint8)
         marks[:, i] = by
+        by[first[:-1] * (CHUNK // 2)] = 0
         marks[:-1, i] += by[1:]
     return windows, marks / WIDTH - 0.15, first
 
