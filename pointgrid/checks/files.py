@@ -146,7 +146,7 @@ def _cap_sql(n):
 
 def _saved(v):
     path = new_stage_path(v.spark, "placements")
-    records.save_placements(v.place, _zero(v), path)
+    records.save_placements(v.place, _zero(v), path, 500)
     return path
 
 
@@ -163,7 +163,7 @@ def _a14(v):
 
 @check("g04_best_placements", S(_cap_sql(500), "v_place"))
 def _g04(v):
-    return records.best_placements(v.place, _zero(v))
+    return records.best_placements(v.place, _zero(v), 500)
 
 
 @check("a16_final_poses", S(

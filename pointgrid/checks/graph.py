@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import geometry as G
 from ..operators import graph, reports
@@ -86,7 +87,7 @@ BOXED = """bx AS (SELECT cand_id, scan_id, rot, CAST(trunc(x * (20.0 / 2.0) - 40
    CAST(cand_id % 20 AS INT) + 10 AS nx, CAST(cand_id % 15 AS INT) + 10 AS ny, CAST(cand_id % 7 AS INT) + 20 AS nz FROM v_place),
  b AS (SELECT cand_id, scan_id, rot, x1, x1 + nx - 1 AS x2, y1, y1 + ny - 1 AS y2, z1, z1 + nz - 1 AS z2, CAST(floor(x1 / 64) AS INT) AS t FROM bx),
  bb AS (SELECT b.*, u FROM b, generate_series(-1, 1) q(k), LATERAL (SELECT t + k AS u)),
- pr AS (SELECT a.cand_id AS a, b.cand_id AS b, a.x1 ax, a.y1 ay, greatest(a.x1, b.x1) x1, least(a.x2, b.x2) x2, greatest(a.y1, b.y1) y1, least(a.y2, b.y2) y2, greatest(a.z1, b.z1) z1, least(a.z2, b.z2) z2
+ pr AS MATERIALIZED (SELECT a.cand_id AS a, b.cand_id AS b, a.x1 ax, a.y1 ay, greatest(a.x1, b.x1) x1, least(a.x2, b.x2) x2, greatest(a.y1, b.y1) y1, least(a.y2, b.y2) y2, greatest(a.z1, b.z1) z1, least(a.z2, b.z2) z2
    FROM bb a JOIN b ON a.u = b.t AND a.cand_id < b.cand_id AND a.scan_id <> b.scan_id AND a.x1 <= b.x2 AND b.x1 <= a.x2 AND a.y1 <= b.y2 AND b.y1 <= a.y2 AND a.z1 <= b.z2 AND b.z1 <= a.z2)"""
 
 
@@ -104,7 +105,7 @@ def _e04(v):
 
 
 EDGES = f"""{BOXED}, e1 AS (SELECT a, b, (a * 7 + b * 3) % 101 / 100.0 - 0.2 AS w, (a + b) % 3 * 0.3 AS pano_w FROM pr),
- ed AS (SELECT a, b, CASE WHEN abs(w) < 0.05 THEN 0 ELSE w END AS w, pano_w FROM (SELECT a, b, w, pano_w FROM e1 UNION ALL SELECT b, a, w, pano_w FROM e1))"""
+ ed AS MATERIALIZED (SELECT a, b, CASE WHEN abs(w) < 0.05 THEN 0 ELSE w END AS w, pano_w FROM (SELECT a, b, w, pano_w FROM e1 UNION ALL SELECT b, a, w, pano_w FROM e1))"""
 
 
 def edges_of(v):
@@ -181,6 +182,23 @@ def _e15(v):
     return graph.exclude_near(*_near_chain(v))
 
 
+@check("e15_exclude_chain", S(
+    """WITH n AS (SELECT cand_id, scan_id, score, cand_id // 6 AS c, row_number() OVER (PARTITION BY scan_id, cand_id // 6 ORDER BY cand_id) AS k FROM v_place),
+    walk AS (
+      SELECT scan_id, c, k, cand_id, score, true AS locked FROM n WHERE k = 1
+      UNION ALL
+      SELECT n.scan_id, n.c, n.k, n.cand_id, n.score, NOT w.locked OR w.score < n.score FROM walk w JOIN n ON n.scan_id = w.scan_id AND n.c = w.c AND n.k = w.k + 1)
+    SELECT w.cand_id AS node_id, w.locked AND NOT coalesce(w.score < x.score, false) AS locked
+    FROM walk w LEFT JOIN n x ON x.scan_id = w.scan_id AND x.c = w.c AND x.k = w.k + 1""", "v_place", recursive=True))
+def _e15c(v):
+    """Conflicts only between neighbours of short chains, where the order of decisions matters."""
+    n = v.place.select(F.col("cand_id").alias("node_id"), "scan_id", F.col("score").alias("agreement"), F.lit(True).alias("locked"))
+    c = n.withColumn("c", F.floor(F.col("node_id") / 6))
+    w = W.partitionBy("scan_id", "c").orderBy("node_id")
+    next_ = c.select(F.col("node_id").alias("a"), F.lead("node_id").over(w).alias("b")).dropna()
+    return graph.exclude_near(n, graph.mirror(next_)).select("node_id", "locked")
+
+
 @check("h06_second_round", S(
     f"""WITH {SOL} SELECT cand_id AS node_id, p.scan_id, score, so.node_id IS NOT NULL AS locked FROM v_place p JOIN so ON so.scan_id = p.scan_id WHERE so.node_id IS NULL OR so.node_id = cand_id""", "v_place"))
 def _h06(v):

@@ -140,9 +140,12 @@ def label_graph(nodes: DataFrame, edges: DataFrame, rounds: int = 12, damping: f
     """One node (or none) per scan, maximising node weights plus pair weights.
 
     Max-sum message passing on the graph of linked scans: ``edges`` is ``(a, b, weight)``
-    with a in the later and b in the earlier scan. A scan without a label scores -1 and
-    -10 against every other scan. Each round is a join and a grouped maximum; the round
-    whose decoded labelling has the highest value is returned. Runs jobs.
+    with a in the later and b in the earlier scan. A scan without a label scores -1, and
+    every pair of scans with one or two such ends scores -10. Pairs without a link depend
+    only on which scans have a label: their part of the score of "no label" follows from the
+    labelling before, and two starts are tried, all scans labelled and none. Each round is a
+    join and a grouped maximum; the round whose decoded labelling has the highest value is
+    returned. Runs jobs.
     Returns ``scan_id, node_id`` (NULL for no label).
     """
     own = nodes.select("scan_id", "node_id", F.coalesce(F.nanvl(F.col("nw"), F.lit(0.0)) * UNARY_WEIGHT, F.lit(0.0)).alias("u"))
@@ -155,44 +158,56 @@ def label_graph(nodes: DataFrame, edges: DataFrame, rounds: int = 12, damping: f
     links = both.select("i", "j").distinct()
     degree = links.groupBy(F.col("i").alias("scan_id")).agg(F.count("*").alias("deg"))
     n_scans = scans.count()
-    # The -10 against scans without a link is the same for every label there: unary.
     none = scans.join(degree, "scan_id", "left").select(
-        "scan_id", F.lit(-1).alias("node_id"),
-        (F.lit(NO_LABEL_UNARY) + F.lit(NO_LABEL_PAIR) * (n_scans - 1 - F.coalesce("deg", F.lit(0)))).alias("u"))
-    labels = cut(own.unionByName(none), "labels")
+        "scan_id", F.lit(-1).alias("node_id"), F.lit(NO_LABEL_UNARY).alias("u"), (n_scans - 1 - F.coalesce("deg", F.lit(0))).alias("apart"))
+    labels = cut(own.withColumn("apart", F.lit(0).cast("long")).unionByName(none), "labels")
     lab = lambda s, n: labels.select(F.col("scan_id").alias(s), F.col("node_id").alias(n))
     free = (F.col("a") >= 0) & (F.col("b") >= 0)
     factors = cut(links.join(lab("i", "a"), "i").join(lab("j", "b"), "j").join(both, ["i", "a", "j", "b"], "left").select(
         "i", "a", "j", "b", F.when(free, F.coalesce("weight", F.lit(0.0))).otherwise(F.lit(NO_LABEL_PAIR)).alias("theta")), "labels")
-    msg = cut(factors.select("i", "j", "b").distinct().withColumn("m", F.lit(0.0)), "labels")
+    start = cut(factors.select("i", "j", "b").distinct().withColumn("m", F.lit(0.0)), "labels")
     best, best_value = None, None
-    for _ in range(rounds):
-        into = msg.groupBy(F.col("j").alias("scan_id"), F.col("b").alias("node_id")).agg(F.sum("m").alias("_in"))
-        belief = labels.join(into, ["scan_id", "node_id"], "left").select(
-            "scan_id", "node_id", "u", (F.col("u") + F.coalesce("_in", F.lit(0.0))).alias("belief"))
-        belief = cut(belief, "labels")
-        pick = cut(belief.groupBy("scan_id").agg(F.max_by(F.struct("node_id", "u"), F.struct("belief", "node_id")).alias("p"))
-                   .select("scan_id", "p.node_id", "p.u"), "labels")
-        value = labelling_value(pick, factors)
-        if best_value is None or value > best_value + 1e-12:
-            best, best_value = pick, value
-        back = msg.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("b").alias("a"), F.col("m").alias("_back"))
-        send = factors.join(belief.select(F.col("scan_id").alias("i"), F.col("node_id").alias("a"), "belief"), ["i", "a"])
-        send = send.join(back, ["i", "j", "a"], "left").groupBy("i", "j", "b").agg(
-            F.max(F.col("belief") - F.coalesce("_back", F.lit(0.0)) + F.col("theta")).alias("m"))
-        top = send.groupBy("i", "j").agg(F.max("m").alias("_top"))
-        send = send.join(top, ["i", "j"]).select("i", "j", "b", (F.col("m") - F.col("_top")).alias("_new"))
-        msg = cut(msg.join(send, ["i", "j", "b"]).select(
-            "i", "j", "b", (F.col("m") * damping + F.col("_new") * (1.0 - damping)).alias("m")), "labels")
+    for first in (scans.where("false"), scans):
+        msg, bare = start, cut(first, "labels")
+        for _ in range(rounds):
+            # Scans without a label that have no link to this one: their pairs cost no more if it has none either.
+            n_bare = bare.count()
+            linked = links.join(bare.select(F.col("scan_id").alias("j")), "j", "left_semi").groupBy(F.col("i").alias("scan_id")).agg(F.count("*").alias("_near"))
+            spared = bare.withColumn("_self", F.lit(1)).join(linked, "scan_id", "full_outer")
+            into = msg.groupBy(F.col("j").alias("scan_id"), F.col("b").alias("node_id")).agg(F.sum("m").alias("_in"))
+            costly = F.col("apart") - (n_bare - F.coalesce("_near", F.lit(0)) - F.coalesce("_self", F.lit(0)))
+            belief = labels.join(spared, "scan_id", "left").join(into, ["scan_id", "node_id"], "left").select(
+                "scan_id", "node_id", "u", "apart",
+                (F.col("u") + F.when(F.col("node_id") < 0, costly * NO_LABEL_PAIR).otherwise(0.0) + F.coalesce("_in", F.lit(0.0))).alias("belief"))
+            belief = cut(belief, "labels")
+            pick = cut(belief.groupBy("scan_id").agg(F.max_by(F.struct("node_id", "u", "apart"), F.struct("belief", "node_id")).alias("p"))
+                       .select("scan_id", "p.node_id", "p.u", "p.apart"), "labels")
+            value = labelling_value(pick, factors)
+            if best_value is None or value > best_value + 1e-12:
+                best, best_value = pick, value
+            bare = pick.where("node_id < 0").select("scan_id")
+            back = msg.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("b").alias("a"), F.col("m").alias("_back"))
+            send = factors.join(belief.select(F.col("scan_id").alias("i"), F.col("node_id").alias("a"), "belief"), ["i", "a"])
+            send = send.join(back, ["i", "j", "a"], "left").groupBy("i", "j", "b").agg(
+                F.max(F.col("belief") - F.coalesce("_back", F.lit(0.0)) + F.col("theta")).alias("m"))
+            top = send.groupBy("i", "j").agg(F.max("m").alias("_top"))
+            send = send.join(top, ["i", "j"]).select("i", "j", "b", (F.col("m") - F.col("_top")).alias("_new"))
+            msg = cut(msg.join(send, ["i", "j", "b"]).select(
+                "i", "j", "b", (F.col("m") * damping + F.col("_new") * (1.0 - damping)).alias("m")), "labels")
     return best.select("scan_id", F.when(F.col("node_id") >= 0, F.col("node_id")).alias("node_id"))
 
 
 def labelling_value(pick: DataFrame, factors: DataFrame) -> float:
-    """Total of a labelling: node terms plus each linked pair once."""
+    """Total of a labelling: node terms, each linked pair once, and each pair without a link that lacks a label.
+
+    ``pick`` has ``scan_id, node_id, u`` and, for a scan without a label (node -1), ``apart``: how many
+    scans it has no link to.
+    """
     side = lambda s, n: pick.select(F.col("scan_id").alias(s), F.col("node_id").alias(n))
-    pair = factors.where("i < j").join(side("i", "a"), ["i", "a"], "left_semi").join(side("j", "b"), ["j", "b"], "left_semi")
-    both = pick.select(F.col("u").alias("v")).unionByName(pair.select(F.col("theta").alias("v")))
-    return both.agg(F.coalesce(F.sum("v"), F.lit(0.0))).first()[0]
+    pair = cut(factors.where("i < j").join(side("i", "a"), ["i", "a"], "left_semi").join(side("j", "b"), ["j", "b"], "left_semi"), "labels")
+    own, apart, bare = pick.agg(F.coalesce(F.sum("u"), F.lit(0.0)), F.coalesce(F.sum("apart"), F.lit(0)), F.count_if(F.col("node_id") < 0)).first()
+    linked, both = pair.agg(F.coalesce(F.sum("theta"), F.lit(0.0)), F.count_if((F.col("a") < 0) & (F.col("b") < 0))).first()
+    return own + linked + NO_LABEL_PAIR * (apart - (bare * (bare - 1) // 2 - both))
 
 
 def agreement(solution: DataFrame, edges: DataFrame) -> DataFrame:
@@ -222,21 +237,25 @@ def unlock_weak(solution: DataFrame, z: float = UNLOCK_BELOW) -> DataFrame:
 
 
 def exclude_near(solution: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Among neighbouring locked nodes keep the one with the best agreement.
+    """Of two neighbouring locked nodes the one with the lower agreement is unlocked, pair by pair.
 
-    ``pairs`` is the symmetric ``(a, b)`` list of nodes too close together. Each round
-    keeps every locked node that beats all its locked neighbours (lower id on a tie)
-    and unlocks their neighbours, until no conflict is left. Runs jobs.
+    ``pairs`` is the symmetric ``(a, b)`` list of nodes too close together. Pairs count in
+    the order of their lower, then their higher node; a pair counts only if both of its nodes
+    are still locked, and on a tie the higher node is unlocked. Each round decides every pair
+    that no undecided earlier pair touches. Runs jobs.
     """
     cols = solution.columns
     locked = solution.where("locked").select("node_id", "agreement")
     side = lambda s, n: locked.select(F.col("node_id").alias(s), F.col("agreement").alias(n))
-    live = cut(pairs.join(side("a", "ga"), "a").join(side("b", "gb"), "b"), "near")
+    live = cut(pairs.where("a < b").select("a", "b").distinct().join(side("a", "ga"), "a").join(side("b", "gb"), "b"), "near")
     lost = None
-    while not live.isEmpty():  # the best live node always wins, so every round ends some conflict
-        a_wins = (F.col("ga") > F.col("gb")) | ((F.col("ga") == F.col("gb")) & (F.col("a") < F.col("b")))
-        kept = live.groupBy("a").agg(F.min(a_wins).alias("_all")).where("_all").select("a")
-        out = cut(live.join(kept, "a", "left_semi").select(F.col("b").alias("node_id")).distinct(), "near")
+    while not live.isEmpty():  # the first pair is always ready, so every round decides one
+        ends = live.select(F.col("a").alias("n"), "a", "b").unionByName(live.select(F.col("b").alias("n"), "a", "b"))
+        first = measured(ends.groupBy("n").agg(F.min(F.struct("a", "b")).alias("p")))
+        of = lambda s: first.select(F.col("n").alias(s), F.col("p").alias(f"p{s}"))
+        own = F.struct("a", "b")
+        ready = live.join(of("a"), "a").join(of("b"), "b").where((F.col("pa") == own) & (F.col("pb") == own))
+        out = cut(ready.select(F.when(F.col("ga") < F.col("gb"), F.col("a")).otherwise(F.col("b")).alias("node_id")), "near")
         lost = out if lost is None else lost.unionByName(out)
         gone = lambda s: out.select(F.col("node_id").alias(s))
         live = cut(live.join(gone("a"), "a", "left_anti").join(gone("b"), "b", "left_anti"), "near")

@@ -59,7 +59,7 @@ def adaptive_leaf(n: int, leaf: float, limit: float) -> float:
     return leaf * math.sqrt(n / limit) if n > limit else leaf
 
 
-def sample_to(points: DataFrame, leaf: float, limit: float = 100e6, tie: str = "idx") -> DataFrame:
+def sample_to(points: DataFrame, leaf: float, limit: float, tie: str = "idx") -> DataFrame:
     """Sample, and once more with a larger leaf when more than ``limit`` points remain. Runs a job."""
     first = cut(uniform_sample(points, leaf, [], tie), "sample")
     n = first.count()
@@ -253,42 +253,42 @@ def refine(source: DataFrame, target: DataFrame, by: list[str], rounds: int = 30
     Each round matches source rows to their nearest targets within the limit and
     applies the least-squares motion ``inner`` times. A group is given up when its
     accumulated motion is not small or its fitness exceeds ``max_fitness``, and is
-    finished when the motion has settled over four rounds; the limit shrinks once no
-    group moves. Only one matrix per group is carried between rounds. Runs jobs.
+    finished when the motion has settled over four rounds; its own limit shrinks in every
+    round in which it does not move. Only one matrix per group is carried between rounds. Runs jobs.
     Returns ``by, m, ok``.
     """
     eye = F.array(*[F.lit(1.0 if i % 5 == 0 else 0.0) for i in range(16)])
     state = cut(source.select(*by).distinct().select(
         *by, eye.alias("m"), F.lit(True).alias("ok"), F.array().cast("array<array<double>>").alias("past"),
-        F.lit(False).alias("settled"), F.lit(0.0).alias("moved")), "refine")
+        F.lit(False).alias("settled"), F.lit(limit).alias("limit")), "refine")
     cols = ["idx", "x", "y", "z"] + (features or [])
     for _ in range(rounds):
         if state.where("ok AND NOT settled").isEmpty():
             break
-        live = state.where("ok AND NOT settled").select(*by, "m")
-        step = live
+        step = state.where("ok AND NOT settled").select(*by, "m", "limit")
+        widest = step.agg(F.max("limit")).first()[0]
         for _ in range(inner):
             moved = source.select(*by, *cols).join(step, by)
             t = G.transform4(G.vec(), F.col("m"))
-            moved = moved.select(*by, "idx", *[c.alias(a) for c, a in zip(t, "xyz")], *(features or []))
-            fit = fit_rigid(nearest(moved, target, limit, by, features, weights), by).select(
+            moved = moved.select(*by, "idx", "limit", *[c.alias(a) for c, a in zip(t, "xyz")], *(features or []))
+            found = nearest(moved, target, widest, by, features, weights).where(F.col("d2") <= F.col("limit") * F.col("limit"))
+            fit = fit_rigid(found, by).select(
                 *by, F.col("m").alias("_d"), "fitness")
-            step = cut(step.select(*by, "m").join(fit, by, "left").select(
-                *by, F.coalesce(G.multiply(F.col("_d"), F.col("m"), 4), F.col("m")).alias("m"), "fitness"), "refine")
+            step = cut(step.select(*by, "m", "limit").join(fit, by, "left").select(
+                *by, "limit", F.coalesce(G.multiply(F.col("_d"), F.col("m"), 4), F.col("m")).alias("m"), "fitness"), "refine")
         new = step.select(*by, F.col("m").alias("_m"), F.col("fitness").alias("_f"))
         gap = lambda p, q: F.sqrt(F.aggregate(F.zip_with(p, q, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
         good = G.is_small_motion(F.col("_m")) & (F.coalesce(F.col("_f"), F.lit(1e9)) <= max_fitness)
         spread4 = F.aggregate(F.transform("past", lambda p: gap(p, F.col("_m"))), F.lit(0.0), lambda s, v: s + v) / 4.0
         joined = state.join(new, by, "left")
         active = F.col("_m").isNotNull()
+        still = active & (gap(F.col("_m"), F.col("m")) < eps)
         state = cut(joined.select(
             *by, F.when(active & good, F.col("_m")).otherwise(F.col("m")).alias("m"),
             F.when(active, good).otherwise(F.col("ok")).alias("ok"),
             F.when(active, F.slice(F.concat(F.array("_m"), F.col("past")), 1, 4)).otherwise(F.col("past")).alias("past"),
             F.when(active, (F.size("past") == 4) & (spread4 < eps)).otherwise(F.col("settled")).alias("settled"),
-            F.when(active, gap(F.col("_m"), F.col("m"))).otherwise(F.lit(0.0)).alias("moved")), "refine")
-        if state.where((F.col("moved") >= eps) & F.col("ok") & ~F.col("settled")).isEmpty():
-            limit = max(limit - shrink, shrink)
+            F.when(still, F.greatest(F.col("limit") - shrink, F.lit(shrink))).otherwise(F.col("limit")).alias("limit")), "refine")
     return state.select(*by, F.when(F.col("ok"), F.col("m")).otherwise(eye).alias("m"), "ok")
 
 

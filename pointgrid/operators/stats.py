@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import geometry as G
-from ..stages import cut
+from ..stages import cut, measured, ranked
 
 INLIER_ANGLE = 0.02
 
@@ -72,7 +74,7 @@ def dominant_value(df: DataFrame, by: list[str], value: str, tol: float = 0.03)
 
 
 def peel_values(df: DataFrame, by: list[str], value: str, remove: float = 0.05, until: float = -1.5,
-                cap: int = 20, tol: float = 0.03) -> DataFrame:
+                tol: float = 0.03) -> DataFrame:
     """Repeatedly take the dominant value and delete its surroundings.
 
     A group stops once two values are found and the smallest is below ``until``, or
@@ -82,7 +84,9 @@ def peel_values(df: DataFrame, by: list[str], value: str, remove: float = 0.05,
     left = cut(value_counts(df, by, value), "peel")
     found = None
     done_when = (F.col("_low") < until) & (F.col("_k") >= 2)
-    for k in range(1, cap + 1):
+    k = 0
+    while True:
+        k += 1
         best = cut(dominant_of_counts(left, by, tol).select(
             *by, F.lit(k).alias("round"), "dominant"), "peel")
         if best.isEmpty():
@@ -91,10 +95,9 @@ def peel_values(df: DataFrame, by: list[str], value: str, remove: float = 0.05,
         running = found.groupBy(*by).agg(F.min("dominant").alias("_low"), F.max("round").alias("_k"))
         open_groups = running.where(~done_when & (F.col("_k") == k)).select(*by)
         centre = best.join(open_groups, by, "left_semi").select(*by, "dominant")
-        if k < cap:
-            left = cut(left.join(centre, by).where(F.abs(F.col("v") - F.col("dominant")) >= remove)
-                       .select(*by, "v", "n"), "peel")
-    return found
+        left = cut(left.join(centre, by).where(F.abs(F.col("v") - F.col("dominant")) >= remove)
+                   .select(*by, "v", "n"), "peel")
+    return best if found is None else found
 
 
 def floor_and_span(planes: DataFrame, by: list[str]) -> DataFrame:
@@ -104,82 +107,125 @@ def floor_and_span(planes: DataFrame, by: list[str]) -> DataFrame:
     return planes.groupBy(*by).agg(low.alias("floor_coord"), (high - low).alias("dz"))
 
 
-def hypotheses(normals: DataFrame, trials: int, seed: int) -> DataFrame:
-    """At most ``trials`` normals per scan, chosen by a seeded hash of their id."""
-    key = F.md5(F.concat_ws(":", F.col("idx").cast("string"), F.lit(str(seed))))
-    pick = W.partitionBy("scan_id").orderBy("_h", "idx")
-    return (
-        normals.withColumn("_h", key).withColumn("_r", F.row_number().over(pick)).where(F.col("_r") <= trials)
-        .select("scan_id", F.col("idx").alias("h"), F.col("nx").alias("hx"), F.col("ny").alias("hy"),
-                F.col("nz").alias("hz"))
-    )
+CONFIDENCE, LEAST_SHARE = 0.999, 0.001
+
+
+def trials_needed(support: Column, total: Column) -> Column:
+    """Hypotheses after which the best one is good enough with the wanted confidence."""
+    share = F.greatest(F.lit(LEAST_SHARE), F.pow((support - 3.0) / total, F.lit(3.0)))
+    return F.log(F.lit(1.0 - CONFIDENCE)) / F.log(1.0 - share)
+
 
+def in_seeded_order(items: DataFrame, key: str, by: list[str], seed: int) -> DataFrame:
+    """Items with their place ``k`` in a random order per group, fixed by the seed. Runs a job."""
+    order = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    return ranked(items.withColumn("_h", order), ["_h", key], by, "k").drop("_h")
 
-def _best_direction(inliers: DataFrame, v: G.Vec, normalise: bool) -> DataFrame:
-    """Most supported hypothesis per scan and the sign-aligned mean of its inliers."""
+
+def until_settled(hypotheses: DataFrame, total: DataFrame, by: list[str],
+                  score: Callable[[DataFrame], DataFrame], first: int = 64) -> DataFrame:
+    """Try hypotheses in the order of ``k`` until the best of each group is good enough.
+
+    ``total`` has ``by, total`` (items per group); ``score`` returns ``by, k, support, found``
+    for a batch of hypotheses. A hypothesis counts if those before it did not yet suffice; the
+    earliest with the greatest support wins. Batches double; a group that is settled takes no
+    further part, and one whose hypotheses are used up ends with what it has. Runs jobs.
+    """
+    state = cut(total.withColumn("best", F.lit(None).cast("long")), "trials")
+    found, done = None, 0
+    before = W.partitionBy(*by).orderBy("k").rowsBetween(W.unboundedPreceding, -1)
+    while True:
+        more = F.col("best").isNull() | (F.lit(done) < trials_needed(F.col("best"), F.col("total")))
+        batch = hypotheses.where(F.col("k").between(done + 1, done + first)).join(state.where(more).select(*by), by, "left_semi")
+        if batch.isEmpty():
+            break
+        tried = score(batch).join(measured(state), by)
+        tried = tried.withColumn("_before", F.greatest("best", F.max("support").over(before)))
+        counts = F.col("_before").isNull() | (F.col("k") - 1 < trials_needed(F.col("_before"), F.col("total")))
+        new = cut(tried.where(counts).groupBy(*by).agg(
+            F.max(F.struct("support", (-F.col("k")).alias("_k"), "found")).alias("b")), "trials")
+        found = new if found is None else found.unionByName(new)
+        better = F.col("best").isNull() | (F.col("b.support") > F.col("best"))
+        state = cut(state.join(new, by, "left").select(
+            *by, "total", F.when(better & F.col("b").isNotNull(), F.col("b.support")).otherwise(F.col("best")).alias("best")), "trials")
+        done, first = done + first, first * 2
+    if found is None:
+        return score(hypotheses).where("false").select(*by, "k", "support", "found")
+    top = found.groupBy(*by).agg(F.max("b").alias("b"))
+    return top.select(*by, (-F.col("b._k")).alias("k"), "b.support", "b.found")
+
+
+def _supported(inliers: DataFrame, v: G.Vec) -> DataFrame:
+    """Support of every hypothesis, and the sign-aligned sum of its inliers."""
     sign = F.when(G.dot(v, G.vec("h")) < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    per = inliers.groupBy("scan_id", "h").agg(
+    per = inliers.groupBy("scan_id", "k", "h").agg(
         F.count("*").alias("support"), *[F.sum(c * sign).alias(f"s{n}") for c, n in zip(v, "xyz")])
-    best = per.groupBy("scan_id").agg(
-        F.max(F.struct("support", (-F.col("h")).alias("k"), "sx", "sy", "sz")).alias("b"))
-    s = tuple(F.col(f"b.s{n}") for n in "xyz")
-    size = G.norm(s) if normalise else F.col("b.support")
-    return best.select("scan_id", (-F.col("b.k")).alias("h"), F.col("b.support").alias("support"),
-                       *[(c / size).alias(f"m{n}") for c, n in zip(s, "xyz")])
+    return per.select("scan_id", "k", "support", F.struct("h", "sx", "sy", "sz").alias("found"))
+
+
+def _direction(normals: DataFrame, seed: int, inliers: Callable[[DataFrame], DataFrame], v: G.Vec,
+               normalise: bool) -> DataFrame:
+    names = {"idx": "h", "nx": "hx", "ny": "hy", "nz": "hz"}
+    order = in_seeded_order(normals.select("scan_id", *names), "idx", ["scan_id"], seed)
+    order = cut(order.withColumnsRenamed(names), "hypotheses")
+    total = normals.groupBy("scan_id").agg(F.count("*").alias("total"))
+    best = until_settled(order, total, ["scan_id"], lambda batch: _supported(inliers(measured(batch)), v))
+    s = tuple(F.col(f"found.s{n}") for n in "xyz")
+    size = G.norm(s) if normalise else F.col("support")
+    return best.select("scan_id", "found.h", "support", *[(c / size).alias(f"m{n}") for c, n in zip(s, "xyz")])
 
 
-def dominant_direction(normals: DataFrame, trials: int = 256, seed: int = 7) -> DataFrame:
-    """Direction shared by most normals of a scan, from a bounded set of hypotheses.
+def dominant_direction(normals: DataFrame, seed: int = 7) -> DataFrame:
+    """Direction shared by most normals of a scan, found by seeded consensus.
 
-    Every normal meets the at most ``trials`` hypotheses of its scan and the counts
-    are combined before the shuffle, so a dominant scan only adds map tasks.
+    Normals stand as hypotheses in a seeded order until the best one suffices. Every
+    normal meets a batch of hypotheses of its scan and the counts are combined before
+    the shuffle, so a dominant scan only adds map tasks. Runs jobs.
     Returns ``scan_id, h, support, mx, my, mz`` (a mean, not a unit vector).
     """
     n, h = G.vec("n"), G.vec("h")
     near = F.acos(G.unit_clamp(F.abs(G.dot(n, h)))) < INLIER_ANGLE
-    pairs = normals.join(hypotheses(normals, trials, seed), "scan_id").where(near)
-    return _best_direction(pairs, n, normalise=False)
+    return _direction(normals, seed, lambda batch: normals.join(batch, "scan_id").where(near), n, normalise=False)
 
 
-def dominant_pair(normals: DataFrame, axis: DataFrame, trials: int = 256, seed: int = 7) -> DataFrame:
+def dominant_pair(normals: DataFrame, axis: DataFrame, seed: int = 7) -> DataFrame:
     """Two perpendicular directions at once, among normals perpendicular to ``axis``.
 
     ``axis`` has ``scan_id, mx, my, mz``. A normal supports a hypothesis when it
-    follows either the hypothesis or its cross product with the axis.
+    follows either the hypothesis or its cross product with the axis. Runs jobs.
     Returns the second direction and, as ``px, py, pz``, the third.
     """
     n, h = G.vec("n"), G.vec("h")
-    first = axis.select("scan_id", *[F.col(f"m{c}").alias(f"a{c}") for c in "xyz"])
+    first = measured(axis.select("scan_id", *[F.col(f"m{c}").alias(f"a{c}") for c in "xyz"]))
     a = G.vec("a")
     sine = G.norm(G.cross(n, a))
     side = normals.join(first, "scan_id").where(F.asin(G.unit_clamp(sine)) > F.pi() / 2.0 - INLIER_ANGLE)
     off = lambda u, v: F.acos(G.unit_clamp(F.abs(G.dot(u, v))))
-    pairs = side.join(hypotheses(side, trials, seed), "scan_id").withColumn("d1", off(n, h)).withColumn(
-        "d2", off(n, G.cross(h, a)))
     turned = G.cross(n, a)
     v = tuple(F.when(F.col("d1") < INLIER_ANGLE, c).otherwise(t) for c, t in zip(n, turned))
-    inliers = pairs.where(F.least("d1", "d2") < INLIER_ANGLE)
-    out = _best_direction(inliers, v, normalise=True)
+
+    def inliers(batch: DataFrame) -> DataFrame:
+        pairs = side.join(batch, "scan_id").withColumn("d1", off(n, h)).withColumn("d2", off(n, G.cross(h, a)))
+        return pairs.where(F.least("d1", "d2") < INLIER_ANGLE)
+
+    out = _direction(side, seed, inliers, v, normalise=True)
     third = G.cross(G.vec("m"), a)
     return out.join(first, "scan_id").select(*out.columns, *[c.alias(f"p{k}") for c, k in zip(third, "xyz")])
 
 
-def consensus(items: DataFrame, candidates: DataFrame, by: list[str], inlier: Column,
-              reducer: Column) -> DataFrame:
+def consensus(items: DataFrame, candidates: DataFrame, by: list[str], inlier: Column, reducer: Column,
+              seed: int = 7) -> DataFrame:
     """Generic consensus: the candidate with most inliers, and ``reducer`` over them.
 
-    ``candidates`` carries ``cand`` and must be bounded per group; ``inlier`` compares
-    an item with a candidate and ``reducer`` is an aggregate expression.
+    ``candidates`` has ``cand`` and is tried in a seeded order until the best suffices;
+    ``inlier`` compares an item with a candidate and ``reducer`` is an aggregate. Runs jobs.
     """
-    per = items.join(candidates, by).where(inlier).groupBy(*by, "cand").agg(
-        F.count("*").alias("support"), reducer.alias("estimate"))
-    return per.groupBy(*by).agg(F.max(F.struct("support", (-F.col("cand")).alias("k"), "estimate")).alias("b")).select(
-        *by, (-F.col("b.k")).alias("cand"), F.col("b.support").alias("support"), F.col("b.estimate").alias("estimate"))
-
+    order = cut(in_seeded_order(candidates, "cand", by, seed), "hypotheses")
+    total = items.groupBy(*by).agg(F.count("*").alias("total"))
 
-def trial_count(inliers: int, total: int, confidence: float = 0.999) -> int:
-    """Hypotheses needed to have met a good one with the given confidence."""
-    import math
+    def score(batch: DataFrame) -> DataFrame:
+        per = items.join(measured(batch), by).where(inlier).groupBy(*by, "k", "cand")
+        return per.agg(F.count("*").alias("support"), reducer.alias("estimate")).select(
+            *by, "k", "support", F.struct("cand", "estimate").alias("found"))
 
-    p = max(0.001, (max(0.0, inliers - 3) / max(1, total)) ** 3)
-    return 1 if p >= 1 else math.ceil(math.log(1 - confidence) / math.log(1 - p))
+    return until_settled(order, total, by, score).select(*by, "found.cand", "support", "found.estimate")

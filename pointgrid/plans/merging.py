@@ -11,10 +11,9 @@ from ..stages import cut
 
 # Fixed values of the merge.
 START_LEAF, FIRST_LEAF_SHARE, PLAIN_LEAF = 0.02, 0.85, 0.005
-MERGE_LIMIT = 100e6
 KEEP_BOX, TARGET_BOX = (3.5, 3.5, 4.0), (3.0, 3.0, 3.0)
 TARGET_SHARE = 0.25
-FEATURE_LEAF, FEATURE_K = 0.04, 30
+FEATURE_LEAF = 0.04
 
 
 def pose_transforms(poses: DataFrame) -> DataFrame:
@@ -32,21 +31,22 @@ def prepare_scans(points: DataFrame, transforms: DataFrame, leaf: float = START_
     return kept, target
 
 
-def finish(cloud: DataFrame, leaf: float, limit: float, k: int, m: float, cell: float | None = None) -> DataFrame:
-    """Sample the union (again with a larger leaf when too large) and drop outliers."""
+def finish(cloud: DataFrame, leaf: float, limit: float | None, k: int, m: float, cell: float | None = None) -> DataFrame:
+    """Sample the union (with a ``limit`` again with a larger leaf when more points remain) and drop outliers."""
     cloud = cloud.withColumn("idx", F.struct("scan_id", "idx")) if "scan_id" in cloud.columns else cloud
-    thin = cut(neighbors.sample_to(cloud, leaf, limit), "merged")
+    thin = neighbors.uniform_sample(cloud, leaf, [], "idx") if limit is None else neighbors.sample_to(cloud, leaf, limit)
+    thin = cut(thin, "merged")
     return neighbors.drop_statistical_outliers(thin, k, m, [], cell)
 
 
-def merge_with_transforms(points: DataFrame, transforms: DataFrame, leaf: float = PLAIN_LEAF, limit: float = MERGE_LIMIT,
+def merge_with_transforms(points: DataFrame, transforms: DataFrame, leaf: float = PLAIN_LEAF, limit: float | None = None,
                           k: int = 50, m: float = 2.0, cell: float | None = None) -> DataFrame:
     """Merge with given transforms only. ``idx`` becomes ``(scan_id, idx)``. Runs jobs."""
     return finish(merging.apply_transforms(points, transforms), leaf, limit, k, m, cell)
 
 
 def merge_scans(points: DataFrame, poses: DataFrame, refine: bool = False, leaf: float = START_LEAF,
-                limit: float = MERGE_LIMIT, k: int = 50, m: float = 2.0, rounds: int = 30,
+                limit: float | None = None, k: int = 50, m: float = 2.0, rounds: int = 30,
                 cell: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Merged cloud and the transforms ``(scan_id, before, after)``. Runs jobs.
 
@@ -80,7 +80,7 @@ def merge_scans(points: DataFrame, poses: DataFrame, refine: bool = False, leaf:
         both = tagged if merged is None else merged.unionByName(tagged)
         first = cut(neighbors.uniform_sample(both, leaf, [], "idx"), "merged")
         n = first.count()
-        if n > limit:
+        if limit is not None and n > limit:
             leaf = neighbors.adaptive_leaf(n, leaf, limit)
             first = cut(neighbors.uniform_sample(first, leaf, [], "idx"), "merged")
         merged = first

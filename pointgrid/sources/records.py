@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 # Fixed values of the record formats.
-SAVE_CAP, LOAD_CAP = 500, 200
 PLACEMENT_HEADER = ("Score", "x", "y", "rotation")
 BEFORE, AFTER = "Before general icp:", "After general icp:"
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 
 
-def best_placements(df: DataFrame, zero_zero: DataFrame, cap: int = SAVE_CAP) -> DataFrame:
+def best_placements(df: DataFrame, zero_zero: DataFrame, cap: int) -> DataFrame:
     """The ``cap`` best placements per scan, moved to the scanner's pixel."""
     w = W.partitionBy("scan_id").orderBy("score", "rot", "x", "y")
     best = df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
@@ -21,7 +20,7 @@ def best_placements(df: DataFrame, zero_zero: DataFrame, cap: int = SAVE_CAP) ->
         "scan_id", "rank", "score", (F.col("x") + F.col("zx")).alias("x"), (F.col("y") + F.col("zy")).alias("y"), "rot")
 
 
-def save_placements(df: DataFrame, zero_zero: DataFrame, path: str, cap: int = SAVE_CAP) -> None:
+def save_placements(df: DataFrame, zero_zero: DataFrame, path: str, cap: int) -> None:
     """Space separated text per scan, best first, with the header line."""
     names = dict(zip(("score", "x", "y", "rot"), PLACEMENT_HEADER))
     best_placements(df, zero_zero, cap).repartition("scan_id").sortWithinPartitions("scan_id", "rank").select(
@@ -29,7 +28,7 @@ def save_placements(df: DataFrame, zero_zero: DataFrame, path: str, cap: int = S
         "sep", " ").option("header", True).csv(path)
 
 
-def load_placements(spark: SparkSession, path: str, cap: int = LOAD_CAP) -> DataFrame:
+def load_placements(spark: SparkSession, path: str, cap: int) -> DataFrame:
     df = spark.read.option("sep", " ").option("header", True).schema(
         "Score double, x int, y int, rotation int, scan_id int").csv(path)
     df = df.select("scan_id", F.col("Score").alias("score"), F.col("x"), F.col("y"), F.col("rotation").alias("rot"))

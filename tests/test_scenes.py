@@ -201,6 +201,49 @@ def test_labels_reach_the_best_value_on_small_graphs(spark, seed):
     assert value([got[s] for s in range(3)]) == pytest.approx(best)
 
 
+def test_unlinked_scans_share_the_cost_of_having_no_label(spark):
+    n_df = spark.createDataFrame([(0, 0, -10.0), (1, 1, -10.0)], "node_id int, scan_id int, nw double")
+    e_df = spark.createDataFrame([], "a int, b int, weight double")
+    assert {r["node_id"] for r in graph.label_graph(n_df, e_df).collect()} == {None}
+
+
+@pytest.mark.parametrize("seed", range(1))
+def test_sparse_graphs_reach_the_best_value(spark, seed):
+    rng = np.random.default_rng(seed + 10)
+    nodes = [(s * 2 + k, s, float(rng.normal(0, 4))) for s in range(4) for k in range(2)]
+    linked = {(0, 1), (1, 2)}
+    edges = [(a[0], b[0], float(rng.normal())) for a in nodes for b in nodes if (b[1], a[1]) in linked]
+    w = {(a, b): v for a, b, v in edges}
+    n_df = spark.createDataFrame(nodes, "node_id int, scan_id int, nw double")
+    e_df = spark.createDataFrame(edges, "a int, b int, weight double")
+
+    def value(pick):
+        total = sum(-1.0 if p is None else 0.75 * nodes[p][2] for p in pick)
+        for i, j in itertools.combinations(range(4), 2):
+            total += -10.0 if pick[i] is None or pick[j] is None else w.get((pick[j], pick[i]), 0.0)
+        return total
+
+    best = max(value(p) for p in itertools.product(*[[s * 2, s * 2 + 1, None] for s in range(4)]))
+    got = {r["scan_id"]: r["node_id"] for r in graph.label_graph(n_df, e_df, rounds=10).collect()}
+    assert value([got[s] for s in range(4)]) == pytest.approx(best)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_near_nodes_are_excluded_pair_by_pair(spark, seed):
+    rng = np.random.default_rng(seed)
+    agreement = [1.0, 2.0, 3.0] if not seed else [float(x) for x in rng.integers(0, 5, 25)]
+    n = len(agreement)
+    near = {(0, 1), (1, 2)} if not seed else {tuple(sorted(p)) for p in rng.integers(0, n, (40, 2)).tolist() if p[0] != p[1]}
+    locked = [True] * n
+    for a, b in sorted(near):
+        if locked[a] and locked[b]:
+            locked[a if agreement[a] < agreement[b] else b] = False
+    sol = spark.createDataFrame([(i, i, g, True) for i, g in enumerate(agreement)], "scan_id int, node_id int, agreement double, locked boolean")
+    pairs = spark.createDataFrame([*near, *((b, a) for a, b in near)], "a int, b int")
+    got = {r["node_id"]: r["locked"] for r in graph.exclude_near(sol, pairs).collect()}
+    assert [got[i] for i in range(n)] == locked
+
+
 def test_box_room_axes_and_floor(spark):
     rng = np.random.default_rng(4)
     n = 400
