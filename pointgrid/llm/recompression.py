@@ -29,7 +29,7 @@ from pointgrid.llm.arrow_text import NO_ID, ints, mixed, replaced, slices, unuse
 from pointgrid.llm.windows import SLICE, Names, Runs, covered, keyed, none, ranges_of, repeated
 
 DIGESTS = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-ROUNDS = 1
+ROUNDS = 2
 
 
 @dataclass
