@@ -98,7 +98,7 @@ def high_order_weights(nodes: DataFrame, free: DataFrame, rows: int, cols: int,
                  gaussian_weight(F.col("dx") / scale, F.col("dy") / scale, HIGH_ORDER_SIGMA, HIGH_ORDER_SIGMA).alias("g"))
     p = p.where(F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1))
     total = p.groupBy("node_id").agg(F.sum("g").alias("_t"))
-    return p.join(total, "node_id").select("node_id", "scan_id", "row", "col", (F.col("g") * HIGH_ORDER_RANGE / F.col("_t")).alias("wt"))
+    return p.join(measured(total), "node_id").select("node_id", "scan_id", "row", "col", (F.col("g") * HIGH_ORDER_RANGE / F.col("_t")).alias("wt"))
 
 
 def higher_order(nodes: DataFrame, free: DataFrame, rows: int, cols: int, scale: float) -> DataFrame:

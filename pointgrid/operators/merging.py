@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..stages import measured
 
 
 def union_clouds(*dfs: DataFrame) -> DataFrame:
@@ -15,8 +16,8 @@ def union_clouds(*dfs: DataFrame) -> DataFrame:
 
 
 def apply_transforms(points: DataFrame, transforms: DataFrame) -> DataFrame:
-    """Points moved by their scan's 4x4 transform; scans without one drop out."""
-    p = points.join(transforms.select("scan_id", F.col("m").alias("_m")), "scan_id")
+    """Points moved by their scan's 4x4 transform; scans without one drop out. Runs a job."""
+    p = points.join(measured(transforms.select("scan_id", F.col("m").alias("_m"))), "scan_id")
     moved = G.transform4(G.vec(), F.col("_m"))
     new = dict(zip("xyz", moved))
     return p.select(*[new[c].alias(c) if c in new else F.col(c) for c in points.columns])

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from ..functions import geometry as G
-from ..stages import cut, spread
+from ..stages import cut, measured, spread
 from .grids import offsets
 
 _NORMAL = T.StructType([T.StructField(n, T.DoubleType()) for n in ("nx", "ny", "nz", "curvature")])
@@ -143,7 +143,9 @@ def knn(queries: DataFrame, points: DataFrame, k: int, by: list[str], cell: floa
     data = cut(positions(points, by), "knn-data")
     cell = cell or start_cell(data, k, by)
     group = data.groupBy(*by).agg(F.sum("n").alias("_all"), F.greatest(*[F.max(a) - F.min(a) for a in axes]).alias("_span"))
-    if not by:
+    if by:
+        group = measured(group)
+    else:
         whole = group.first()
     waiting = queries.select(*by, "idx", *axes)
     done = None
@@ -192,7 +194,7 @@ def drop_statistical_outliers(points: DataFrame, k: int = 50, m: float = 2.0, by
     d = cut(mean_distance(points, k, by, cell), "outliers")
     lim = (F.avg("mean_dist") + F.stddev_samp("mean_dist") * m).alias("_lim")
     if by:
-        d = d.join(d.groupBy(*by).agg(lim), by).where(F.col("mean_dist") <= F.col("_lim"))
+        d = d.join(measured(d.groupBy(*by).agg(lim)), by).where(F.col("mean_dist") <= F.col("_lim"))
     else:
         d = d.where(F.col("mean_dist") <= d.agg(lim).scalar())
     return points.join(d.select(*by, "idx"), by + ["idx"], "left_semi")

@@ -92,12 +92,12 @@ def ranked(df: DataFrame, order: list[str], by: list[str] | None = None, name: s
     ).withColumn("_part", F.shiftright("_mid", 33))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_off"))
+    offsets = measured(sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_off")))
     out = placed.join(offsets, "_part").withColumn(
         name, F.col("_off") + F.col("_mid").bitwiseAND((1 << 33) - 1) + 1
     )
     if by:
-        first = out.groupBy(*by).agg(F.min(name).alias("_first"))
+        first = measured(out.groupBy(*by).agg(F.min(name).alias("_first")))
         out = out.join(first, by).withColumn(name, F.col(name) - F.col("_first") + 1)
     return out.select(*df.columns, name)
 
