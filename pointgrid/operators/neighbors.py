@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from ..functions import geometry as G
-from ..stages import cut, measured, spread
+from ..stages import cut, measured
 from .grids import offsets
 
 _NORMAL = T.StructType([T.StructField(n, T.DoubleType()) for n in ("nx", "ny", "nz", "curvature")])
@@ -29,7 +29,8 @@ def bucket_join(left: DataFrame, right: DataFrame, axes: list[str], size: float,
     """Pairs whose cubes of edge ``size`` touch; the caller applies the exact distance.
 
     ``left`` is repeated into its 3^d neighbour cubes, ``right`` stays as it is. The
-    right-hand axes come back as ``q<axis>``; other column names must not clash.
+    right-hand axes come back as ``q<axis>``; other column names must not clash. The
+    join's own exchange is used, so that a hot cube can be split.
     """
     near = F.array(*[F.struct(*[F.lit(d).alias(a) for d, a in zip(o, axes)]) for o in offsets(1, len(axes))])
     k = [f"_k{a}" for a in axes]
@@ -38,7 +39,7 @@ def bucket_join(left: DataFrame, right: DataFrame, axes: list[str], size: float,
     rest = [c for c in right.columns if c not in axes + by]
     rhs = right.select(*by, *rest, *[F.col(a).alias(f"q{a}") for a in axes],
                        *[cell_of(a, size).alias(c) for a, c in zip(axes, k)])
-    return spread(lhs, *by, *k).join(rhs, by + k).drop(*k)
+    return lhs.join(rhs, by + k).drop(*k)
 
 
 def distance2(axes: list[str]) -> Column:
