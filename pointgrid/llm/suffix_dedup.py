@@ -26,6 +26,8 @@ from pointgrid.llm.windows import SLICE, Names, Runs, covered, keyed, none, rang
 
 DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 GRAM = 100
+#: So many neighbouring windows are compared in one task where they have one spot.
+TOGETHER = 32
 
 
 def sliding_least(v: np.ndarray, w: int) -> np.ndarray:
@@ -39,31 +41,36 @@ def sliding_least(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def spots(width: int):
-    """Each window's spot is the least hashed piece of GRAM bytes in it, leftmost on a tie."""
+def chosen_spots(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start of every window, its spot's place, and the name of the piece there.
+
+    Each window's spot is the least hashed piece of GRAM bytes in it, leftmost on a tie.
+    """
     gram = min(GRAM, max(1, width // 4))
+    long = np.flatnonzero(np.diff(at) >= width)
+    if not len(long):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    i = np.arange(len(data) - gram + 1)
+    piece = Names(data)(i, i + gram)
+    bits = np.uint64(len(data).bit_length())
+    place = (piece >> bits << bits) | i.astype(np.uint64)
+    spot = (sliding_least(place, width - gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    edge = np.zeros(len(data) + 1, np.int32)
+    edge[at[long]] += 1
+    edge[at[long + 1] - width + 1] -= 1
+    window = np.flatnonzero(np.cumsum(edge[:-1]))
+    return window, spot[window], piece[spot[window]]
 
+
+def spots(width: int):
     def find(data: np.ndarray, at: np.ndarray) -> Runs:
-        if len(data) < width:
-            return none()
-        names = Names(data)
-        i = np.arange(len(data) - gram + 1)
-        piece = names(i, i + gram)
-        bits = np.uint64(len(data).bit_length())
-        place = (piece >> bits << bits) | i.astype(np.uint64)
-        spot = (sliding_least(place, width - gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        long = np.flatnonzero(np.diff(at) >= width)
-        edge = np.zeros(len(data) + 1, np.int32)
-        edge[at[long]] += 1
-        edge[at[long + 1] - width + 1] -= 1
-        window = np.flatnonzero(np.cumsum(edge[:-1]))
+        window, spot, piece = chosen_spots(data, at, width)
         if not len(window):
             return none()
-        chosen = spot[window]
-        head = np.flatnonzero(np.r_[True, (chosen[1:] != chosen[:-1]) | (np.diff(window) > 1)])
+        head = np.flatnonzero(np.r_[True, (spot[1:] != spot[:-1]) | (np.diff(window) > 1)])
         start, last = window[head], window[np.r_[head[1:], len(window)] - 1]
         doc = np.searchsorted(at, start, "right") - 1
-        return Runs(doc, start - at[doc], last - start, piece[chosen[head]], names(start, last + width), np.zeros(len(start), bool))
+        return Runs(doc, start - at[doc], last - start, piece[head], Names(data)(start, last + width), np.zeros(len(start), bool))
 
     return find
 
@@ -148,7 +155,11 @@ def single(width: int):
         fresh = np.flatnonzero(fresh)
         place = inside[fresh]
         name = Names(data)(place, place + width)
-        runs = Runs(doc[fresh], place - at[doc[fresh]], np.zeros(len(fresh), np.int64), mixed(name), name, several[fresh])
+        # Equal windows have their spot at the same distance, so neighbours can be dealt together by both.
+        windows, spot, piece = chosen_spots(data, at, width)
+        own = np.searchsorted(windows, place)
+        dealt = mixed(piece[own] + ((spot[own] - place) // TOGETHER).astype(np.uint64))
+        runs = Runs(doc[fresh], place - at[doc[fresh]], np.zeros(len(fresh), np.int64), dealt, name, several[fresh])
         return runs, doc[later], inside[later] - at[doc[later]]
 
     return find

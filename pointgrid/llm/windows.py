@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from pointgrid.llm.arrow_text import NO_ID, ints, mixed, slices, utf8
 from pointgrid.stages import cut
 
-SLICE = 2 << 20
-FLUSH = 1_500_000
+SLICE = 1 << 20
+FLUSH = 500_000
 REMOVED, OPEN = 1, 2
 SENT = "part int, id long, key long, runs binary, spot binary, name binary, start binary, extra binary, several binary, ids binary, keys binary, counts binary"
 ANSWERS = "id long, key long, kind int, runs binary"
@@ -138,10 +138,13 @@ def groups(name: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class Sender:
-    """Collects runs of a task, settles those that meet in it, and deals the others by spot name."""
+    """Collects runs of a task, settles those that meet in it, and deals the others by spot name.
 
-    def __init__(self, width: int, parts: int, every: bool):
-        self.width, self.parts, self.every = width, parts, every
+    ``named``: the spot names go along.
+    """
+
+    def __init__(self, width: int, parts: int, every: bool, named: bool):
+        self.width, self.parts, self.every, self.named = width, parts, every, named
         self.held: list[Runs] = []
         self.ids: list[np.ndarray] = []
         self.keys: list[np.ndarray] = []
@@ -199,7 +202,7 @@ class Sender:
             r = runs.take(np.arange(a, z))
             head = np.flatnonzero(np.r_[True, r.doc[1:] != r.doc[:-1]])
             columns = {
-                "spot": r.spot, "name": r.name, "start": np.diff(r.start, prepend=0).astype(np.int32), "extra": r.extra.astype(np.uint16), "several": np.packbits(r.several),
+                "spot": r.spot if self.named else r.spot[:0], "name": r.name, "start": np.diff(r.start, prepend=0).astype(np.int32), "extra": r.extra.astype(np.uint16), "several": np.packbits(r.several),
                 "ids": ids[r.doc[head]], "keys": keys[r.doc[head]], "counts": np.diff(np.r_[head, z - a]).astype(np.uint32),
             }
             yield _sent(1, part=pa.array([int(part[a])], pa.int32()), **{c: pa.array([v.tobytes()], pa.binary()) for c, v in columns.items()})
@@ -221,14 +224,14 @@ def _settle(width: int, every: bool, opens: bool):
             own = b.filter(answered)
             if own.num_rows:
                 yield pa.RecordBatch.from_arrays([own.column(1), own.column(2), pa.array(np.full(own.num_rows, REMOVED, np.int32)), own.column(3)], ["id", "key", "kind", "runs"])
-            for row in b.filter(col["spot"].is_valid()).to_pylist():
-                spot = np.frombuffer(row["spot"], np.uint64)
+            for row in b.filter(col["name"].is_valid()).to_pylist():
+                name = np.frombuffer(row["name"], np.uint64)
                 counts = np.frombuffer(row["counts"], np.uint32)
-                got["spot"].append(spot)
-                got["name"].append(np.frombuffer(row["name"], np.uint64))
+                got["spot"].append(np.frombuffer(row["spot"], np.uint64) if opens else name)
+                got["name"].append(name)
                 got["start"].append(np.cumsum(np.frombuffer(row["start"], np.int32), dtype=np.int64))
                 got["extra"].append(np.frombuffer(row["extra"], np.uint16))
-                got["several"].append(np.unpackbits(np.frombuffer(row["several"], np.uint8))[: len(spot)].astype(bool))
+                got["several"].append(np.unpackbits(np.frombuffer(row["several"], np.uint8))[: len(name)].astype(bool))
                 got["id"].append(np.repeat(np.frombuffer(row["ids"], np.int64), counts))
                 got["key"].append(np.repeat(np.frombuffer(row["keys"], np.int64), counts))
         if not got["spot"]:
@@ -286,7 +289,7 @@ def repeated(docs: DataFrame, width: int, every: bool, find: Find, single: Singl
     texts = keyed(docs)
 
     def send(batches):
-        out = Sender(width, parts, every)
+        out = Sender(width, parts, every, True)
         for b in batches:
             ids, keys = ints(b.column(0)), ints(b.column(1))
             data, at = utf8(b.column(2))
@@ -295,7 +298,7 @@ def repeated(docs: DataFrame, width: int, every: bool, find: Find, single: Singl
         yield from out.flush()
 
     def send_single(batches):
-        out = Sender(width, parts, every)
+        out = Sender(width, parts, every, False)
         for b in batches:
             ids, keys = ints(b.column(0)), ints(b.column(1))
             data, at = utf8(b.column(2))
