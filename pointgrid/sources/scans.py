@@ -144,9 +144,18 @@ def write_binary(points: DataFrame, path: str) -> None:
     """Fixed-width parts per scan through the text-free binary layout.
 
     Each range of a scan becomes a headed part file; parts read back as ranges of one
-    scan in name order.
+    scan in name order. A path without a scheme means the cluster's default file system.
+    A part is written under a hidden name and then renamed, so a task that is lost or runs
+    twice never leaves half a part under its name.
     """
+    spark = points.sparkSession
+    place_of = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path = place_of.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place_of).toString()
+    path = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+
     def put(frames):
+        import uuid
+
         import numpy as np
         import pandas as pd
         from pyarrow import fs
@@ -158,11 +167,13 @@ def write_binary(points: DataFrame, path: str) -> None:
                 rec["p"] = part[["x", "y", "z", "intensity"]].to_numpy("float32")
                 rec["c"] = part[["r", "g", "b"]].to_numpy("uint8")
                 head = np.array([len(part), 1], dtype="<i4").tobytes()
-                place, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                place, root = fs.FileSystem.from_uri(path)
                 folder = f"{root}/scan_id={scan}"
                 place.create_dir(folder, recursive=True)
-                with place.open_output_stream(f"{folder}/part-{int(block):08d}.bin") as f:
+                draft = f"{folder}/.part-{uuid.uuid4().hex}"
+                with place.open_output_stream(draft) as f:
                     f.write(head + rec.tobytes())
+                place.move(draft, f"{folder}/part-{int(block):08d}.bin")
                 yield pd.DataFrame({"scan_id": [scan], "block": [block], "n": [len(part)]})
 
     blocks = points.withColumn("block", F.floor(F.col("idx") / RANGE_RECORDS))
