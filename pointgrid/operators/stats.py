@@ -123,7 +123,7 @@ def in_seeded_order(items: DataFrame, key: str, by: list[str], seed: int) -> Dat
 
 
 def until_settled(hypotheses: DataFrame, total: DataFrame, by: list[str],
-                  score: Callable[[DataFrame], DataFrame], first: int = 64) -> DataFrame:
+                  score: Callable[[DataFrame], DataFrame], first: int = 512) -> DataFrame:
     """Try hypotheses in the order of ``k`` until the best of each group is good enough.
 
     ``total`` has ``by, total`` (items per group); ``score`` returns ``by, k, support, found``
