@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
-#: Words whose ids a worker remembers; beyond it the older half is forgotten.
-REMEMBERED = 250_000
+#: Words and fragments whose ids a worker remembers; beyond it the older half of the words, and the
+#: fragments not used for longest, are forgotten.
+REMEMBERED, FRAGMENTS = 120_000, 300_000
 
 IDS = "doc_id long, ids array<int>"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -67,7 +68,7 @@ class ForcedBoundaryBpe:
         self.is_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.known: dict[str, tuple[int, ...]] = {}
         self.known_before: dict[str, tuple[int, ...]] = {}
-        self.fragment = lru_cache(REMEMBERED)(self._fragment)
+        self.fragment = lru_cache(FRAGMENTS)(self._fragment)
         self.listed = [b"%d" % i for i in range(len(self.tokens))]
 
     def fragments(self, raw: bytes) -> Iterator[bytes]:

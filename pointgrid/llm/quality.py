@@ -6,11 +6,11 @@ STRIDE bytes; their outputs are averaged over chunks of CHUNK pieces that overla
 the whole text; second filters look at the chunks; the greatest and the mean output of each over all chunks
 are combined into one probability. Texts are padded with zero bytes to a full chunk.
 
-Learning takes a bounded sample of the labelled rows (MOST_ROWS documents, by least hash of doc_id, and of
-each at most MOST_BYTES bytes in one piece chosen by the hash) to the driver, and takes STEPS steps of
+Learning takes a bounded sample of the labelled rows (MOST_ROWS documents, by least hash of doc_id, twice as
+many rows at most where a doc_id repeats, and of each at most MOST_BYTES characters in one piece chosen by the hash) to the driver, and takes STEPS steps of
 BATCH documents each, going through the sample again and again.
-Scoring always uses whole texts; very long ones are scored in pieces that overlap like chunks, so that memory
-stays bounded.
+Scoring always uses whole texts, a slice of documents at a time; a text longer than a slice is scored in one piece,
+in memory in proportion to it.
 
 Defined results: a null text scores like an empty one; the score is a number for every text. Labels are those
 of rows whose doc_id has one; of several labels of a doc_id the least counts. A null doc_id is held out. With no
@@ -32,7 +32,7 @@ EMBED, WIDTH, STRIDE, FIRST, CHUNK, SECOND = 6, 16, 8, 32, 24, 24
 LAGS = np.arange(2, 22)
 MOST_ROWS, MOST_BYTES, STEPS, BATCH = 4000, 8192, 1500, 32
 ACCEPT = 0.3
-SLICE = 1 << 20
+SLICE = 1 << 18
 SEED = 5
 RESULT = "doc_id long, score double"
 
