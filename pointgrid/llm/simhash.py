@@ -105,7 +105,12 @@ def near_duplicates(docs: DataFrame, max_bits: int = 4, shingle: int = 4) -> Dat
 
 
 def one_of_each(docs: DataFrame, max_bits: int = 4, shingle: int = 4) -> DataFrame:
-    """The documents, with all their columns, that stay when one of each component does.
+    """The documents, with all their columns, that stay when one of each component does."""
+    return keep_first(docs, grouped(docs, max_bits, shingle))
+
+
+def keep_first(docs: DataFrame, of: DataFrame) -> DataFrame:
+    """One document of each root; ``of`` has doc_id, key (hash of the text) and root of every row.
 
     It is the one with the smallest doc_id (null last), of several rows with it the one with the smallest
     hash of its text; of rows that repeat both one stays.
@@ -113,7 +118,7 @@ def one_of_each(docs: DataFrame, max_bits: int = 4, shingle: int = 4) -> DataFra
     text_key, number = unused(docs.columns, "_key", "_n")
     null = F.col("doc_id").isNull()
     first = F.min(F.struct(null.alias("no_id"), "doc_id", "key")).alias("first")
-    kept = cut(grouped(docs, max_bits, shingle).groupBy("root").agg(first).select("first.doc_id", "first.key"), "kept")
+    kept = cut(of.groupBy("root").agg(first).select("first.doc_id", "first.key"), "kept")
     own = docs.withColumn(text_key, F.xxhash64(F.coalesce("text", F.lit(""))))
     same = own["doc_id"].eqNullSafe(kept["doc_id"]) & (own[text_key] == kept["key"])
     order = W.partitionBy("doc_id", text_key).orderBy(F.lit(0))
