@@ -240,7 +240,7 @@ def _e18(v):
     later = side("b").withColumn("sa", F.explode(F.array(F.col("sb") + 1, F.col("sb") + 2)))
     near = side("a").join(later, "sa")
     e = near.select("a", "b", ((F.col("xa") * 3 + F.col("xb") * 7) % 23 / 10.0 - 1.0).alias("weight"))
-    return graph.label_graph(n, e, rounds=4)
+    return graph.label_graph(n, e)
 
 
 @check("k04_label_scans")
@@ -254,5 +254,5 @@ def _k04(v):
     n = cut(graph.select_nodes(n, ["score", "cand_id"]), "nodes")
     zz = n.select("scan_id", "rot").distinct().withColumn("zx", F.lit(7)).withColumn("zy", F.lit(5))
     free = grid_cells(v).where("kind = 'mask'").select("scan_id", "rot", "row", "col").distinct()
-    edges, sol = labelling.label_scans(n, vox, meta, free, zz, (150, 200), 20.0, rounds=3)
+    edges, sol = labelling.label_scans(n, vox, meta, free, zz, (150, 200), 20.0)
     return sol.select("scan_id", "node_id", "agreement", "locked")

@@ -157,7 +157,7 @@ def _k01(v):
 def _e17(v):
     sym = v.grid.groupBy((F.col("row") % 16).alias("row"), (F.col("col") % 16).alias("col")).agg(F.avg("value").alias("value"))
     sym = sym.where("value > 0.25")
-    return placing.plan_doors(plan_of(v).where("value > 0.4"), (100, 100), sym, (16, 16), levels=2, out_levels=2)
+    return placing.plan_doors(plan_of(v).where("value > 0.4"), (100, 100), sym, (16, 16))
 
 
 @check("k03_find_scale")
