@@ -192,12 +192,14 @@ class Sender:
             i, k, ranges = per_document(ids[doc], keys[doc], start, end)
             yield _sent(len(i), part=pa.array((i ^ k) % self.parts, pa.int32()), id=pa.array(i), key=pa.array(k), runs=ranges)
         runs.several = ~lone | several[group] if len(at) else runs.several
+        if not len(runs.start):  # every held text is shorter than a window
+            return
         runs = runs.take(np.flatnonzero(first))
         runs = runs.take(np.lexsort((runs.start, runs.doc)))
         part = (runs.spot % np.uint64(self.parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         runs, part = runs.take(order), part[order]
-        heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+        heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         for a, z in zip(heads, np.r_[heads[1:], len(part)], strict=True):
             r = runs.take(np.arange(a, z))
             head = np.flatnonzero(np.r_[True, r.doc[1:] != r.doc[:-1]])

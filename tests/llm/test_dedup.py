@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from pointgrid.llm import cap_filters, components, recompression, simhash, suffix_dedup
+from pointgrid.llm import cap_filters, components, recompression, simhash, suffix_dedup, windows
 
 W_WORDS, W_BYTES = 8, 60
 
@@ -248,3 +248,18 @@ def test_cap_recall():
     a, b = (cap_filters.decoded(v, 300) for v in (x, 0.93 * x + np.sqrt(1 - 0.93**2) * z))
     missed = sum(not set(p) & set(q) for p, q in zip(a.tolist(), b.tolist(), strict=True))
     assert missed <= 4
+
+
+@pytest.mark.parametrize("flush", [1, 500_000])
+def test_tasks_of_short_texts(spark, hard_rows, monkeypatch, flush):
+    """A task that holds only texts shorter than a window sends nothing and loses no row."""
+    monkeypatch.setattr(windows, "FLUSH", flush)
+    short = [(1000 + i, t) for i, t in enumerate(["one two", "", None, "a b c", "one two", " \n "] * 4)]
+    plain = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    for docs, rows in ((plain(short).coalesce(1), short), (plain(short).coalesce(1).union(plain(hard_rows).repartition(2)), short + hard_rows)):
+        got = sorted((tuple(r) for r in recompression.digests(docs, W_WORDS).collect()), key=str)
+        assert got == expected(rows, brute_words(spark, rows, W_WORDS))
+        got = sorted((tuple(r) for r in suffix_dedup.digests(docs, W_BYTES).collect()), key=str)
+        assert got == expected(rows, brute_bytes(rows, W_BYTES))
+        kept = recompression.cleaned(docs, W_WORDS)
+        assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((d for d, _ in rows), key=str)
