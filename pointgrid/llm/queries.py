@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointgrid.llm import bpe, cap_filters, language, mixing, preferences, quality, recompression, simhash, spotsigs, suffix_dedup
+from pointgrid.llm import alignment, bpe, cap_filters, language, licenses, manifest, mixing, preferences, quality, recompression, simhash, spotsigs, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -192,3 +192,104 @@ def op1_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     return language.identified(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of two tokenizers in every document."""
+    import public_tokenizers
+
+    return alignment.digests(table(spark, sf_dir, "documents"), vocabulary(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+_TEMPLATES = [*((t, label, True) for t, label in licenses.PHRASES.items()), *((t, label, False) for t, label in licenses.NOTICES.items())]
+_TEMPLATE_ROWS = ", ".join(f"({i}, '{label}', {base}, '{t}')" for i, (t, label, base) in enumerate(_TEMPLATES))
+_K = licenses.K
+
+
+@query(f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.WORD}') AS w FROM documents
+), templates AS (SELECT template, label, base, string_split(t, ' ') AS tw FROM (VALUES {_TEMPLATE_ROWS}) v(template, label, base, t)),
+words AS (SELECT r, unnest(w) AS w0, generate_subscripts(w, 1) - 1 AS pos FROM texts),
+own AS (SELECT template, label, base, len(tw) AS size, unnest(tw) AS t0, generate_subscripts(tw, 1) - 1 AS place FROM templates),
+grams AS (SELECT r, pos, w0, lead(w0) OVER o AS w1, lead(w0, 2) OVER o AS w2 FROM words WINDOW o AS (PARTITION BY r ORDER BY pos)),
+known AS (SELECT template, label, base, size, place, t0, lead(t0) OVER o AS t1, lead(t0, 2) OVER o AS t2 FROM own WINDOW o AS (PARTITION BY template ORDER BY place)),
+diagonals AS MATERIALIZED (
+  SELECT r, template, label, base, size, pos - place AS diagonal, bit_or({2**_K - 1}::BIGINT << place) AS bits, min(pos) AS lo, max(pos) + {_K} AS hi
+  FROM grams JOIN known ON w0 = t0 AND w1 = t1 AND w2 = t2 GROUP BY ALL
+), marked AS (
+  SELECT *, CAST(coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > {licenses.GAP}, true) AS INT) AS new FROM diagonals
+), run AS (SELECT *, sum(new) OVER (PARTITION BY r, template ORDER BY diagonal) AS k FROM marked),
+spans AS (
+  SELECT r, label, base, size, bits, lo, hi FROM diagonals
+  UNION ALL SELECT r, label, base, size, bit_or(bits), min(lo), max(hi) FROM run GROUP BY r, template, label, base, size, k
+), judged AS (
+  SELECT r, label, CAST(bit_count(bits) AS DOUBLE) / size AS share, NOT base AND bit_count(bits) / size >= {licenses.LEAST} AND hi - lo <= {licenses.LONGEST} * size AS fits FROM spans
+), places AS (
+  SELECT r, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(tw)] = tw)) AS pos FROM texts, templates WHERE base
+), found AS (
+  SELECT r, NULL AS pos, CASE WHEN fits THEN label END AS label, NULL AS base_label, share FROM judged
+  UNION ALL SELECT r, pos, label, label, 1.0 FROM places
+), summed AS (
+  SELECT r, count(pos) AS n_base, min(pos) AS first_word, max(pos) AS last_word, max(share) AS score,
+         list_sort(list(DISTINCT base_label) FILTER (base_label IS NOT NULL)) AS b, list_sort(list(DISTINCT label) FILTER (label IS NOT NULL)) AS l
+  FROM found GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(b, ','), '') AS base_labels, coalesce(array_to_string(l, ','), '') AS labels, coalesce(score, 0.0) AS score
+FROM texts LEFT JOIN summed USING (r)
+""")
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+def _written(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_written(n_chars if f == "n_chars" else f) for f in manifest.FIELDS) + ")"
+
+
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+  lambda x, b: list_reduce(list_concat([xor(x, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))))"""
+
+
+@query(f"""
+WITH RECURSIVE hashed AS (
+  SELECT CASE WHEN lang IS NULL THEN '-' ELSE '=' || lang END AS tree, doc_id, {_leaf('n_chars')} AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND {_CRC} % 7 = 0 THEN {_leaf('(n_chars + 1)')} END AS tampered FROM documents
+), leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM hashed
+), level AS (
+  SELECT tree, 0 AS l, i, n AS width, leaf AS h FROM leaves
+  UNION ALL SELECT tree, l + 1, i // 2, (min(width) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM level WHERE width > 1 GROUP BY tree, l, i // 2
+), made AS MATERIALIZED (SELECT * FROM level),
+subroots AS MATERIALIZED (SELECT tree, h AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, count(*) OVER () AS n FROM made WHERE width = 1),
+over AS (
+  SELECT 0 AS l, i, n AS width, subroot AS h FROM subroots
+  UNION ALL SELECT l + 1, i // 2, (min(width) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM over WHERE width > 1 GROUP BY l, i // 2
+), top AS MATERIALIZED (SELECT * FROM over),
+steps AS (
+  SELECT s.tree, s.i, m.l, CASE WHEN o.h IS NULL THEN '' WHEN o.i < m.i THEN 'L' || o.h ELSE 'R' || o.h END AS step
+  FROM leaves s JOIN made m ON m.tree = s.tree AND m.i = s.i >> m.l AND m.width > 1 LEFT JOIN made o ON o.tree = m.tree AND o.l = m.l AND o.i = xor(m.i, 1)
+), own AS (SELECT tree, i, list(step ORDER BY l) AS path FROM steps GROUP BY tree, i),
+last_steps AS (
+  SELECT s.tree, m.l, CASE WHEN o.h IS NULL THEN '' WHEN o.i < m.i THEN 'L' || o.h ELSE 'R' || o.h END AS step
+  FROM subroots s JOIN top m ON m.i = s.i >> m.l AND m.width > 1 LEFT JOIN top o ON o.l = m.l AND o.i = xor(m.i, 1)
+), ends AS (SELECT tree, list(step ORDER BY l) AS path FROM last_steps GROUP BY tree),
+proofs AS (
+  SELECT doc_id, leaf, tampered, subroot, (SELECT h FROM top WHERE width = 1) AS root, list_concat(coalesce(own.path, []), coalesce(ends.path, [])) AS path
+  FROM leaves JOIN subroots s USING (tree) LEFT JOIN own ON own.tree = leaves.tree AND own.i = leaves.i LEFT JOIN ends ON ends.tree = leaves.tree
+), folded AS (
+  SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(path, lambda s: s[2:]), ''), '')) AS proof_sha256,
+         list_reduce(list_concat([coalesce(tampered, leaf)], path), lambda a, s: sha256(CASE WHEN s[1] = 'L' THEN s[2:] || a ELSE a || s[2:] END)) AS folded_root
+  FROM proofs
+)
+SELECT *, folded_root = root AS verified FROM folded
+""")
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document in the Merkle manifest, checked against tampered rows."""
+    return manifest.verified(table(spark, sf_dir, "documents"))
