@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from ..functions import geometry as G
-from ..stages import cut, measured
+from ..stages import cut, measured, spread
 from .grids import offsets
 
 _NORMAL = T.StructType([T.StructField(n, T.DoubleType()) for n in ("nx", "ny", "nz", "curvature")])
@@ -34,7 +34,8 @@ def bucket_join(left: DataFrame, right: DataFrame, axes: list[str], size: float,
     """
     near = F.array(*[F.struct(*[F.lit(d).alias(a) for d, a in zip(o, axes)]) for o in offsets(1, len(axes))])
     k = [f"_k{a}" for a in axes]
-    lhs = left.withColumn("_o", F.explode(near)).select(
+    # Few rows become 27 times as many: they are dealt by all their columns, so that many tasks do it.
+    lhs = spread(left, *left.columns).withColumn("_o", F.explode(near)).select(
         *left.columns, *[(cell_of(a, size) + F.col(f"_o.{a}")).alias(c) for a, c in zip(axes, k)])
     rest = [c for c in right.columns if c not in axes + by]
     rhs = right.select(*by, *rest, *[F.col(a).alias(f"q{a}") for a in axes],
@@ -120,79 +121,143 @@ def normals_radius(queries: DataFrame, points: DataFrame, r: float = 0.03, by: l
     return normals_of(covariance_radius(queries, points, r, by), by)
 
 
-def start_cell(data: DataFrame, k: int, by: list[str]) -> float:
-    """Cube edge within which a point of an average group finds about ``k`` others. Runs a job."""
-    groups = F.countDistinct(*by) if by else F.lit(1)
-    s = data.agg(F.count("*").alias("n"), groups.alias("g"), *[(F.max(a) - F.min(a)).alias(a) for a in "xyz"]).first()
-    spans = [v for v in (s["x"], s["y"], s["z"]) if v and v > 0]
-    if not spans:
-        return 1.0
-    # Surfaces fill two dimensions of the box, so density is taken over the larger faces.
-    top = sorted(spans)[-2:]
-    return max((math.prod(top) * k * 1.5 / math.pi / max(1.0, s["n"] / s["g"])) ** (1.0 / len(top)), 1e-6)
+LEVELS, BAND = 21, 7
+_GRID, _CELL = ["_gx", "_gy", "_gz"], ["_cx", "_cy", "_cz"]
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, by: list[str], cell: float | None = None,
-        max_rounds: int = 40) -> DataFrame:
-    """Exact k nearest positions of each query, the query's own position included.
+class Octree:
+    """Nested cubes over a set of positions; level 0 is the whole, each level halves the edge.
+
+    A position's cube at level l is its integer place on the finest grid, shifted right, so cubes
+    nest exactly and levels below 0 double the whole. Runs a job.
+    """
 
-    Returns ``by, idx, x, y, z, qx, qy, qz, n, d2, upto`` with the nearest positions
-    until their weights reach ``k``. A query is settled once its cube neighbourhood
-    provably contains its k nearest; the others retry with doubled cubes. Runs jobs.
+    def __init__(self, data: DataFrame, by: list[str]):
+        ends = data.agg(*[f(a).alias(f"{n}{a}") for n, f in (("lo", F.min), ("hi", F.max)) for a in "xyz"]).first()
+        self.low = [ends[f"lo{a}"] or 0.0 for a in "xyz"]
+        spans = [(ends[f"hi{a}"] or 0.0) - low for a, low in zip("xyz", self.low)]
+        self.edge = max(max(spans) * (1 + 1e-9), 1e-6)
+        self.by = by
+
+    def placed(self, df: DataFrame) -> DataFrame:
+        """Add the place on the finest grid."""
+        fine = self.edge / 2**LEVELS
+        return df.withColumns({g: F.floor((F.col(a) - low) / fine).cast("long") for g, a, low in zip(_GRID, "xyz", self.low)})
+
+    def reach(self, level: Column) -> Column:
+        """Distance within which the cubes around a position's own cube hold everything."""
+        return F.lit(self.edge * (1 - 1e-9)) / F.pow(F.lit(2.0), level)
+
+    def crowded(self, placed: DataFrame, want: int) -> DataFrame:
+        """by, level, cube, n of every cube below the whole that holds at least ``want`` positions.
+
+        ``BAND`` levels are counted at a time (combined before the shuffle); only positions in a crowded
+        cube of the last of them go on. Runs jobs.
+        """
+        rest, found = placed.select(*self.by, *_GRID), None
+        for top in range(0, LEVELS, BAND):
+            each = rest.withColumn("level", F.explode(F.sequence(F.lit(top + 1), F.lit(top + BAND))))
+            each = each.withColumns({c: cube(g) for c, g in zip(_CELL, _GRID)})
+            counts = cut(each.groupBy(*self.by, "level", *_CELL).agg(F.count("*").alias("n")).where(F.col("n") >= want), "cubes")
+            found = counts if found is None else found.unionByName(counts)
+            full = counts.where(F.col("level") == top + BAND).select(*self.by, *_CELL)
+            if full.isEmpty():
+                break
+            inner = rest.withColumns({c: F.shiftright(g, LEVELS - top - BAND) for c, g in zip(_CELL, _GRID)})
+            rest = cut(inner.join(full, self.by + _CELL, "left_semi").select(rest.columns), "crowd")
+        return found
+
+    def levels(self, placed: DataFrame, crowded: DataFrame) -> DataFrame:
+        """Add to each position the level below the deepest at which its cube is crowded, so that its own is not (0 if none is)."""
+        deepest = crowded.agg(F.max("level")).first()[0] or 0
+        every = placed.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(deepest))))
+        every = every.withColumns({c: cube(g) for c, g in zip(_CELL, _GRID)}).join(crowded, [*self.by, "level", *_CELL], "left")
+        deep = F.max(F.when(F.col("n").isNotNull(), F.col("level") + 1).otherwise(0)).alias("level")
+        return every.groupBy(placed.columns).agg(deep)
+
+
+def cube(grid: str) -> Column:
+    """Cube of a place on the finest grid at the row's ``level``."""
+    return F.expr(f"shiftright({grid}, {LEVELS} - level)")
+
+
+#: A cube that holds this many times k is crowded; around its eighths the edge of one reaches k in most cases.
+CROWD = 2.5
+
+
+def nearest_positions(queries: DataFrame, data: DataFrame, k: int, by: list[str], max_rounds: int = 60) -> DataFrame:
+    """Exact k nearest positions among the points ``data`` of every distinct position in ``queries``.
+
+    Returns ``by, x, y, z, qx, qy, qz, n, d2, upto`` with the nearest positions until their weights
+    (numbers of points) reach ``k``. A query looks into the 27 cubes around its own at its own level of the octree: the
+    highest at which its cube holds fewer than ``CROWD`` times k. It is settled once k lie within the
+    edge of a cube, otherwise it goes up one level. A cube that many look into is split by the join.
+    Runs jobs.
     """
     axes = ["x", "y", "z"]
-    data = cut(positions(points, by), "knn-data")
-    cell = cell or start_cell(data, k, by)
-    group = data.groupBy(*by).agg(F.sum("n").alias("_all"), F.greatest(*[F.max(a) - F.min(a) for a in axes]).alias("_span"))
-    if by:
-        group = measured(group)
-    else:
-        whole = group.first()
-    waiting = queries.select(*by, "idx", *axes)
-    done = None
+    tree = Octree(data, by)
+    held = cut(tree.placed(positions(data, by)), "knn-data")
+    group = held.groupBy(*by).agg(F.sum("n").alias("_all"))
+    group = measured(group) if by else group
+    asked = queries.select(*by, *axes).distinct()
+    asked = tree.placed(asked.join(group, by, "left_semi") if by else asked)
+    waiting = cut(tree.levels(asked, tree.crowded(held, math.ceil(CROWD * k))), "knn-wait")
+    whole = None if by else group.first()["_all"]
+    done = held.where("false").select(*by, *axes, *[F.col(a).alias(f"q{a}") for a in axes], "n", F.lit(0.0).alias("d2"), F.lit(0).cast("long").alias("upto"))
+    if whole is None and not by:
+        return done
+    near = F.array(*[F.struct(*[F.lit(d).alias(c) for d, c in zip(o, _CELL)]) for o in offsets(1, 3)])
+    key = by + axes
     for _ in range(max_rounds):
-        pairs = bucket_join(waiting, data, axes, cell, by).withColumn("d2", distance2(axes))
-        # Positions beyond the cube edge may be preceded by unseen ones.
-        pairs = pairs.where(F.col("d2") <= cell * cell)
-        w = W.partitionBy(*by, "idx").orderBy("d2", "qx", "qy", "qz")
-        run = w.rowsBetween(W.unboundedPreceding, 0)
-        best = pairs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).withColumn(
-            "upto", F.sum("n").over(run)).where(F.col("upto") - F.col("n") < k).drop("_rn")
-        best = cut(best, "knn")
-        reach = best.groupBy(*by, "idx").agg(F.max("upto").alias("_got"))
-        known = reach.join(group, by) if by else reach.withColumns({"_all": F.lit(whole["_all"]), "_span": F.lit(whole["_span"])})
-        full = known.where(
-            (F.col("_got") >= k) | (F.col("_got") >= F.col("_all")) | (F.lit(cell) > F.col("_span") * 2)).select(*by, "idx")
-        part = best.join(full, by + ["idx"], "left_semi")
-        done = part if done is None else done.unionByName(part)
-        waiting = cut(waiting.join(full, by + ["idx"], "left_anti"), "knn-wait")
-        if waiting.isEmpty():
+        used = [r["level"] for r in waiting.select("level").distinct().collect()]
+        if not used:
             return done
-        cell *= 2
+        lhs = spread(waiting, *axes).withColumn("_o", F.explode(near)).select(*key, "level", *[(cube(g) + F.col(f"_o.{c}")).alias(c) for g, c in zip(_GRID, _CELL)])
+        rhs = held.withColumn("level", F.explode(F.lit(sorted(used)))).select(*by, "level", *[F.col(a).alias(f"q{a}") for a in axes], "n", *[cube(g).alias(c) for g, c in zip(_GRID, _CELL)])
+        pairs = lhs.join(rhs, [*by, "level", *_CELL]).withColumn("d2", distance2(axes))
+        # Positions beyond the edge may be preceded by unseen ones.
+        pairs = pairs.where(F.col("d2") <= tree.reach(F.col("level")) * tree.reach(F.col("level"))).drop("level", *_CELL)
+        w = W.partitionBy(*key).orderBy("d2", "qx", "qy", "qz")
+        best = pairs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+        best = best.withColumn("upto", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0))).where(F.col("upto") - F.col("n") < k).drop("_rn")
+        best = cut(best.withColumn("_got", F.max("upto").over(W.partitionBy(*key))), "knn")
+        known = best.join(group, by) if by else best.withColumn("_all", F.lit(whole))
+        part = known.where((F.col("_got") >= k) | (F.col("_got") >= F.col("_all"))).select(done.columns)
+        done = done.unionByName(part)
+        waiting = cut(waiting.join(part.where("upto = n").select(*key), key, "left_anti").withColumn("level", F.col("level") - 1), "knn-wait")
     raise RuntimeError("nearest neighbours did not settle")
 
 
-def normals_knn(queries: DataFrame, points: DataFrame, k: int = 30, by: list[str] | None = None,
-                cell: float | None = None) -> DataFrame:
+def knn(queries: DataFrame, points: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """Exact k nearest positions of each query, the query's own position included.
+
+    Returns ``by, idx, x, y, z, qx, qy, qz, n, d2, upto`` with the nearest positions until their
+    weights reach ``k``. Queries at one position are answered once. Runs jobs.
+    """
+    near = nearest_positions(queries, points, k, by)
+    return queries.select(*by, "idx", "x", "y", "z").join(near, [*by, "x", "y", "z"]).select(*by, "idx", *near.columns[len(by):])
+
+
+def normals_knn(queries: DataFrame, points: DataFrame, k: int = 30, by: list[str] | None = None) -> DataFrame:
     by = by or ["scan_id"]
-    near = knn(queries, points, k, by, cell).withColumn(
+    near = knn(queries, points, k, by).withColumn(
         "n", F.least(F.col("n"), F.lit(k) - (F.col("upto") - F.col("n"))))
     return normals_of(_moments(near, by), by)
 
 
-def mean_distance(points: DataFrame, k: int, by: list[str], cell: float | None = None) -> DataFrame:
+def mean_distance(points: DataFrame, k: int, by: list[str]) -> DataFrame:
     """Mean distance of every point to its k nearest others."""
-    near = knn(points, points, k + 1, by, cell).withColumn(
+    here = [*by, "x", "y", "z"]
+    near = nearest_positions(points, points, k + 1, by).withColumn(
         "n", F.least(F.col("n"), F.lit(k + 1) - (F.col("upto") - F.col("n"))))
-    s = near.groupBy(*by, "idx").agg(F.sum(F.sqrt("d2") * F.col("n")).alias("_s"), F.sum("n").alias("_k"))
-    return s.where(F.col("_k") > 1).select(*by, "idx", (F.col("_s") / (F.col("_k") - 1)).alias("mean_dist"))
+    s = near.groupBy(*here).agg(F.sum(F.sqrt("d2") * F.col("n")).alias("_s"), F.sum("n").alias("_k"))
+    return points.join(s.where(F.col("_k") > 1), here).select(*by, "idx", (F.col("_s") / (F.col("_k") - 1)).alias("mean_dist"))
 
 
-def drop_statistical_outliers(points: DataFrame, k: int = 50, m: float = 2.0, by: list[str] | None = None,
-                              cell: float | None = None) -> DataFrame:
+def drop_statistical_outliers(points: DataFrame, k: int = 50, m: float = 2.0, by: list[str] | None = None) -> DataFrame:
     """Drop points whose mean neighbour distance exceeds mean + m sigma of their cloud."""
     by = by or []
-    d = cut(mean_distance(points, k, by, cell), "outliers")
+    d = cut(mean_distance(points, k, by), "outliers")
     lim = (F.avg("mean_dist") + F.stddev_samp("mean_dist") * m).alias("_lim")
     if by:
         d = d.join(measured(d.groupBy(*by).agg(lim)), by).where(F.col("mean_dist") <= F.col("_lim"))

@@ -31,23 +31,22 @@ def prepare_scans(points: DataFrame, transforms: DataFrame, leaf: float = START_
     return kept, target
 
 
-def finish(cloud: DataFrame, leaf: float, limit: float | None, k: int, m: float, cell: float | None = None) -> DataFrame:
+def finish(cloud: DataFrame, leaf: float, limit: float | None, k: int, m: float) -> DataFrame:
     """Sample the union (with a ``limit`` again with a larger leaf when more points remain) and drop outliers."""
     cloud = cloud.withColumn("idx", F.struct("scan_id", "idx")) if "scan_id" in cloud.columns else cloud
     thin = neighbors.uniform_sample(cloud, leaf, [], "idx") if limit is None else neighbors.sample_to(cloud, leaf, limit)
     thin = cut(thin, "merged")
-    return neighbors.drop_statistical_outliers(thin, k, m, [], cell)
+    return neighbors.drop_statistical_outliers(thin, k, m, [])
 
 
 def merge_with_transforms(points: DataFrame, transforms: DataFrame, leaf: float = PLAIN_LEAF, limit: float | None = None,
-                          k: int = 50, m: float = 2.0, cell: float | None = None) -> DataFrame:
+                          k: int = 50, m: float = 2.0) -> DataFrame:
     """Merge with given transforms only. ``idx`` becomes ``(scan_id, idx)``. Runs jobs."""
-    return finish(merging.apply_transforms(points, transforms), leaf, limit, k, m, cell)
+    return finish(merging.apply_transforms(points, transforms), leaf, limit, k, m)
 
 
 def merge_scans(points: DataFrame, poses: DataFrame, refine: bool = False, leaf: float = START_LEAF,
-                limit: float | None = None, k: int = 50, m: float = 2.0, rounds: int = 30,
-                cell: float | None = None) -> tuple[DataFrame, DataFrame]:
+                limit: float | None = None, k: int = 50, m: float = 2.0, rounds: int = 30) -> tuple[DataFrame, DataFrame]:
     """Merged cloud and the transforms ``(scan_id, before, after)``. Runs jobs.
 
     Without refinement all scans are handled in one pass. With it, scans are folded in
@@ -57,7 +56,7 @@ def merge_scans(points: DataFrame, poses: DataFrame, refine: bool = False, leaf:
     before = cut(pose_transforms(poses), "poses")
     kept, boxes = prepare_scans(points, before, leaf)
     if not refine:
-        return finish(kept, leaf, limit, k, m, cell), before.select("scan_id", F.col("m").alias("before"), F.col("m").alias("after"))
+        return finish(kept, leaf, limit, k, m), before.select("scan_id", F.col("m").alias("before"), F.col("m").alias("after"))
     kept, boxes = cut(kept, "kept"), cut(boxes, "boxes")
     merged, after = None, None
     for row in before.select("scan_id").orderBy("scan_id").toLocalIterator():
@@ -84,4 +83,4 @@ def merge_scans(points: DataFrame, poses: DataFrame, refine: bool = False, leaf:
             leaf = neighbors.adaptive_leaf(n, leaf, limit)
             first = cut(neighbors.uniform_sample(first, leaf, [], "idx"), "merged")
         merged = first
-    return neighbors.drop_statistical_outliers(merged, k, m, [], cell), after
+    return neighbors.drop_statistical_outliers(merged, k, m, []), after

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -127,7 +128,7 @@ def test_knn_against_brute_force_with_copies(spark):
     rng = np.random.default_rng(5)
     p = np.concatenate([rng.random((60, 3)) * 3, np.repeat(rng.random((1, 3)), 15, 0), rng.random((5, 3)) * 40])
     df = spark.createDataFrame([(0, i, *map(float, q)) for i, q in enumerate(p)], "scan_id int, idx long, x double, y double, z double")
-    got = {r["idx"]: r["mean_dist"] for r in neighbors.mean_distance(df, 4, ["scan_id"], cell=0.05).collect()}
+    got = {r["idx"]: r["mean_dist"] for r in neighbors.mean_distance(df, 4, ["scan_id"]).collect()}
     for i in range(len(p)):
         d = np.sort(np.sqrt(((p - p[i]) ** 2).sum(1)))[1:5]
         assert got[i] == pytest.approx(d.mean(), abs=1e-9)
@@ -135,6 +136,54 @@ def test_knn_against_brute_force_with_copies(spark):
     assert whole == pytest.approx(got)
 
 
+def _radial(n, seed=4):
+    """Points whose density falls with the square of the distance, as around a scanner, with a few far away."""
+    rng = np.random.default_rng(seed)
+    d = rng.standard_normal((n, 3))
+    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    return np.concatenate([d * (rng.random((n, 1)) * 20 + 1e-4), rng.random((6, 3)) * 300 + 100])
+
+
+def test_knn_where_density_falls_with_distance(spark):
+    """Exact rows of queries in and out of the cloud, and no cube that a query looks into holds many."""
+    p = _radial(1500)
+    df = spark.createDataFrame([(0, i, *map(float, q)) for i, q in enumerate(p)], "scan_id int, idx long, x double, y double, z double")
+    rng = np.random.default_rng(8)
+    ask = np.concatenate([p[:200], rng.random((20, 3)) * 500 - 250])
+    queries = spark.createDataFrame([(0, i, *map(float, q)) for i, q in enumerate(ask)] + [(1, 999, 0.0, 0.0, 0.0)], df.schema)
+    k = 12
+    got = {}
+    for r in neighbors.knn(queries, df, k, ["scan_id"]).collect():
+        got.setdefault(r["idx"], []).append(r["d2"])
+    assert set(got) == set(range(len(ask)))
+    for i, q in enumerate(ask):
+        assert sorted(got[i]) == pytest.approx(np.sort(((p - q) ** 2).sum(1))[:k], abs=1e-9)
+    data = neighbors.positions(df, ["scan_id"])
+    tree = neighbors.Octree(data, ["scan_id"])
+    placed = tree.placed(data.drop("n"))
+    crowd = math.ceil(neighbors.CROWD * k)
+    crowded = tree.crowded(placed, 1)
+    level = {(r["x"], r["y"], r["z"]): r["level"] for r in tree.levels(placed, crowded.where(F.col("n") >= crowd)).collect()}
+    assert len(set(level.values())) >= 4
+    load = {(r["level"], r["_cx"], r["_cy"], r["_cz"]): r["n"] for r in crowded.collect()}
+    grid = {tuple(r[a] for a in "xyz"): [r[g] for g in neighbors._GRID] for r in placed.collect()}
+    own = lambda q: (level[q], *[g >> (neighbors.LEVELS - level[q]) for g in grid[q]])
+    most = max(load.get(own(tuple(map(float, q))), 0) for q in p)
+    single = Counter(tuple(np.floor(q / 2.0)) for q in p)  # one size that gives an average point its neighbours
+    assert most < crowd < max(single.values())
+
+
+def test_knn_of_one_hot_position(spark):
+    """A position that a third of all points share is one row, asked once."""
+    p = np.concatenate([_radial(60)[:60], np.repeat([[0.5, 0.5, 0.5]], 40, 0)])
+    df = spark.createDataFrame([(0, i, *map(float, q)) for i, q in enumerate(p)], "scan_id int, idx long, x double, y double, z double")
+    rows = neighbors.knn(df, df, 5, ["scan_id"]).where("idx >= 60").collect()
+    assert len(rows) == 40 and all(r["n"] == 40 and r["d2"] == 0 for r in rows)
+    assert neighbors.knn(df.where("false"), df, 5, ["scan_id"]).count() == 0
+    assert neighbors.knn(df, df.where("false"), 5, ["scan_id"]).count() == 0
+    assert neighbors.knn(df, df.where("false"), 5, []).count() == 0
+
+
 def test_refine_recovers_a_small_motion(spark):
     rng = np.random.default_rng(9)
     p = np.concatenate([np.c_[rng.random((300, 2)) * 2, np.zeros(300)], np.c_[rng.random(300) * 2, np.zeros(300), rng.random(300) * 2], np.c_[np.zeros(300), rng.random((300, 2)) * 2]])
