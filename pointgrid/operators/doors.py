@@ -7,10 +7,11 @@ reduced to the first step that ends the walk; no cell is visited in a loop.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..stages import cut, spread
+from ..stages import cut, measured, spread
 
 # Fixed values of the door search.
 VPM = 50.0
@@ -67,6 +68,54 @@ def depth_at(probes: DataFrame, voxels: DataFrame, keys: list[str], depth_reach:
     return probes.select(*keys).join(best, keys, "left").select(*keys, F.coalesce("found", F.lit(NOTHING)).alias("found"))
 
 
+def line_depths(probes: DataFrame, voxels: DataFrame, axes: DataFrame, keys: list[str], depth_reach: float, vpm: float = VPM) -> DataFrame:
+    """As ``depth_at`` without side reach, for probes on the grid of the scan's own axes.
+
+    A probe ``keys, scan_id, axis, ci, cj, along, up, floor`` lies at ``second * ci + third * cj``
+    plus ``along`` its axis and ``up``. It looks along the other axis, so all probes with the same
+    offset and height look along one line, at whole steps. Each line is looked up in the voxels once,
+    and every probe takes the hit before or behind it that its search reaches first. Only for axes at
+    right angles in the plane (``on_lines``).
+    """
+    reach, back = int(depth_reach * vpm + 1e-9), int(depth_reach * vpm / 2.0)
+    odd = F.col("axis") % 2 == 1
+    sign = F.when(F.col("axis") < 2, 1.0).otherwise(-1.0)
+    p = probes.join(axes, "scan_id").select(
+        *keys, *[c for c in ("scan_id",) if c not in keys], "second", "third", F.col("up_axis").alias("_ua"), "floor", odd.alias("_odd"), F.col("up").alias("_up"),
+        (F.when(odd, F.col("cj")).otherwise(F.col("ci")) + F.col("along") * sign).alias("_u"),
+        F.when(odd, F.col("ci")).otherwise(F.col("cj")).cast("long").alias("_t"), sign.alias("_sign"))
+    line = ["scan_id", "_odd", "_u", "_up"]
+    fixed, moving = F.when(F.col("_odd"), F.col("third")).otherwise(F.col("second")), F.when(F.col("_odd"), F.col("second")).otherwise(F.col("third"))
+
+    def at(i: int) -> Column:
+        return fixed[i] * F.col("_u") + moving[i] * F.col("_t") + F.col("_ua")[i] * F.col("_up") + (F.col("floor") if i == 2 else 0)
+
+    ends = p.groupBy(*line).agg(F.min("_t").alias("_a"), F.max("_t").alias("_z"), *[F.first(c).alias(c) for c in ("second", "third", "_ua", "floor")])
+    spots = ends.withColumn("_t", F.explode(F.sequence(F.col("_a") - reach, F.col("_z") + reach)))
+    spots = spots.select(*line, "_t", *[_away(at(i)).alias(f"v{a}") for i, a in enumerate("xyz")])
+    hits = spots.join(voxels, ["scan_id", "vx", "vy", "vz"]).select(*line, "_t", F.struct("_t", "depth").alias("_hit"))
+    # The side away from the scanner, as a step along the line.
+    a = [fixed[i] * F.col("_sign") for i in range(3)]
+    flip = F.when(a[1] * at(0) - a[0] * at(1) + a[2] * at(2) < 0, -1.0).otherwise(1.0)
+    ahead = F.signum((a[1] * moving[0] - a[0] * moving[1]) * flip)
+    steps = p.select(*line, "_t", F.struct(*[k for k in keys]).alias("_key"), ahead.alias("_ahead"))
+    every = steps.unionByName(hits, allowMissingColumns=True)
+    upto = lambda order: F.last("_hit", ignorenulls=True).over(W.partitionBy(*line).orderBy(order).rangeBetween(W.unboundedPreceding, 0))
+    every = every.withColumn("_low", upto(F.col("_t"))).withColumn("_high", upto(F.col("_t").desc())).where("_key IS NOT NULL")
+    near = lambda side, other: F.when(F.col("_ahead") > 0, F.col(side)).otherwise(F.col(other))
+    every = every.withColumn("_f", near("_high", "_low")).withColumn("_b", near("_low", "_high"))
+    f, b = F.abs(F.col("_f._t") - F.col("_t")), F.abs(F.col("_b._t") - F.col("_t"))
+    forward = (f <= reach) & (b.isNull() | (b > back) | (f <= b))
+    found = F.when(forward, F.col("_f.depth")).when(b <= back, F.col("_b.depth")).otherwise(F.lit(NOTHING))
+    return every.select("_key.*", found.alias("found"))
+
+
+def on_lines(second: Column, third: Column) -> Column:
+    """Whether two axes lie in the plane at right angles, so that searches along them stay on whole steps."""
+    flat = F.greatest(F.abs(second[2]), F.abs(third[2])) < 1e-12
+    return flat & (F.abs(F.abs(second[0] * third[1] - second[1] * third[0]) - 1) < 1e-12) & (F.abs(second[0] * third[0] + second[1] * third[1]) < 1e-12)
+
+
 def _probe(cands: DataFrame, along: Column, up: Column) -> DataFrame:
     """Probe points ``along`` the candidate's axis and ``up`` from its floor cell."""
     return cands.select("*", *[
@@ -103,7 +152,7 @@ def find_doors(voxels: DataFrame, axes: DataFrame, limits: DataFrame, vpm: float
     pick = lambda i: F.when(F.col("axis") % 2 == 0, F.col("second")[i]).otherwise(F.col("third")[i]) * sign
     floor = G.trunc(F.col("floor_coord") * vpm)
     base = base.select(
-        *CANDIDATE, "h_min", "h_max", *[pick(i).alias(f"a{a}") for i, a in enumerate("xyz")],
+        *CANDIDATE, "h_min", "h_max", on_lines(F.col("second"), F.col("third")).alias("lines"), floor.alias("floor"), *[pick(i).alias(f"a{a}") for i, a in enumerate("xyz")],
         *[F.col("up")[i].alias(f"u{a}") for i, a in enumerate("xyz")],
         *[(F.col("second")[i] * F.col("ci") + F.col("third")[i] * F.col("cj") + (floor if a == "z" else 0)).alias(f"c{a}")
           for i, a in enumerate("xyz")])
@@ -116,9 +165,16 @@ def find_doors(voxels: DataFrame, axes: DataFrame, limits: DataFrame, vpm: float
     k = F.col("k").cast("double")
     side = F.lit(0.15 * vpm)
 
+    lines = measured(axes.select("scan_id", "second", "third", F.col("up").alias("up_axis")))
+
     def climb(cands: DataFrame, low: int, high: Column) -> DataFrame:
         walk = cands.where(high >= low).withColumn("k", F.explode(F.sequence(F.lit(low), high)))
-        return _gap(walk, voxels, keys, (side, k), (-side, k), (0.8, 0.0), vpm)
+        both = [walk.where("lines").select(*keys, "floor", k.alias("up"), (side * s).alias("along"), F.lit(i).alias("side")) for i, s in enumerate((1, -1))]
+        d = line_depths(both[0].unionByName(both[1]), voxels, lines, keys + ["side"], 0.8, vpm)
+        each = lambda i: F.max(F.when(F.col("side") == i, F.col("found")))
+        gap = d.groupBy(*keys).agg(F.abs(each(0) - each(1)).alias("gap"))
+        other = _gap(walk.where("NOT lines"), voxels, keys, (side, k), (-side, k), (0.8, 0.0), vpm)
+        return walk.join(gap, keys).unionByName(other)
 
     for steps in (1, 4):
         early = F.least(F.lit(start + steps), F.ceil("h_min").cast("int") - 1)

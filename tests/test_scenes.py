@@ -332,6 +332,43 @@ def test_door_in_a_wall_is_found(spark):
     assert (door["h"], door["w"]) == (2.0, 1.0) and door["corner"]["y"] == pytest.approx(1.9, abs=0.11)
 
 
+@pytest.mark.parametrize("turn", [0.0, 0.7])
+def test_lines_find_what_probes_find(spark, turn):
+    """Walks that share lines give the depths of separate probes, for axes along the voxels and turned ones."""
+    rng = np.random.default_rng(3)
+    vpm = 10.0
+    vox = {tuple(int(x) for x in rng.integers([-25, -25, 0], [25, 25, 6])): float(i) for i in range(900)}
+    vox = spark.createDataFrame([(0, *k, d) for k, d in vox.items()], "scan_id int, vx int, vy int, vz int, depth double")
+    c, n = math.cos(turn), math.sin(turn)
+    second, third = [c, n, 0.0], [-n, c, 0.0]
+    axes = spark.createDataFrame([(0, [0.0, 0.0, 1.0], second, third)], "scan_id int, up_axis array<double>, second array<double>, third array<double>")
+    assert axes.select(doors.on_lines(F.col("second"), F.col("third"))).first()[0]
+    rows = [(i, int(i % 4), *map(int, rng.integers(-24, 24, 2)), float(rng.choice([1.3, -1.3, 0.0])), float(rng.integers(0, 5)) + 0.2, 0.0) for i in range(400)]
+    probes = spark.createDataFrame([(0, *r) for r in rows], "scan_id int, idx int, axis int, ci int, cj int, along double, up double, floor double")
+    got = {r["idx"]: r["found"] for r in doors.line_depths(probes, vox, axes, ["scan_id", "idx"], 0.8, vpm).collect()}
+    plain = []
+    for i, axis, ci, cj, along, up, _ in rows:
+        a = np.array(third if axis % 2 else second) * (1 if axis < 2 else -1)
+        p = np.array(second) * ci + np.array(third) * cj + a * along + [0, 0, up]
+        plain.append((0, i, *map(float, p), *map(float, a)))
+    plain = spark.createDataFrame(plain, "scan_id int, idx int, px double, py double, pz double, ax double, ay double, az double")
+    want = {r["idx"]: r["found"] for r in doors.depth_at(plain, vox, ["scan_id", "idx"], 0.8, 0.0, vpm).collect()}
+    assert got == want and 50 < sum(v < 1e9 for v in want.values()) < 400
+
+
+def test_door_at_fifty_voxels_a_metre(spark):
+    """The operator's own resolution: a doorway 0.9 m wide and 2 m high in a wall 2 m away."""
+    x, z = (g.ravel() for g in np.meshgrid(np.arange(-70, 100), np.arange(-80, 50)))
+    solid = ~((x >= 0) & (x < 45) & (z < 20))
+    cells = [(0, int(i), 100, int(k), math.sqrt(i * i + 10_000 + k * k) / 50) for i, k in zip(x[solid], z[solid])]
+    vox = spark.createDataFrame(cells + [(0, 0, 90, 0, 1.8)], "scan_id int, vx int, vy int, vz int, depth double")
+    axes = spark.createDataFrame([(0, [0.0, 0.0, 1.0], [1.0, 0.0, 0.0], [0.0, 1.0, 0.0])], "scan_id int, up array<double>, second array<double>, third array<double>")
+    limits = doors.door_limits(spark.createDataFrame([(0, -1.6, 2.6)], "scan_id int, floor_coord double, dz double"))
+    found = doors.find_doors(vox, axes, limits).collect()
+    assert found and all(r["h"] == pytest.approx(2.0, abs=0.05) and r["w"] == pytest.approx(0.9, abs=0.07) for r in found)
+    assert any(r["axis"] == 0 and abs(r["ci"]) <= 3 for r in found)
+
+
 def test_merge_places_scans_side_by_side(spark):
     pts = spark.createDataFrame([(s, i, (i % 10) * 0.1, (i // 10) * 0.1, 0.0) for s in range(2) for i in range(100)], "scan_id int, idx long, x double, y double, z double")
     eye = [1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0]
