@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions import geometry as G
 from ..functions.weights import clamp, clamped_norm, gaussian_weight, node_weight
-from ..stages import cut, measured, ranked, spread
+from ..stages import blocks, cut, measured, ranked
 
 # Fixed values of the labelling model.
 UNARY_WEIGHT, NO_LABEL_UNARY, NO_LABEL_PAIR = 0.75, -1.0, -10.0
@@ -54,27 +54,28 @@ def candidates_per_scan(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("scan_id").agg(F.count("*").alias("n_candidates"))
 
 
-def overlap_pairs(nodes: DataFrame, tile: int = 64) -> DataFrame:
+def overlap_pairs(nodes: DataFrame, tile: int = 64, block: int = 512) -> DataFrame:
     """Pairs a < b of different scans whose boxes meet, with the overlap relative to each.
 
-    ``nodes`` carries ``box``. Boxes are laid out as map tiles and joined on the tile;
-    a pair is reported only by the tile holding the lower corner of its overlap, so
-    nothing has to be deduplicated.
+    ``nodes`` carries ``box``. Boxes are laid out as cubic map tiles and joined on the tile; a pair
+    is reported only by the tile holding the lower corner of its overlap, so nothing has to be
+    deduplicated. A tile with many nodes is split into blocks of about ``block`` rows a side. Runs jobs.
     """
-    t = lambda c: F.floor(F.col(f"box.{c}") / tile)
-    laid = nodes.where((F.col("box.x1") <= F.col("box.x2")) & (F.col("box.y1") <= F.col("box.y2"))).select(
-        "node_id", "scan_id", "rot", "box", F.explode(F.sequence(t("x1"), t("x2"))).alias("tx"), t("y1").alias("_y1"), t("y2").alias("_y2"))
-    laid = laid.withColumn("ty", F.explode(F.sequence("_y1", "_y2"))).drop("_y1", "_y2")
-    laid = spread(laid, "tx", "ty")
-    side = lambda s: laid.select("tx", "ty", *[F.col(c).alias(f"{n}_{s}") for c, n in (
+    laid = nodes.select("node_id", "scan_id", "rot", "box")
+    for c in "xyz":
+        low, high = F.col(f"box.{c}1"), F.col(f"box.{c}2")
+        laid = laid.where(low <= high).withColumn(f"t{c}", F.explode(F.sequence(F.floor(low / tile), F.floor(high / tile))))
+    laid = cut(laid, "tiles")
+    tiles = ["tx", "ty", "tz"]
+    side = lambda s: laid.select(*tiles, *[F.col(c).alias(f"{n}_{s}") for c, n in (
         ("node_id", "node"), ("scan_id", "scan_id"), ("rot", "rot"), ("box", "full"))])
-    p = side("a").join(side("b"), ["tx", "ty"]).where(
+    left, right = blocks(side("a"), side("b"), tiles, "node_a", "node_b", block)
+    p = left.join(right, [*tiles, "_p", "_q"]).where(
         (F.col("node_a") < F.col("node_b")) & (F.col("scan_id_a") != F.col("scan_id_b")))
     p = p.where(G.boxes_meet(F.col("full_a"), F.col("full_b")))
-    own = (F.floor(F.greatest("full_a.x1", "full_b.x1") / tile) == F.col("tx")) & (
-        F.floor(F.greatest("full_a.y1", "full_b.y1") / tile) == F.col("ty"))
-    cross = G.box_intersect(F.col("full_a"), F.col("full_b"))
-    return p.where(own).withColumn("cross", cross).select(
+    for c in "xyz":
+        p = p.where(F.floor(F.greatest(f"full_a.{c}1", f"full_b.{c}1") / tile) == F.col(f"t{c}"))
+    return p.withColumn("cross", G.box_intersect(F.col("full_a"), F.col("full_b"))).select(
         F.col("node_a").alias("a"), F.col("node_b").alias("b"),
         F.col("scan_id_a").alias("scan_a"), F.col("rot_a"), F.col("scan_id_b").alias("scan_b"), F.col("rot_b"),
         G.box_relative(F.col("cross"), F.col("full_a")).alias("box_a"),
@@ -108,8 +109,11 @@ def higher_order(nodes: DataFrame, free: DataFrame, rows: int, cols: int, scale:
     once per distinct set instead of once per pixel; the sum is linear and unchanged.
     """
     w = cut(high_order_weights(nodes, free, rows, cols, scale), "pixels")
-    seen = w.groupBy("row", "col").agg(F.array_sort(F.collect_list("node_id")).alias("key")).where(F.size("key") > 1)
-    sets = w.join(seen, ["row", "col"]).groupBy("key", "node_id", "scan_id").agg(F.sum("wt").alias("wt"))
+    # A set is known by its size and two combinable hashes of its nodes, never listed for a pixel.
+    wide = F.xxhash64("node_id", F.lit(17)).cast("decimal(20,0)")
+    seen = w.groupBy("row", "col").agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("node_id")).alias("_x"), F.sum(wide).alias("_s"))
+    seen = seen.where("_n > 1").select("row", "col", F.struct("_n", "_x", "_s").alias("key"))
+    sets = cut(w.join(seen, ["row", "col"]).groupBy("key", "node_id", "scan_id").agg(F.sum("wt").alias("wt")), "sets")
     side = lambda s: sets.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node_id", "scan_id", "wt")])
     pairs = side("a").join(side("b"), "key").where(F.col("scan_id_a") != F.col("scan_id_b"))
     return pairs.groupBy(F.col("node_id_a").alias("a"), F.col("node_id_b").alias("b")).agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import geometry as G
-from ..stages import cut, measured, ranked
+from ..stages import cut, measured
 
 INLIER_ANGLE = 0.02
 
@@ -116,41 +117,53 @@ def trials_needed(support: Column, total: Column) -> Column:
     return F.log(F.lit(1.0 - CONFIDENCE)) / F.log(1.0 - share)
 
 
-def in_seeded_order(items: DataFrame, key: str, by: list[str], seed: int) -> DataFrame:
-    """Items with their place ``k`` in a random order per group, fixed by the seed. Runs a job."""
-    order = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
-    return ranked(items.withColumn("_h", order), ["_h", key], by, "k").drop("_h")
+def in_seeded_order(items: DataFrame, key: str, seed: int) -> DataFrame:
+    """Add a hash fixed by the seed, whose order is a random one, and its place between 0 and 1."""
+    h = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    return items.withColumn("_h", h).withColumn("_place", F.conv(F.substring("_h", 1, 13), 16, 10).cast("double") / float(16**13))
 
 
-def until_settled(hypotheses: DataFrame, total: DataFrame, by: list[str],
-                  score: Callable[[DataFrame], DataFrame], first: int = 512) -> DataFrame:
-    """Try hypotheses in the order of ``k`` until the best of each group is good enough.
+def until_settled(hypotheses: DataFrame, key: str, total: DataFrame, by: list[str],
+                  score: Callable[[DataFrame], DataFrame], seed: int, first: int = 512) -> DataFrame:
+    """Try hypotheses in a seeded order until the best of each group is good enough.
 
     ``total`` has ``by, total`` (items per group); ``score`` returns ``by, k, support, found``
-    for a batch of hypotheses. A hypothesis counts if those before it did not yet suffice; the
-    earliest with the greatest support wins. Batches double; a group that is settled takes no
-    further part, and one whose hypotheses are used up ends with what it has. Runs jobs.
+    for a batch of hypotheses, whose places in the order are ``k``. A hypothesis counts if those
+    before it did not yet suffice; the earliest with the greatest support wins.
+
+    A batch is what has its hash below a threshold and not below the last one: about ``first`` rows
+    of every group that is not settled, twice as many in each further round. Only the batch is
+    ranked, and a group needs fewer than 7000 hypotheses whatever its size (``trials_needed``).
+    A group whose hypotheses are used up ends with what it has. Runs jobs.
     """
-    state = cut(total.withColumn("best", F.lit(None).cast("long")), "trials")
-    found, done = None, 0
+    hashed = in_seeded_order(hypotheses, key, seed)
+    sizes = hypotheses.groupBy(*by).agg(F.count("*").alias("_n"))
+    state = cut(total.join(sizes, by).select(*by, "total", "_n", F.lit(None).cast("long").alias("best"), F.lit(0).cast("long").alias("_drawn")), "trials")
+    found, low = None, 0
     before = W.partitionBy(*by).orderBy("k").rowsBetween(W.unboundedPreceding, -1)
+    order = W.partitionBy(*by).orderBy("_h", key)
     while True:
-        more = F.col("best").isNull() | (F.lit(done) < trials_needed(F.col("best"), F.col("total")))
-        batch = hypotheses.where(F.col("k").between(done + 1, done + first)).join(state.where(more).select(*by), by, "left_semi")
-        if batch.isEmpty():
+        more = F.col("best").isNull() | (F.col("_drawn") < trials_needed(F.col("best"), F.col("total")))
+        left = state.where(more & (F.lit(low) < F.col("_n"))).select(*by, "_n", "_drawn")
+        if left.isEmpty():
             break
-        tried = score(batch).join(measured(state), by)
-        tried = tried.withColumn("_before", F.greatest("best", F.max("support").over(before)))
+        high = low + first
+        below = lambda n: F.col("_place") < F.lit(float(n)) / F.col("_n")
+        batch = hashed.join(left, by).where(below(high) & ~below(low)).withColumn("k", F.col("_drawn") + F.row_number().over(order))
+        batch = measured(batch.drop("_h", "_place", "_n", "_drawn"))
+        tried = score(batch).join(state, by).withColumn("_before", F.greatest("best", F.max("support").over(before)))
         counts = F.col("_before").isNull() | (F.col("k") - 1 < trials_needed(F.col("_before"), F.col("total")))
         new = cut(tried.where(counts).groupBy(*by).agg(
             F.max(F.struct("support", (-F.col("k")).alias("_k"), "found")).alias("b")), "trials")
         found = new if found is None else found.unionByName(new)
         better = F.col("best").isNull() | (F.col("b.support") > F.col("best"))
-        state = cut(state.join(new, by, "left").select(
-            *by, "total", F.when(better & F.col("b").isNotNull(), F.col("b.support")).otherwise(F.col("best")).alias("best")), "trials")
-        done, first = done + first, first * 2
+        got = batch.groupBy(*by).agg(F.count("*").alias("_got"))
+        state = cut(state.join(new, by, "left").join(got, by, "left").select(
+            *by, "total", "_n", F.when(better & F.col("b").isNotNull(), F.col("b.support")).otherwise(F.col("best")).alias("best"),
+            (F.col("_drawn") + F.coalesce("_got", F.lit(0))).alias("_drawn")), "trials")
+        low, first = high, first * 2
     if found is None:
-        return score(hypotheses).where("false").select(*by, "k", "support", "found")
+        return score(hypotheses.withColumn("k", F.lit(0).cast("long"))).where("false").select(*by, "k", "support", "found")
     top = found.groupBy(*by).agg(F.max("b").alias("b"))
     return top.select(*by, (-F.col("b._k")).alias("k"), "b.support", "b.found")
 
@@ -166,10 +179,9 @@ def _supported(inliers: DataFrame, v: G.Vec) -> DataFrame:
 def _direction(normals: DataFrame, seed: int, inliers: Callable[[DataFrame], DataFrame], v: G.Vec,
                normalise: bool) -> DataFrame:
     names = {"idx": "h", "nx": "hx", "ny": "hy", "nz": "hz"}
-    order = in_seeded_order(normals.select("scan_id", *names), "idx", ["scan_id"], seed)
-    order = cut(order.withColumnsRenamed(names), "hypotheses")
+    tried = normals.select("scan_id", *names).withColumnsRenamed(names)
     total = normals.groupBy("scan_id").agg(F.count("*").alias("total"))
-    best = until_settled(order, total, ["scan_id"], lambda batch: _supported(inliers(measured(batch)), v))
+    best = until_settled(tried, "h", total, ["scan_id"], lambda batch: _supported(inliers(batch), v), seed)
     s = tuple(F.col(f"found.s{n}") for n in "xyz")
     size = G.norm(s) if normalise else F.col("support")
     return best.select("scan_id", "found.h", "support", *[(c / size).alias(f"m{n}") for c, n in zip(s, "xyz")])
@@ -184,7 +196,8 @@ def dominant_direction(normals: DataFrame, seed: int = 7) -> DataFrame:
     Returns ``scan_id, h, support, mx, my, mz`` (a mean, not a unit vector).
     """
     n, h = G.vec("n"), G.vec("h")
-    near = F.acos(G.unit_clamp(F.abs(G.dot(n, h)))) < INLIER_ANGLE
+    # The cosine decides nearly all pairs before any angle is computed.
+    near = (F.abs(G.dot(n, h)) > math.cos(INLIER_ANGLE) - 1e-9) & (F.acos(G.unit_clamp(F.abs(G.dot(n, h)))) < INLIER_ANGLE)
     return _direction(normals, seed, lambda batch: normals.join(batch, "scan_id").where(near), n, normalise=False)
 
 
@@ -220,12 +233,11 @@ def consensus(items: DataFrame, candidates: DataFrame, by: list[str], inlier: Co
     ``candidates`` has ``cand`` and is tried in a seeded order until the best suffices;
     ``inlier`` compares an item with a candidate and ``reducer`` is an aggregate. Runs jobs.
     """
-    order = cut(in_seeded_order(candidates, "cand", by, seed), "hypotheses")
     total = items.groupBy(*by).agg(F.count("*").alias("total"))
 
     def score(batch: DataFrame) -> DataFrame:
-        per = items.join(measured(batch), by).where(inlier).groupBy(*by, "k", "cand")
+        per = items.join(batch, by).where(inlier).groupBy(*by, "k", "cand")
         return per.agg(F.count("*").alias("support"), reducer.alias("estimate")).select(
             *by, "k", "support", F.struct("cand", "estimate").alias("found"))
 
-    return until_settled(order, total, by, score).select(*by, "found.cand", "support", "found.estimate")
+    return until_settled(candidates, "cand", total, by, score, seed).select(*by, "found.cand", "support", "found.estimate")

@@ -75,6 +75,22 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(n, *cols)
 
 
+def blocks(left: DataFrame, right: DataFrame, on: list[str], left_member: str, right_member: str, size: int = 512) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an equi-join on ``on, _p, _q`` in which the rows of a hot key are dealt over blocks.
+
+    A key with n rows on one side has about n / size parts there, chosen by a hash of the member; a row is
+    sent to the blocks of its part with every part of the other side. A block holds about ``size`` rows of
+    either side, and each pair meets in exactly one. Keys without rows on both sides are left out. Runs a job.
+    """
+    count = lambda df, name: df.groupBy(*on).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    loads = measured(count(left, "_m").join(count(right, "_n"), on))
+    part = lambda member, of: F.pmod(F.xxhash64(member), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    lhs = left.join(loads, on).withColumn("_p", part(left_member, "_m")).withColumn("_q", every("_n"))
+    rhs = right.join(loads, on).withColumn("_p", every("_m")).withColumn("_q", part(right_member, "_n"))
+    return lhs.drop("_m", "_n"), rhs.drop("_m", "_n")
+
+
 def ranked(df: DataFrame, order: list[str], by: list[str] | None = None, name: str = "rank") -> DataFrame:
     """Exact 1-based rank over ``order`` (inside ``by``) without gathering a group.
 

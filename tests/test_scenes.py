@@ -1,5 +1,6 @@
 """Small scenes with known answers for operators that SQL cannot state."""
 
+import hashlib
 import itertools
 import math
 from collections import Counter
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pointgrid.functions import geometry as G
 from pointgrid.operators import doors, graph, grids, neighbors, placement, stats, voxels
 from pointgrid.plans import labelling, merging, placing
+from pointgrid import stages
 from pointgrid.stages import ranked
 
 
@@ -332,6 +334,28 @@ def test_door_in_a_wall_is_found(spark):
     assert (door["h"], door["w"]) == (2.0, 1.0) and door["corner"]["y"] == pytest.approx(1.9, abs=0.11)
 
 
+def test_consensus_draws_few_of_many(spark):
+    """Batches follow the seeded order without sorting the items, and end long before all are tried."""
+    rows = [(g, i, float(g if i % 2 else i)) for g in range(3) for i in range((4000, 700, 2)[g])]
+    items = spark.createDataFrame(rows, "scan_id int, cand long, b double")
+    seen = []
+
+    def score(batch):
+        seen.extend((r["scan_id"], r["k"], r["cand"]) for r in batch.collect())
+        per = items.select("scan_id", F.col("b").alias("v")).join(batch, "scan_id").where("v = b").groupBy("scan_id", "k", "cand")
+        return per.agg(F.count("*").alias("support")).select("scan_id", "k", "support", F.struct("cand").alias("found"))
+
+    total = items.groupBy("scan_id").agg(F.count("*").alias("total"))
+    best = {r["scan_id"]: r for r in stats.until_settled(items, "cand", total, ["scan_id"], score, 7, first=16).collect()}
+    hashed = lambda i: hashlib.md5(f"{i}:7".encode()).hexdigest()
+    for g, n in enumerate((4000, 700, 2)):
+        order = sorted(range(n), key=hashed)
+        mine = sorted((k, c) for s, k, c in seen if s == g)
+        assert [c for _, c in mine] == order[: len(mine)] and [k for k, _ in mine] == list(range(1, len(mine) + 1))
+        assert len(mine) < 200
+        assert best[g]["found"]["cand"] == next(c for c in order if c % 2 or (g, c) in ((0, 0), (2, 0), (2, 1)))
+
+
 @pytest.mark.parametrize("turn", [0.0, 0.7])
 def test_lines_find_what_probes_find(spark, turn):
     """Walks that share lines give the depths of separate probes, for axes along the voxels and turned ones."""
@@ -380,6 +404,47 @@ def test_merge_places_scans_side_by_side(spark):
     assert refined.count() == 200 and after.count() == 2
 
 
+def test_hot_tile_is_split_into_blocks(spark, monkeypatch):
+    """All boxes in one tile: every pair once, and no block of the join holds many rows of a side."""
+    rng = np.random.default_rng(2)
+    lo = rng.integers(0, 60, (300, 3))
+    hi = lo + rng.integers(-1, 25, (300, 3))
+    box = lambda i: tuple(int(v) for a in range(3) for v in (lo[i, a], hi[i, a]))
+    kind = "struct<x1: int, x2: int, y1: int, y2: int, z1: int, z2: int>"
+    nodes = spark.createDataFrame([(i, i % 7, 0, box(i)) for i in range(300)], f"node_id int, scan_id int, rot int, box {kind}")
+    full = [all(hi[i] >= lo[i]) for i in range(300)]
+    want = {(i, j) for j in range(300) for i in range(j) if i % 7 != j % 7 and full[i] and full[j] and all(lo[i] <= hi[j]) and all(lo[j] <= hi[i])}
+    assert {(r["a"], r["b"]) for r in graph.overlap_pairs(nodes).collect()} == want
+    small = graph.overlap_pairs(nodes, tile=10**6, block=16)
+    assert sorted((r["a"], r["b"]) for r in small.collect()) == sorted(want)
+    side = nodes.select(F.lit(1).alias("t"), F.col("node_id").alias("a"))
+    left, right = stages.blocks(side, side.withColumnRenamed("a", "b"), ["t"], "a", "b", 16)
+    assert max(r["count"] for df in (left, right) for r in df.groupBy("t", "_p", "_q").count().collect()) < 50
+    at = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.random((200, 2)) * 3)], "node_id int, x double, y double")
+    xy = np.array([(r["x"], r["y"]) for r in at.orderBy("node_id").collect()])
+    near = {(i, j) for i in range(200) for j in range(200) if i != j and math.dist(xy[i], xy[j]) < 1.5}
+    assert {(r["a"], r["b"]) for r in neighbors.near_pairs(at, 1.0, block=8).collect()} == near
+
+
+def test_pixels_seen_by_one_set_are_summed(spark):
+    """Pairs of nodes that see the same pixels, against a sum over every pixel."""
+    rng = np.random.default_rng(11)
+    nodes = spark.createDataFrame([(i, i // 2, i % 2, 3 + i % 3, 4, 3, 3) for i in range(8)], "node_id int, scan_id int, rot int, x int, y int, zx int, zy int")
+    free = spark.createDataFrame([(s, r, int(a), int(b)) for s in range(4) for r in range(2) for a, b in {tuple(map(int, q)) for q in rng.integers(0, 7, (25, 2))}], "scan_id int, rot int, row int, col int")
+    wt = {}
+    for r in graph.high_order_weights(nodes, free, 9, 9, 1.0).collect():
+        wt.setdefault((r["row"], r["col"]), []).append((r["node_id"], r["scan_id"], r["wt"]))
+    want = {}
+    for seen in wt.values():
+        for a, sa, wa in seen:
+            for b, sb, wb in seen:
+                if sa != sb:
+                    want[a, b] = want.get((a, b), 0.0) - 0.5 * (wa + wb)
+    out = graph.higher_order(nodes, free, 9, 9, 1.0)
+    assert {(r["a"], r["b"]): r["h_weight"] for r in out.collect()} == pytest.approx(want)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
 def test_scale_search_finds_the_minimum(spark):
     calls = []
 
