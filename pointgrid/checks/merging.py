@@ -33,8 +33,8 @@ def _k07a(v):
     return p.select("scan_id", "idx", *[r4(c).alias(c) for c in "xyz"])
 
 
-def _off(a):
-    return f"({a} - (floor({a} / 0.25) + 0.5) * 0.25)"
+def _off(a, leaf=0.25):
+    return f"({a} - (floor({a} / {leaf}) + 0.5) * {leaf})"
 
 
 @check("k07_merge_sample", S(
@@ -45,10 +45,16 @@ def _k07s(v):
     return neighbors.uniform_sample(p, 0.25, [], "idx").select("idx.scan_id", "idx.idx")
 
 
-@check("k07_merge_with_transforms")
+@check("k07_merge_with_transforms", S(
+    f"""WITH {MOVED}, th AS MATERIALIZED (SELECT * EXCLUDE (rk) FROM (SELECT *, row_number() OVER (PARTITION BY floor(x / 0.05), floor(y / 0.05), floor(z / 0.05)
+      ORDER BY {' + '.join(f'{_off(a, 0.05)} * {_off(a, 0.05)}' for a in 'xyz')}, scan_id, idx) rk FROM mv) WHERE rk = 1),
+    nn AS (SELECT q.scan_id, q.idx, q.x, q.y, q.z, min((q.x-p.x)*(q.x-p.x) + (q.y-p.y)*(q.y-p.y) + (q.z-p.z)*(q.z-p.z), 51) AS d FROM th q, th p GROUP BY ALL),
+    md AS (SELECT *, list_sum(list_transform(d, lambda v: sqrt(v))) / (len(d) - 1) AS md FROM nn WHERE len(d) > 1),
+    lm AS (SELECT avg(md) + 2.0 * stddev_samp(md) AS lim FROM md)
+    SELECT scan_id, idx, {s4('x')} AS x, {s4('y')} AS y, {s4('z')} AS z FROM md, lm WHERE md <= lim""", "v_scanpts"))
 def _k07(v):
-    m = merging.merge_with_transforms(v.scanpts.select(*PTS), transforms_of(v), leaf=0.05, k=8)
-    return m.select("idx.scan_id", "idx.idx", "x", "y", "z")
+    m = merging.merge_with_transforms(v.scanpts.select(*PTS), transforms_of(v), leaf=0.05)
+    return m.select("idx.scan_id", "idx.idx", *[r4(c).alias(c) for c in "xyz"])
 
 
 @check("k06_merge_scans")
