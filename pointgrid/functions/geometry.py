@@ -6,7 +6,7 @@ doubles, a rigid transform one of sixteen; both are row-major.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Vec = tuple[Column, Column, Column]
@@ -110,6 +110,58 @@ def multiply(a: Column, b: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), cell)
 
 
+def _minor(rows: list[int], cols: list[int]) -> str:
+    """Determinant of the 3 x 3 part of the symmetric matrix ``n00 .. n33``, less ``lam`` on its diagonal."""
+    at = lambda r, c: f"(n{min(r, c)}{max(r, c)} - lam)" if r == c else f"n{min(r, c)}{max(r, c)}"
+    (a, b, c), (x, y, z) = rows, cols
+    return (f"({at(a, x)} * ({at(b, y)} * {at(c, z)} - {at(b, z)} * {at(c, y)}) - {at(a, y)} * ({at(b, x)} * {at(c, z)} - {at(b, z)} * {at(c, x)})"
+            f" + {at(a, z)} * ({at(b, x)} * {at(c, y)} - {at(b, y)} * {at(c, x)}))")
+
+
+def rotation_steps() -> list[dict[str, str]]:
+    """Best rotation from a 3 x 3 cross-covariance ``sxx .. szz`` (source axis first), as named expressions in turn.
+
+    The rotation is the unit quaternion that belongs to the largest root of a symmetric 4 x 4
+    matrix. The root is reached from above by Newton steps on the characteristic polynomial
+    (``newton`` is one step from ``lam``), the quaternion is a column of the adjugate, the one with
+    the largest diagonal entry. Points in a plane and reflections need no special case; points
+    on one line give no turn. Any engine with these names as columns can evaluate the text.
+    """
+    s = {f"s{a}{b}" for a in "xyz" for b in "xyz"}
+    first = {
+        "n00": "sxx + syy + szz", "n01": "syz - szy", "n02": "szx - sxz", "n03": "sxy - syx", "n11": "sxx - syy - szz", "n12": "sxy + syx",
+        "n13": "szx + sxz", "n22": "syy - sxx - szz", "n23": "syz + szy", "n33": "szz - sxx - syy",
+        "c2": "-2.0 * (" + " + ".join(f"{x} * {x}" for x in sorted(s)) + ")",
+        "c1": "-8.0 * (sxx * (syy * szz - syz * szy) - sxy * (syx * szz - syz * szx) + sxz * (syx * szy - syy * szx))",
+    }
+    others = lambda i: [j for j in range(4) if j != i]
+    whole = " + ".join(f"({'-' if j % 2 else ''}1.0) * n0{j} * {_minor([1, 2, 3], others(j))}" for j in range(4)).replace(" - lam", "")
+    adjugate = {f"a{i}{j}": f"({'-' if (i + j) % 2 else ''}1.0) * {_minor(others(i), others(j))}" for i in range(4) for j in range(i, 4)}
+    most = "greatest(" + ", ".join(f"abs(a{i}{i})" for i in range(4)) + ")"
+    pick = {f"p{j}": f"CASE WHEN NOT most > 1e-12 * abs(lam * lam * lam) THEN {1.0 if j == 0 else 0.0} " + " ".join(
+        f"WHEN abs(a{i}{i}) = most THEN a{min(i, j)}{max(i, j)}" for i in range(4)) + " END" for j in range(4)}
+    unit = {f"q{j}": f"p{j} / sqrt(p0 * p0 + p1 * p1 + p2 * p2 + p3 * p3)" for j in range(4)}
+    turn = {
+        "r0": "q0*q0 + q1*q1 - q2*q2 - q3*q3", "r1": "2 * (q1*q2 - q0*q3)", "r2": "2 * (q1*q3 + q0*q2)", "r3": "2 * (q1*q2 + q0*q3)",
+        "r4": "q0*q0 - q1*q1 + q2*q2 - q3*q3", "r5": "2 * (q2*q3 - q0*q1)", "r6": "2 * (q1*q3 - q0*q2)", "r7": "2 * (q2*q3 + q0*q1)", "r8": "q0*q0 - q1*q1 - q2*q2 + q3*q3",
+    }
+    step = "lam - coalesce((((lam * lam + c2) * lam + c1) * lam + c0) / nullif((4.0 * lam * lam + 2.0 * c2) * lam + c1, 0), 0)"
+    return [first, {"c0": whole, "start": "sqrt(-1.5 * c2)"}, {"newton": step}, adjugate, {"most": most}, pick, unit, turn]
+
+
+def with_rotation(df: DataFrame, steps: int = 80) -> DataFrame:
+    """Add the best rotation ``r0 .. r8`` of the cross-covariance columns ``sxx .. szz``."""
+    keep = [*df.columns, *(f"r{i}" for i in range(9))]
+    for named in rotation_steps():
+        if "newton" in named:
+            # One step as a function of the root so far, folded over a fixed number of steps.
+            lam = f"aggregate(sequence(1, {steps}), start, (lam, i) -> {named['newton']})"
+            df = df.withColumn("lam", F.expr(lam))
+        else:
+            df = df.withColumns({name: F.expr(text) for name, text in named.items()})
+    return df.select(*keep)
+
+
 def transform4(v: Vec, m: Column) -> Vec:
     """Homogeneous transform followed by the perspective divide."""
     out = [m[4 * i] * v[0] + m[4 * i + 1] * v[1] + m[4 * i + 2] * v[2] + m[4 * i + 3] for i in range(4)]

@@ -286,31 +286,17 @@ def nearest(source: DataFrame, target: DataFrame, limit: float, by: list[str],
     return pairs.groupBy(*by, "idx").agg(F.min(F.struct("d2", "qx", "qy", "qz", *rest)).alias("p")).select(*by, "idx", "p.*")
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _rigid_fit(cov, src, dst):  # noqa: ANN001
-    """Best rotation and shift from a 3x3 cross-covariance and two centroids."""
-    import numpy as np
-    import pandas as pd
-
-    out = []
-    for c, s, d in zip(cov, src, dst):
-        u, _, vt = np.linalg.svd(np.asarray(c, float).reshape(3, 3))
-        fix = np.diag([1.0, 1.0, np.sign(np.linalg.det(vt.T @ u.T)) or 1.0])
-        r = vt.T @ fix @ u.T
-        m = np.eye(4)
-        m[:3, :3] = r
-        m[:3, 3] = np.asarray(d, float) - r @ np.asarray(s, float)
-        out.append(m.ravel().tolist())
-    return pd.Series(out)
-
-
 def fit_rigid(matches: DataFrame, by: list[str]) -> DataFrame:
-    """Least-squares rigid transform of matched pairs: ``by, m, n, fitness``."""
+    """Least-squares rigid transform of matched pairs: ``by, n, fitness, m``."""
     s = matches.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg("d2").alias("fitness"),
-        F.array(*[F.avg(a) for a in "xyz"]).alias("src"), F.array(*[F.avg(f"q{a}") for a in "xyz"]).alias("dst"),
-        F.array(*[F.covar_pop(a, f"q{b}") for a in "xyz" for b in "xyz"]).alias("cov"))
-    return s.where("n >= 3").select(*by, "n", "fitness", _rigid_fit("cov", "src", "dst").alias("m"))
+        *[F.avg(a).alias(f"_{a}") for a in "xyz"], *[F.avg(f"q{a}").alias(f"_q{a}") for a in "xyz"],
+        *[F.covar_pop(a, f"q{b}").alias(f"s{a}{b}") for a in "xyz" for b in "xyz"])
+    r = G.with_rotation(s.where("n >= 3"))
+    row = lambda i: [F.col(f"r{3 * i + j}") for j in range(3)]
+    shift = lambda i: F.col(f"_q{'xyz'[i]}") - sum((row(i)[j] * F.col(f"_{a}") for j, a in enumerate("xyz")), F.lit(0.0))
+    cells = [c for i in range(3) for c in (*row(i), shift(i))]
+    return r.select(*by, "n", "fitness", F.array(*cells, *[F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)]).alias("m"))
 
 
 def refine(source: DataFrame, target: DataFrame, by: list[str], rounds: int = 30, inner: int = 2,
@@ -323,7 +309,7 @@ def refine(source: DataFrame, target: DataFrame, by: list[str], rounds: int = 30
     accumulated motion is not small or its fitness exceeds ``max_fitness``, and is
     finished when the motion has settled over four rounds; its own limit shrinks in every
     round in which it does not move. Only one matrix per group is carried between rounds. Runs jobs.
-    Returns ``by, m, ok``.
+    Returns ``by, m, ok, settled``; ``settled`` is false where the rounds ran out first.
     """
     eye = F.array(*[F.lit(1.0 if i % 5 == 0 else 0.0) for i in range(16)])
     state = cut(source.select(*by).distinct().select(
@@ -357,7 +343,7 @@ def refine(source: DataFrame, target: DataFrame, by: list[str], rounds: int = 30
             F.when(active, F.slice(F.concat(F.array("_m"), F.col("past")), 1, 4)).otherwise(F.col("past")).alias("past"),
             F.when(active, (F.size("past") == 4) & (spread4 < eps)).otherwise(F.col("settled")).alias("settled"),
             F.when(still, F.greatest(F.col("limit") - shrink, F.lit(shrink))).otherwise(F.col("limit")).alias("limit")), "refine")
-    return state.select(*by, F.when(F.col("ok"), F.col("m")).otherwise(eye).alias("m"), "ok")
+    return state.select(*by, F.when(F.col("ok"), F.col("m")).otherwise(eye).alias("m"), "ok", (F.col("ok") & F.col("settled")).alias("settled"))
 
 
 def points_in_box(points: DataFrame, box: DataFrame, by: list[str], tile: float = 2.0) -> DataFrame:

@@ -186,6 +186,28 @@ def test_knn_of_one_hot_position(spark):
     assert neighbors.knn(df, df.where("false"), 5, []).count() == 0
 
 
+def test_rotation_in_expressions_is_the_best(spark):
+    """Against singular values: general clouds, planes, reflections, half turns; a line gives no turn."""
+    rng = np.random.default_rng(1)
+    rows, want = [], []
+    for k in range(60):
+        p = rng.standard_normal((40, 3)) * [1, 1, 0 if k % 3 == 0 else 1]
+        q, _ = np.linalg.qr(rng.standard_normal((3, 3)))
+        q = np.diag([-1.0, -1.0, 1.0]) if k == 5 else q * np.sign(np.linalg.det(q)) if k % 4 else q
+        d = p @ q.T + rng.standard_normal((40, 3)) * 0.01
+        c = (p - p.mean(0)).T @ (d - d.mean(0)) / 40
+        u, _, vt = np.linalg.svd(c)
+        want.append(vt.T @ np.diag([1, 1, np.sign(np.linalg.det(vt.T @ u.T))]) @ u.T)
+        rows.append((k, *map(float, c.ravel())))
+    line = np.outer([1.0, 2.0, 3.0], [1.0, 2.0, 3.0])
+    rows += [(60, *map(float, line.ravel())), (61, *[0.0] * 9)]
+    names = ", ".join(f"s{a}{b} double" for a in "xyz" for b in "xyz")
+    got = {r["k"]: np.array([r[f"r{i}"] for i in range(9)]).reshape(3, 3) for r in G.with_rotation(spark.createDataFrame(rows, f"k int, {names}")).collect()}
+    for k in range(60):
+        assert np.abs(got[k] - want[k]).max() < 1e-5, k
+    assert np.abs(got[61] - np.eye(3)).max() == 0 and np.abs(got[60] @ got[60].T - np.eye(3)).max() < 1e-9
+
+
 def test_refine_recovers_a_small_motion(spark):
     rng = np.random.default_rng(9)
     p = np.concatenate([np.c_[rng.random((300, 2)) * 2, np.zeros(300)], np.c_[rng.random(300) * 2, np.zeros(300), rng.random(300) * 2], np.c_[np.zeros(300), rng.random((300, 2)) * 2]])
@@ -194,7 +216,7 @@ def test_refine_recovers_a_small_motion(spark):
     q = p @ rot.T + [0.01, -0.008, 0.005]
     make = lambda m: spark.createDataFrame([(0, i, *map(float, r)) for i, r in enumerate(m)], "scan_id int, idx long, x double, y double, z double")
     out = neighbors.refine(make(q), make(p), ["scan_id"], rounds=4).first()
-    assert out["ok"]
+    assert out["ok"] and not out["settled"]  # four rounds cannot show four equal ones before
     m = np.array(out["m"]).reshape(4, 4)
     back = q @ m[:3, :3].T + m[:3, 3]
     assert np.abs(back - p).max() < 2e-3
