@@ -467,6 +467,52 @@ def test_pixels_seen_by_one_set_are_summed(spark):
     assert "collect_list" not in out._jdf.queryExecution().toString()
 
 
+def _corner(rng, n, at):
+    """Points on a floor and two walls that meet, around a place."""
+    a = rng.random((n, 2)) * 2
+    flat = np.c_[a, np.zeros(n)], np.c_[a[:, 0], np.zeros(n), a[:, 1]], np.c_[np.zeros(n), a]
+    return np.concatenate(flat) + at
+
+
+def test_waves_give_what_a_walk_in_order_gives(spark):
+    """Two pairs of overlapping scans far apart: two waves, refining entered, cloud and transforms those of a fold."""
+    rng = np.random.default_rng(12)
+    places = [(0.0, 0, 0), (40.0, 40, 0), (0.0, 0, 0), (40.0, 40, 0)]
+    rows = []
+    for scan, at in enumerate(places):
+        shift = [0.006, -0.004, 0.003] if scan > 1 else [0, 0, 0]
+        rows += [(scan, i, *map(float, q)) for i, q in enumerate(_corner(np.random.default_rng(scan % 2), 250, np.array(at)) + rng.normal(0, 2e-4, (750, 3)) + shift)]
+    pts = spark.createDataFrame(rows, "scan_id int, idx long, x double, y double, z double")
+    eye = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    poses = spark.createDataFrame([(s, eye, [0.0, 0.0, 0.0]) for s in range(4)], "scan_id int, rot array<double>, t array<double>")
+    before = merging.pose_transforms(poses)
+    kept, boxes = (stages.cut(x, "t") for x in merging.prepare_scans(pts, before, 0.02))
+    order = {r["scan_id"]: r["wave"] for r in merging.waves(merging.reach_of(kept, boxes)).collect()}
+    assert order == {0: 0, 1: 0, 2: 1, 3: 1}
+    cloud, after = merging.merge_scans(pts, poses, refine=True, leaf=0.02, k=5, m=10.0, rounds=2)
+    merged, moves = None, {}
+    for scan in range(4):
+        mine = kept.where(F.col("scan_id") == scan)
+        if merged is not None:
+            target = stages.cut(neighbors.points_in_box(merged, boxes.where(F.col("scan_id") == scan), ["scan_id"]), "t")
+            if target.count() > 0.25 * mine.count():
+                sample = lambda df: merging.with_curvature(neighbors.uniform_sample(df, 0.04, ["scan_id"]), df)
+                fit = neighbors.refine(sample(mine), sample(target), ["scan_id"], 2, features=["curvature"])
+                moves[scan] = fit.first()["m"]
+                mine = merging.merging.apply_transforms(mine, fit)
+        tagged = mine.withColumn("idx", F.struct("scan_id", "idx")).drop("scan_id")
+        merged = stages.cut(neighbors.uniform_sample(tagged if merged is None else merged.unionByName(tagged), 0.02, [], "idx"), "t")
+    assert set(moves) == {2, 3}
+    flat = lambda df: {(r["idx"]["scan_id"], r["idx"]["idx"]): (r["x"], r["y"], r["z"]) for r in df.collect()}
+    got, want = flat(cloud), flat(neighbors.drop_statistical_outliers(merged, 5, 10.0))
+    assert set(got) == set(want) and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+    mats = {r["scan_id"]: (np.array(r["before"]), np.array(r["after"])) for r in after.collect()}
+    for scan in range(4):
+        step = np.array(moves.get(scan, np.eye(4).ravel())).reshape(4, 4)
+        assert np.allclose(step @ mats[scan][0].reshape(4, 4), mats[scan][1].reshape(4, 4))
+    assert all(np.abs(np.array(moves[s]).reshape(4, 4)[:3, 3]).max() > 1e-4 for s in (2, 3))
+
+
 def test_scale_search_finds_the_minimum(spark):
     calls = []
 
