@@ -12,15 +12,17 @@ from pyspark.sql import functions as F
 from pointgrid.stages import cut
 
 
-def dealt(members: DataFrame, keys: list[str], member: str, size: int = 1024) -> DataFrame:
+def dealt(members: DataFrame, keys: list[str], member: str, size: int = 1024, weight: str = "1", heavy: int | None = None) -> DataFrame:
     """Copies of ``members`` for the blocks that compare them; keys with one member are left out.
 
     A key with n members has about n / size parts by a hash of ``member``; every two parts meet
     in one block (_i, _j), and members of one part also in (_i, _i). A block has about 2 * size
-    rows at most. The result is partitioned by block and sorted by it.
+    rows at most, and with ``heavy`` a ``weight`` of about 2 * heavy. The result is partitioned by
+    block and sorted by it.
     """
-    counts = cut(members.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1"), "loads")
-    parts = F.ceil(F.col("_n") / size).cast("int")
+    loads = members.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(F.expr(weight)).alias("_w")).where("_n > 1")
+    counts = cut(loads.withColumn("_n", F.greatest(F.col("_n") / size, F.col("_w") / heavy) if heavy else F.col("_n") / size).drop("_w"), "loads")
+    parts = F.ceil("_n").cast("int")
     own = F.pmod(F.xxhash64(member), F.col("_parts")).cast("int")
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = [*keys, "_i", "_j"]

@@ -74,3 +74,30 @@ def test_given_documents(spark, sf):
 def test_empty(hard, empty):
     assert near_copies.one_of_each(empty).count() == 0
     assert near_copies.one_of_each(hard).columns == hard.columns
+
+
+@pytest.mark.parametrize("size", [20, 1 << 19])
+def test_group_of_texts_half_alike(spark, monkeypatch, size):
+    """Many texts that share lists but are mostly not near: no pair is written, every link is found, in blocks of any weight."""
+    monkeypatch.setattr(near_copies, "SHINGLES", size * 200)
+    rng = random.Random(9)
+    base = prose(rng, 260)
+    texts = [base] + [edited(rng, base, rng.choice([5, 9, 12])) for _ in range(120)]
+    check(spark, texts + [prose(rng, 30) for _ in range(20)] + texts[:3])
+
+
+def test_forest_and_filter(spark):
+    """A block names fewer pairs than it has rows; the bitmap holds every wanted key."""
+    rng = random.Random(4)
+    base = prose(rng, 200)
+    docs = spark.createDataFrame([(i, edited(rng, base, 6)) for i in range(60)], "doc_id long, text string")
+    prints = near_copies.marked(docs).selectExpr("node", "key", "size", "print", "node AS root")
+    members = near_copies.listed(prints.select("node", "print")).join(prints, "node")
+    forest = near_copies.candidates(members, best=False)
+    rows = {(r.place, r.bytes): r["count"] for r in members.groupBy("place", "bytes").count().collect()}
+    assert 0 < forest.count() <= sum(rows.values()) - len(rows)
+    keep = near_copies.only_near(prints.where("pmod(key, 2) = 0"))
+    texts = docs.selectExpr("xxhash64(text) AS key", "text")
+    kept = {r.key for r in texts.mapInArrow(keep, "key long, text string").collect()}
+    assert kept == {r.key for r in prints.collect() if r.key % 2 == 0}
+    assert near_copies.only_near(prints.where("false")) is not None

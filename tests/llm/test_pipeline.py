@@ -4,11 +4,12 @@ from collections import Counter
 
 import pytest
 from test_dedup import brute_components, brute_words
+from test_near_copies import brute_links
 from test_text import library  # noqa: F401
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from pointgrid.llm import bpe, mixing, quality, simhash
+from pointgrid.llm import bpe, mixing, quality
 from pointgrid.stages import cut
 
 D = "/root/testdata/sf0.001"
@@ -36,9 +37,10 @@ def test_rejected_go(spark, kept):
 
 
 def test_one_of_each_group_stays(kept):
-    prints = {d: simhash.fingerprint(t) for d, t in texts(kept[1])}
-    links = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4]
-    assert sorted(d for d, _ in texts(kept[2])) == sorted(set(brute_components(links, prints).values()))
+    """Of every group linked by 5-word runs with a Jaccard similarity of 0.8 the smallest doc_id stays."""
+    rows = texts(kept[1])
+    links = [(rows[i][0], rows[j][0]) for i, j in brute_links([t for _, t in rows])]
+    assert sorted(d for d, _ in texts(kept[2])) == sorted(set(brute_components(links, [d for d, _ in rows]).values()))
 
 
 def test_repeats_are_cut(spark, kept):
