@@ -193,6 +193,15 @@ def _a17(v):
     return one("before").join(one("after"), ["scan_id", "pos"])
 
 
+@check("a17_combined_transforms", S(
+    "WITH d AS (SELECT scan_id, max(door_id) % 7 AS k FROM v_doors GROUP BY scan_id) SELECT scan_id, i AS pos, (k + i) * 0.25 AS before, (k + 2 * i) * 0.25 AS after FROM d, generate_series(0, 15) t(i)", "v_doors"))
+def _a17b(v):
+    path = new_stage_path(v.spark, "transforms")
+    records.write_combined_transforms(_matrices(v), path)
+    one = lambda s: records.read_combined_transforms(v.spark, path, s).select("scan_id", F.posexplode("m").alias("pos", s))
+    return one("before").join(one("after"), ["scan_id", "pos"])
+
+
 @check("a18_rects_from_json", S("SELECT 'ABC' || scan_id AS floor_id, 'ABC_pano_' || rect_id || '.png' AS img_name, 0 AS pos, x, y, width, height FROM v_rects", "v_rects"))
 def _a18(v):
     body = F.to_json(F.struct(

@@ -55,6 +55,23 @@ def read_transforms(spark: SparkSession, path: str, stage: str = "after") -> Dat
     return df.select("scan_id", F.slice(numbers, first, 16).alias("m"))
 
 
+def write_combined_transforms(df: DataFrame, path: str, per_file: int = 10_000) -> None:
+    """All scans' matrices as one text in scan order, each under its scan's number (parts follow one another)."""
+    text = F.concat(F.col("scan_id").cast("string"), F.lit("\n\n" + BEFORE + "\n"), _text4(F.col("before")), F.lit("\n\n" + AFTER + "\n"), _text4(F.col("after")), F.lit("\n\n"))
+    rows = df.repartitionByRange("scan_id").sortWithinPartitions("scan_id")
+    rows.select(text.alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", per_file).text(path)
+
+
+def read_combined_transforms(spark: SparkSession, path: str, stage: str = "after") -> DataFrame:
+    """``scan_id, m`` of one stage from a combined text: a number and 32 matrix entries per scan."""
+    parts = spark.read.text(path, wholetext=True)
+    each = parts.select(F.explode(F.split("value", rf"(?m)^(?=-?\d+\s+{BEFORE})")).alias("value"))
+    numbers = F.regexp_extract_all("value", F.lit(f"({NUMBER})"), 1)
+    first = 2 if stage == "before" else 18
+    return each.select(numbers.alias("n")).where(F.size("n") == 33).select(
+        F.col("n")[0].cast("int").alias("scan_id"), F.transform(F.slice("n", first, 16), lambda v: v.cast("double")).alias("m"))
+
+
 def rects_from_json(df: DataFrame, col: str) -> DataFrame:
     """Rectangles of annotation bodies: ``floor_id, img_name, pos, x, y, width, height``."""
     schema = ("rects array<struct<x:double,y:double,width:double,height:double>>, "
