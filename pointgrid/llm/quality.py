@@ -6,14 +6,16 @@ STRIDE bytes; their outputs are averaged over chunks of CHUNK pieces that overla
 the whole text; second filters look at the chunks; the greatest and the mean output of each over all chunks
 are combined into one probability. Texts are padded with zero bytes to a full chunk.
 
-Learning takes a bounded sample of the labelled rows (MOST_ROWS documents, by least hash of doc_id, twice as
-many rows at most where a doc_id repeats, and of each at most MOST_BYTES characters in one piece chosen by the hash) to the driver, and takes STEPS steps of
-BATCH documents each, going through the sample again and again.
+Learning takes a bounded sample of the labelled documents with their whole texts to the driver: by least hash
+of doc_id, MOST_ROWS documents at most and as many of them as have MOST_BYTES bytes in all, none of them longer than
+MOST_TEXT bytes. It takes STEPS steps of BATCH documents each, going through the sample again and again; a
+batch is worked off in slices of at most MOST_TEXT bytes, whose gradients add up.
 Scoring always uses whole texts, a slice of documents at a time; a text longer than a slice is scored in one piece,
 in memory in proportion to it.
 
 Defined results: a null text scores like an empty one; the score is a number for every text. Labels are those
-of rows whose doc_id has one; of several labels of a doc_id the least counts. A null doc_id is held out. With no
+of rows whose doc_id has one; of several labels of a doc_id the least counts, and of several texts of a doc_id the
+shortest (the least of these) is learned. A null doc_id is held out. With no
 labels, or labels of one kind only, every score is the share of label 1 (1 if there are none). Rows that repeat
 a doc_id are scored one by one. Columns other than doc_id, text and quality are ignored.
 """
@@ -24,13 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from pointgrid.llm.arrow_text import slices, utf8
 from pointgrid.llm.language import held_out
+from pointgrid.stages import cut
 
 EMBED, WIDTH, STRIDE, FIRST, CHUNK, SECOND = 6, 16, 8, 32, 24, 24
 LAGS = np.arange(2, 22)
-MOST_ROWS, MOST_BYTES, STEPS, BATCH = 4000, 8192, 1500, 32
+MOST_ROWS, MOST_BYTES, MOST_TEXT, STEPS, BATCH = 4000, 1 << 24, 1 << 18, 1500, 32
 ACCEPT = 0.3
 SLICE = 1 << 18
 SEED = 5
@@ -113,6 +117,20 @@ def backward(w: dict[str, np.ndarray], windows: np.ndarray, first: np.ndarray, h
     return g
 
 
+def gradient(w: dict[str, np.ndarray], texts: list[bytes], labels: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradient of the weighted loss over whole texts, a slice of them at a time."""
+    at = np.r_[0, np.cumsum([len(t) for t in texts])]
+    total = {}
+    for a, z in slices(at, MOST_TEXT):
+        data = np.frombuffer(b"".join(texts[a:z]), np.uint8)
+        windows, marks, first = pieces(data, at[a : z + 1] - at[a])
+        odds, held = forward(w, windows, marks, first, True)
+        slope = ((1 / (1 + np.exp(-np.clip(odds, -30, 30))) - labels[a:z]) * weight[a:z]).astype(np.float32)
+        for k, v in backward(w, windows, first, held, slope).items():
+            total[k] = total[k] + v if k in total else v
+    return total
+
+
 def fit(texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
     """Adam over small batches; both labels weigh the same in the loss."""
     w = start_weights()
@@ -125,12 +143,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
         order = rng.permutation(len(texts))
         for i in range(0, len(texts), BATCH):
             some = order[i : i + BATCH]
-            data = np.frombuffer(b"".join(texts[j] for j in some), np.uint8)
-            at = np.r_[0, np.cumsum([len(texts[j]) for j in some])]
-            windows, marks, first = pieces(data, at)
-            odds, held = forward(w, windows, marks, first, True)
-            slope = ((1 / (1 + np.exp(-np.clip(odds, -30, 30))) - labels[some]) * weight[some] / len(some)).astype(np.float32)
-            g = backward(w, windows, first, held, slope)
+            g = gradient(w, [texts[j] for j in some], labels[some], weight[some] / len(some))
             step += 1
             rate = 4e-3 * min(1, step / 50) * (0.02 + 0.98 * 0.5 * (1 + np.cos(np.pi * min(1, step / STEPS))))
             for k in w:
@@ -144,14 +157,15 @@ def fit(texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | float:
     """Weights from the labelled documents given, or the share of label 1 where there is nothing to tell apart."""
     of = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    mix = F.xxhash64("doc_id")
-    start = F.pmod(mix, F.greatest(F.length("text") - MOST_BYTES, F.lit(0)) + 1) + 1
-    piece = F.expr(f"substring(text, int(_start), {MOST_BYTES})")
     chosen = of.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_ROWS)
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_size", F.octet_length("text")).where(F.col("_size") <= MOST_TEXT)
+    # The window sees MOST_ROWS rows at most, without their texts.
+    sizes = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("_size").alias("_size"))
+    sum_to = F.sum("_size").over(W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    fits = cut(sizes.withColumn("_sum", sum_to).where(F.col("_sum") <= MOST_BYTES).drop("_sum"), "sample")
     sample = (
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-        .withColumn("_start", start).select("doc_id", piece.alias("text"), "quality")
-        .orderBy("doc_id", "text").limit(2 * MOST_ROWS).toArrow()
+        own.join(F.broadcast(fits), ["doc_id", "_size"]).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+        .orderBy("doc_id").toArrow()
     )
     kinds = sample.column("quality").to_numpy().astype(np.int64)
     if not len(kinds) or kinds.min() == kinds.max():

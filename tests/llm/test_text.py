@@ -106,6 +106,33 @@ def test_quality_gradient():
         assert np.isclose((diff[0] - diff[1]) / 2e-5, g[k][at_], rtol=1e-3, atol=1e-4), k
 
 
+def test_quality_batches_in_slices(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(32, 127, n).astype(np.uint8).tobytes() for n in (0, 700, 5000, 1, 2600, 900)]
+    labels, weight = np.array([0, 1, 1, 0, 1, 0]), rng.random(6)
+    w = quality.start_weights()
+    whole = quality.gradient(w, texts, labels, weight)
+    monkeypatch.setattr(quality, "MOST_TEXT", 1500)
+    parts = quality.gradient(w, texts, labels, weight)
+    assert all(np.allclose(whole[k], parts[k], rtol=1e-3, atol=1e-5) for k in whole)
+
+
+def test_quality_sample_of_whole_texts(spark, monkeypatch):
+    """Whole texts up to the bound on all bytes, one per document, none over the bound on one text."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda texts, kinds: seen.append(texts))
+    monkeypatch.setattr(quality, "MOST_TEXT", 900)
+    rows = [(i, f"{i} " + "x" * (30 * i)) for i in range(40)] + [(3, "three, longer than the other text of it" * 9), (None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    quality.train(docs, labels)
+    short = {t.encode() for d, t in rows[:40] if len(t) <= 900}
+    assert set(seen[0]) == short and len(seen[0]) == len(short)
+    monkeypatch.setattr(quality, "MOST_BYTES", 5000)
+    quality.train(docs, labels)
+    assert set(seen[1]) < short and 4000 < sum(map(len, seen[1])) <= 5000
+
+
 def test_quality_slices_agree():
     """A text scores the same alone and among others; a text longer than a chunk counts to its end."""
     w = quality.start_weights()
@@ -152,6 +179,16 @@ def test_mixing_hard(spark, hard, hard_rows, empty):
     assert mixing.planned(empty).count() == 0 and mixing.emitted(empty).count() == 0
 
 
+def test_mixing_keeps_clashing_columns(spark):
+    kinds = "doc_id long, text string, source string, _source int, _rate string, _copies int, _copy int, _n int, rank int"
+    rows = [(i, "w " * (i % 7), "ab"[i % 2], 1, "r", 2, 3, 4, 5) for i in range(40)]
+    docs = spark.createDataFrame(rows, kinds)
+    out = mixing.emitted(docs)
+    assert out.columns == docs.columns
+    plan = {r.doc_id: r.copies for r in mixing.planned(docs).collect()}
+    assert Counter(map(tuple, out.collect())) == Counter({r: plan[r[0]] for r in rows if plan[r[0]]})
+
+
 def test_mixing_targets(spark):
     rows = [("a", 10), ("b", 1), ("c", 1000), (None, 5), ("é", 0), ("Z", 400)]
     got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(rows, "source string, size long")).collect()}
