@@ -10,8 +10,8 @@ a hash of the seed and the doc_id.
 Defined results: a null text has size 0; documents without words are emitted like the others of
 their source. A source without any words has target 0 and is not emitted. Rows that repeat a doc_id
 are decided alike. A null doc_id is decided as an empty one. An empty table gives an empty mix.
-Columns other than doc_id, source and text are kept by ``emitted`` and otherwise ignored; columns
-of the documents that carry a name made here are replaced.
+Columns other than doc_id, source and text are kept by ``emitted``, whatever their names, and
+otherwise ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointgrid.llm.arrow_text import unused
 from pointgrid.stages import cut, ranked
 
 WEIGHTS = (1, 2, 3)
@@ -80,14 +81,15 @@ def planned(docs: DataFrame, most: int = MOST, seed: str = SEED) -> DataFrame:
 
 def emitted(docs: DataFrame, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with their own columns."""
+    mix, rate, copies, copy = unused(docs.columns, "_source", "_rate", "_copies", "_copy")
     shares = targets(docs.select("source", size().alias("size")), most)
-    shares = shares.select(F.col("source").alias("_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("_rate"))
-    copies = F.floor("_rate") + (draw(seed) < F.col("_rate") - F.floor("_rate")).cast("long")
-    own = docs.select(*docs.columns)
+    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    shares = shares.select(F.col("source").alias(mix), each.alias(rate))
+    taken = F.floor(rate) + (draw(seed) < F.col(rate) - F.floor(rate)).cast("long")
     return (
-        own.join(shares, own["source"].eqNullSafe(shares["_source"]))
-        .withColumn("_copies", copies)
-        .where("_copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-        .select(*(own[c] for c in docs.columns))
+        docs.join(shares, F.col("source").eqNullSafe(F.col(mix)))
+        .withColumn(copies, taken)
+        .where(F.col(copies) > 0)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+        .select(*docs.columns)
     )
