@@ -45,11 +45,11 @@ PLAN = """pl AS (SELECT "row", col, max(value) AS value FROM v_grid WHERE value
 
 def correlation(v):
     t = templates_of(v)
-    tmpl = placement.template(t.where("value > 0.25"), t.where("value > 0.2"), t.where("value > 0.05"))
+    tmpl = cut(placement.template(t.where("value > 0.25"), t.where("value > 0.2"), t.where("value > 0.05")), "template")
     p = plan_of(v)
     sheet = placement.sheet(p.where("value > 0.4"), p.where("value > 0.3"), p)
     size = tmpl.groupBy(*KEY).agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"))
-    return placement.correlate(placement.initial_candidates(size, 100, 100), cut(tmpl, "template"), cut(sheet, "sheet"))
+    return placement.correlate(placement.initial_candidates(size, 100, 100), tmpl, sheet)
 
 
 SUMS = ("plan_mass", "scan_mass", "scan_fp", "fp_scan")
