@@ -161,6 +161,12 @@ def _a14(v):
     return records.load_placements(v.spark, _saved(v), cap=200).drop("rank")
 
 
+@check("a14_true_placements", S(
+    "SELECT scan_id, x, y, rot FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY score, rot, x, y) AS rank FROM v_place) WHERE rank <= 500", "v_place"))
+def _a14b(v):
+    return records.load_true_placements(v.spark, _saved(v), _zero(v))
+
+
 @check("g04_best_placements", S(_cap_sql(500), "v_place"))
 def _g04(v):
     return records.best_placements(v.place, _zero(v), 500)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..operators import filters, grids, placement
 from ..plans import placing
 from ..stages import cut
@@ -11,6 +12,7 @@ from ..stages import rounded as r4
 from ..stages import rounded_sql as s4
 from ..views import with_views as S
 from . import check
+from .grids import COMP_KEYED
 from .scalars import DOOR_SQL, plan_doors_table
 
 KEY = ["scan_id", "rot"]
@@ -147,10 +149,23 @@ def _small_scans(v):
     return t.withColumn("value", F.least(F.col("value") * 2, F.lit(1.0))), t.select(*KEY, "row", "col", F.lit(1.0).alias("value"))
 
 
+@check("k01_plan_front", S(
+    f"""WITH {COMP_KEYED}, sz AS (SELECT scan_id, comp, count(*) n FROM lb GROUP BY ALL), mn AS (SELECT scan_id, avg(n) m FROM sz GROUP BY scan_id),
+    kp AS (SELECT scan_id, CAST(id >> 31 AS INT) AS r, CAST(id % 2147483648 AS INT) AS c FROM lb JOIN sz USING (scan_id, comp) JOIN mn USING (scan_id) WHERE n >= m)
+    SELECT scan_id, r + 5 AS "row", c + 5 AS col, {s4("1 - (255 - trunc(value * 255)) / 255.0")} AS value FROM kp JOIN v_grid g USING (scan_id) WHERE g."row" = r AND g.col = c""", "v_grid", recursive=True))
+def _k01f(v):
+    """Every grid as a plan image of its own."""
+    dark = F.when(F.col("value") > 0.4, 255 - F.floor(F.col("value") * 255)).otherwise(255)
+    plan, rows, cols = placing.plan_front(v.grid.select("scan_id", "row", "col", dark.cast("int").alias("grey")), 100, 100)
+    assert (rows, cols) == (110, 110)
+    return plan.withColumn("value", r4("value"))
+
+
 @check("k01_place_scans")
 def _k01(v):
     s, m = _small_scans(v)
-    return placing.place_scans(plan_of(v), (100, 100), s, m, (25, 25), levels=2).select(*KEY, "x", "y", "score")
+    grey = plan_of(v).select("row", "col", G.trunc(255.0 - F.col("value") * 255.0).alias("grey"))
+    return placing.place_on_image(grey, (100, 100), s, m, (25, 25), levels=2).select(*KEY, "x", "y", "score")
 
 
 @check("e17_plan_doors")

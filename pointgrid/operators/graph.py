@@ -21,6 +21,8 @@ GEO_CENTRE, PANO_CENTRE = (0.1, 0.6), (0.3, 0.7)
 HIGH_ORDER_RANGE, HIGH_ORDER_SIGMA = 1.5, 5.0
 UNLOCK_BELOW = -0.75
 NODES_PER_SCAN = 5
+# A message that moves less than this is at rest; rounds without a better labelling before a start is given up.
+SETTLED, PATIENCE = 1e-3, 8
 
 
 def top_per(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
@@ -140,7 +142,7 @@ def normalise_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return done.select(*edges.columns)
 
 
-def label_graph(nodes: DataFrame, edges: DataFrame, rounds: int = 12, damping: float = 0.5) -> DataFrame:
+def label_graph(nodes: DataFrame, edges: DataFrame, patience: int = PATIENCE, damping: float = 0.5) -> DataFrame:
     """One node (or none) per scan, maximising node weights plus pair weights.
 
     Max-sum message passing on the graph of linked scans: ``edges`` is ``(a, b, weight)``
@@ -149,7 +151,8 @@ def label_graph(nodes: DataFrame, edges: DataFrame, rounds: int = 12, damping: f
     only on which scans have a label: their part of the score of "no label" follows from the
     labelling before, and two starts are tried, all scans labelled and none. Each round is a
     join and a grouped maximum; the round whose decoded labelling has the highest value is
-    returned. Runs jobs.
+    returned. A start ends when no message moves by more than ``SETTLED`` and the same scans have no label, or, where messages run in
+    circles, after ``patience`` rounds on end without a better labelling. Runs jobs.
     Returns ``scan_id, node_id`` (NULL for no label).
     """
     own = nodes.select("scan_id", "node_id", F.coalesce(F.nanvl(F.col("nw"), F.lit(0.0)) * UNARY_WEIGHT, F.lit(0.0)).alias("u"))
@@ -171,15 +174,16 @@ def label_graph(nodes: DataFrame, edges: DataFrame, rounds: int = 12, damping: f
         "i", "a", "j", "b", F.when(free, F.coalesce("weight", F.lit(0.0))).otherwise(F.lit(NO_LABEL_PAIR)).alias("theta")), "labels")
     start = cut(factors.select("i", "j", "b").distinct().withColumn("m", F.lit(0.0)), "labels")
     best, best_value = None, None
+    of_bare = F.count("*"), F.bit_xor(F.xxhash64("scan_id"))
     for first in (scans.where("false"), scans):
-        msg, bare = start, cut(first, "labels")
-        for _ in range(rounds):
+        msg, bare, idle, own_value = start, cut(first, "labels"), 0, None
+        mark = bare.agg(*of_bare).first()
+        while True:
             # Scans without a label that have no link to this one: their pairs cost no more if it has none either.
-            n_bare = bare.count()
             linked = links.join(bare.select(F.col("scan_id").alias("j")), "j", "left_semi").groupBy(F.col("i").alias("scan_id")).agg(F.count("*").alias("_near"))
             spared = bare.withColumn("_self", F.lit(1)).join(linked, "scan_id", "full_outer")
             into = msg.groupBy(F.col("j").alias("scan_id"), F.col("b").alias("node_id")).agg(F.sum("m").alias("_in"))
-            costly = F.col("apart") - (n_bare - F.coalesce("_near", F.lit(0)) - F.coalesce("_self", F.lit(0)))
+            costly = F.col("apart") - (mark[0] - F.coalesce("_near", F.lit(0)) - F.coalesce("_self", F.lit(0)))
             belief = labels.join(spared, "scan_id", "left").join(into, ["scan_id", "node_id"], "left").select(
                 "scan_id", "node_id", "u", "apart",
                 (F.col("u") + F.when(F.col("node_id") < 0, costly * NO_LABEL_PAIR).otherwise(0.0) + F.coalesce("_in", F.lit(0.0))).alias("belief"))
@@ -189,15 +193,24 @@ def label_graph(nodes: DataFrame, edges: DataFrame, rounds: int = 12, damping: f
             value = labelling_value(pick, factors)
             if best_value is None or value > best_value + 1e-12:
                 best, best_value = pick, value
-            bare = pick.where("node_id < 0").select("scan_id")
+            idle = 0 if own_value is None or value > own_value + 1e-12 else idle + 1
+            own_value = value if idle == 0 else own_value
+            if idle >= patience:
+                break
+            bare, before = pick.where("node_id < 0").select("scan_id"), mark
+            mark = bare.agg(*of_bare).first()
             back = msg.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("b").alias("a"), F.col("m").alias("_back"))
             send = factors.join(belief.select(F.col("scan_id").alias("i"), F.col("node_id").alias("a"), "belief"), ["i", "a"])
             send = send.join(back, ["i", "j", "a"], "left").groupBy("i", "j", "b").agg(
                 F.max(F.col("belief") - F.coalesce("_back", F.lit(0.0)) + F.col("theta")).alias("m"))
             top = send.groupBy("i", "j").agg(F.max("m").alias("_top"))
             send = send.join(top, ["i", "j"]).select("i", "j", "b", (F.col("m") - F.col("_top")).alias("_new"))
+            moved = F.abs(F.col("_new") - F.col("m")).alias("_moved")
             msg = cut(msg.join(send, ["i", "j", "b"]).select(
-                "i", "j", "b", (F.col("m") * damping + F.col("_new") * (1.0 - damping)).alias("m")), "labels")
+                "i", "j", "b", (F.col("m") * damping + F.col("_new") * (1.0 - damping)).alias("m"), moved), "labels")
+            if mark == before and (msg.agg(F.max("_moved")).first()[0] or 0.0) <= SETTLED:
+                break
+            msg = msg.drop("_moved")
     return best.select("scan_id", F.when(F.col("node_id") >= 0, F.col("node_id")).alias("node_id"))
 
 

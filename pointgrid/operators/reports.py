@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..stages import ranked
+from ..stages import measured, ranked
 
 MIN_DELTA = 0.0001
 
@@ -16,12 +16,12 @@ def score_deltas(placements: DataFrame, order: list[str]) -> DataFrame:
     """Score, change from the previous score and from the scan's first, in file order.
 
     Ranks are distributed and the previous row is found by an equi-join on the rank, so
-    a scan of any size stays spread out. Runs a job.
+    a scan of any size stays spread out; the first scores are one stored row per scan. Runs jobs.
     """
     r = ranked(placements, order, ["scan_id"])
     prev = r.select("scan_id", (F.col("rank") + 1).alias("rank"), F.col("score").alias("prev"))
     first = r.where("rank = 1").select("scan_id", F.col("score").alias("first"))
-    return r.join(prev, ["scan_id", "rank"], "left").join(first, "scan_id").select(
+    return r.join(prev, ["scan_id", "rank"], "left").join(measured(first), "scan_id").select(
         "scan_id", "rank", "score", (F.col("score") - F.col("prev")).alias("delta"),
         F.when(F.col("rank") > 1, F.col("score") - F.col("first")).alias("total_delta"))
 

@@ -77,16 +77,21 @@ def voxel_running_mean(points: DataFrame, vpm: float = 50.0) -> DataFrame:
 
     The fold of a run of values is an affine map v -> v * 2^-n + s, and affine maps
     compose, so runs of consecutive ids are folded on their own and then joined,
-    level by level. A voxel that receives most of the points never gathers more
-    than one chunk of ids in a task. The first value enters whole.
+    level by level, as often as the largest id asks for. A voxel that receives most of
+    the points never gathers more than one chunk of ids in a task. The first value enters
+    whole. Ids are not negative. Runs a job.
     """
+    top = points.agg(F.max("idx")).first()[0] or 0
+    levels = 1
+    while top >= FOLD_CHUNK**levels:
+        levels += 1
     depth = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
     keys = ["scan_id", "vx", "vy", "vz"]
     runs = points.select(
         "scan_id", *[G.trunc(F.col(a) * vpm).alias(f"v{a}") for a in "xyz"],
         F.col("idx").alias("seq"), F.lit(0.5).cast("double").alias("gain"), (depth / 2.0).alias("shift"),
         depth.alias("first"))
-    for _ in range(5):
+    for _ in range(levels):
         runs = runs.groupBy(*keys, F.floor(F.col("seq") / FOLD_CHUNK).alias("seq_up")).agg(
             F.array_sort(F.collect_list(F.struct("seq", "gain", "shift", "first"))).alias("run"))
         start = F.struct(F.lit(1.0).alias("gain"), F.lit(0.0).alias("shift"))

@@ -70,11 +70,11 @@ def combine_edges(geometric: DataFrame, pano: DataFrame, high: DataFrame, nodes:
     return e.withColumn("weight", edge_weight(*[F.col(c) for c in ("w", "w_sig", "pano_w", "pano_sig", "distance", "h_weight")]))
 
 
-def solve(nodes: DataFrame, edges: DataFrame, scale: float, rounds: int = 12) -> DataFrame:
+def solve(nodes: DataFrame, edges: DataFrame, scale: float, patience: int = graph.PATIENCE) -> DataFrame:
     """Chosen node, agreement and lock of every scan. Runs jobs."""
     owner = lambda s: nodes.select(F.col("node_id").alias(s), F.col("scan_id").alias(f"s_{s}"))
     later = edges.select("a", "b", "weight").join(owner("a"), "a").join(owner("b"), "b").where("s_a > s_b").select("a", "b", "weight")
-    chosen = graph.label_graph(nodes, later, rounds)
+    chosen = graph.label_graph(nodes, later, patience)
     sol = graph.agreement(chosen, edges.select("a", "b", "weight")).join(graph.candidates_per_scan(nodes), "scan_id")
     sol = cut(graph.unlock_weak(sol), "solution")
     picked = nodes.join(sol.where("locked").select("node_id"), "node_id", "left_semi")
@@ -84,7 +84,7 @@ def solve(nodes: DataFrame, edges: DataFrame, scale: float, rounds: int = 12) ->
 def label_scans(nodes: DataFrame, grid: DataFrame, meta: DataFrame, free_cells: DataFrame, zero_zero: DataFrame,
                 plan_size: tuple[int, int], scale: float, keypoints: DataFrame | None = None, pano: DataFrame | None = None,
                 rotations: DataFrame | None = None, pano_meta: DataFrame | None = None,
-                pano_size: tuple[int, int] | None = None, rounds: int = 12) -> tuple[DataFrame, DataFrame]:
+                pano_size: tuple[int, int] | None = None, patience: int = graph.PATIENCE) -> tuple[DataFrame, DataFrame]:
     """Candidate graph and its solution: ``(edges, solution)``. Runs jobs."""
     geo = cut(geometric_edges(nodes, grid, meta, scale), "geometric")
     if keypoints is None:
@@ -93,4 +93,4 @@ def label_scans(nodes: DataFrame, grid: DataFrame, meta: DataFrame, free_cells:
         pe = panorama_edges(nodes, geo.select("a", "b"), keypoints, pano, rotations, pano_meta, scale, *pano_size)
     high = graph.higher_order(nodes.join(zero_zero, ["scan_id", "rot"]), free_cells, *plan_size, scale)
     edges = cut(combine_edges(geo, pe, high, nodes), "edges")
-    return edges, solve(nodes, edges, scale, rounds)
+    return edges, solve(nodes, edges, scale, patience)

@@ -94,6 +94,24 @@ def clean_plan(grey: DataFrame) -> DataFrame:
     return grids.drop_small_components(labelled, ["scan_id"]).drop("comp")
 
 
+def plan_front(grey: DataFrame, rows: int, cols: int) -> tuple[DataFrame, int, int]:
+    """Confidence cells of plan images, cleaned and centred in a larger sheet, and the sheet's size.
+
+    ``grey`` is ``(scan_id, row, col, grey)`` with one image per ``scan_id``. Runs jobs.
+    """
+    padded, rows, cols = grids.pad_cells(clean_plan(grey), rows, cols)
+    return grids.grey_to_cells(padded), rows, cols
+
+
+def place_on_image(grey: DataFrame, sizes: tuple[int, int], *scans, **options) -> DataFrame:
+    """``place_scans`` on one plan image ``(row, col, grey)``; positions count from the corner of the larger sheet.
+
+    Door responses among the options belong to that sheet too. Runs jobs.
+    """
+    plan, rows, cols = plan_front(grey.withColumn("scan_id", F.lit(0)), *sizes)
+    return place_scans(cut(plan.drop("scan_id"), "plan"), (rows, cols), *scans, **options)
+
+
 def door_symbols(symbol: DataFrame, rows: int, cols: int) -> DataFrame:
     """Eight templates of a door symbol: four quarter turns, each also mirrored.
 

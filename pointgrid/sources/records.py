@@ -36,6 +36,14 @@ def load_placements(spark: SparkSession, path: str, cap: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
 
 
+def load_true_placements(spark: SparkSession, path: str, zero_zero: DataFrame) -> DataFrame:
+    """``scan_id, x, y, rot`` of every placement on file, moved back from the scanner's pixel to the template's corner."""
+    df = spark.read.option("sep", " ").option("header", True).schema(
+        "Score double, x int, y int, rotation int, scan_id int").csv(path)
+    return df.withColumnRenamed("rotation", "rot").join(zero_zero, ["scan_id", "rot"]).select(
+        "scan_id", (F.col("x") - F.col("zx")).alias("x"), (F.col("y") - F.col("zy")).alias("y"), "rot")
+
+
 def _text4(m: Column) -> Column:
     rows = [F.concat_ws(" ", *[m[4 * i + j].cast("string") for j in range(4)]) for i in range(4)]
     return F.concat_ws("\n", *rows)

@@ -22,7 +22,7 @@ class Called(Exception):
 @pytest.mark.parametrize("key", sorted(CALLS))
 def test_defaults(spark, sf_dir, monkeypatch, key):
     def spy(*args, **named):
-        raise Called(sorted(set(named) & {"rounds", "levels", "out_levels"}))
+        raise Called(sorted(set(named) & {"rounds", "patience", "levels", "out_levels"}))
 
     kept = spark.createDataFrame([(0, "point")], "scan_id long, kind string")
     meta = spark.createDataFrame([(0, 0)], "scan_id long, rot int")

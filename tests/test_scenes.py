@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pointgrid.functions import geometry as G
 from pointgrid.operators import doors, graph, grids, neighbors, placement, stats, voxels
 from pointgrid.plans import labelling, merging, placing
+from pointgrid.sources import records
 from pointgrid import stages
 from pointgrid.stages import ranked
 
@@ -245,6 +246,53 @@ def test_shifted_scan_is_placed_where_it_was_cut(spark):
     assert (got["rot"], got["y"] - first[0], got["x"] - first[1]) == (0, y0, x0)
 
 
+def test_plan_image_is_cleaned_and_padded_before_placing(spark):
+    """Specks go, the sheet grows by a tenth, and the scan is found at its place on the larger sheet."""
+    rng = np.random.default_rng(4)
+    plan = np.zeros((64, 64))
+    plan[[0, -1], :] = plan[:, [0, -1]] = plan[20, :40] = plan[:31, 27] = plan[41, 10:] = plan[41:, 50] = plan[20:42, 13] = 1.0
+    free = [(r, c) for r in range(64) for c in range(64) if not plan[max(r - 1, 0):r + 2, max(c - 1, 0):c + 2].any()]
+    specks = {free[i] for i in rng.choice(len(free), 25, replace=False)}
+    grey = [(int(r), int(c), 0) for r, c in zip(*np.nonzero(plan))] + [(r, c, 60) for r, c in specks] + [(r, c, 255) for r, c in free if (r, c) not in specks]
+    img = spark.createDataFrame(grey, "row int, col int, grey int")
+    front, rows, cols = placing.plan_front(img.withColumn("scan_id", F.lit(0)), 64, 64)
+    assert (rows, cols) == (70, 70)
+    assert {(r["row"], r["col"]) for r in front.collect()} == {(r + 3, c + 3) for r, c in zip(*np.nonzero(plan))}
+    y0, x0, n = 14, 8, 30
+    crop = plan[y0:y0 + n, x0:x0 + n]
+    scans = [(5, k, int(r), int(c), 1.0) for k in range(4) for r, c in zip(*np.nonzero(np.rot90(crop, k)))]
+    masks = [(5, k, r, c, 1.0) for k in range(4) for r in range(n) for c in range(n)]
+    make = lambda rows: spark.createDataFrame(rows, "scan_id int, rot int, row int, col int, value double")
+    got = placing.place_on_image(img, (64, 64), make(scans), make(masks), (n, n), levels=1, erosion=False).orderBy("score").first()
+    first = np.nonzero(crop.any(1))[0][0], np.nonzero(crop.any(0))[0][0]
+    assert (got["rot"], got["y"] - first[0], got["x"] - first[1]) == (0, y0 + 3, x0 + 3)
+
+
+def test_true_placements_count_from_the_template(spark, tmp_path):
+    rows = [(s, r, x, 9 - x, x / 10) for s in range(2) for r in range(2) for x in range(5)]
+    place = spark.createDataFrame(rows, "scan_id int, rot int, x int, y int, score double")
+    zero = spark.createDataFrame([(s, r, 7 * s + 1, 5 * r + 2) for s in range(2) for r in range(2)], "scan_id int, rot int, zx int, zy int")
+    records.save_placements(place, zero, str(tmp_path / "p"), 500)
+    got = records.load_true_placements(spark, str(tmp_path / "p"), zero)
+    assert sorted(tuple(r) for r in got.select("scan_id", "rot", "x", "y").collect()) == sorted(r[:4] for r in rows)
+
+
+@pytest.mark.parametrize("chunk", [3, 4096])
+def test_running_mean_folds_as_deep_as_ids_ask(spark, monkeypatch, chunk):
+    monkeypatch.setattr(voxels, "FOLD_CHUNK", chunk)
+    d = [1.0 + (i * 37 % 11) / 10 for i in range(82)]
+    pts = spark.createDataFrame([(i % 2, i, d[i], 0.0, 0.0) for i in range(82)], "scan_id int, idx long, x double, y double, z double")
+    want = []
+    for s in (0, 1):
+        v = d[s]
+        for x in d[s + 2::2]:
+            v = (v + x) / 2
+        want.append(v)
+    got = voxels.voxel_running_mean(pts, 0.1).orderBy("scan_id").collect()
+    assert [r["depth"] for r in got] == pytest.approx(want, abs=1e-12)
+    assert voxels.voxel_running_mean(pts.where("false"), 0.1).count() == 0
+
+
 def test_local_minima_against_brute_force(spark):
     rng = np.random.default_rng(2)
     pts = [(0, int(r), int(x), int(y), float(s)) for r, x, y, s in zip(rng.integers(0, 2, 400), rng.integers(-20, 40, 400), rng.integers(-20, 40, 400), rng.integers(0, 60, 400) / 60)]
@@ -270,7 +318,7 @@ def test_labels_reach_the_best_value_on_small_graphs(spark, seed):
         return total
 
     best = max(value(p) for p in itertools.product(*[[s * 2, s * 2 + 1, None] for s in range(3)]))
-    got = {r["scan_id"]: r["node_id"] for r in graph.label_graph(n_df, e_df, rounds=10).collect()}
+    got = {r["scan_id"]: r["node_id"] for r in graph.label_graph(n_df, e_df).collect()}
     assert value([got[s] for s in range(3)]) == pytest.approx(best)
 
 
@@ -297,7 +345,7 @@ def test_sparse_graphs_reach_the_best_value(spark, seed):
         return total
 
     best = max(value(p) for p in itertools.product(*[[s * 2, s * 2 + 1, None] for s in range(4)]))
-    got = {r["scan_id"]: r["node_id"] for r in graph.label_graph(n_df, e_df, rounds=10).collect()}
+    got = {r["scan_id"]: r["node_id"] for r in graph.label_graph(n_df, e_df).collect()}
     assert value([got[s] for s in range(4)]) == pytest.approx(best)
 
 
