@@ -7,9 +7,11 @@ directions are sums of two scores, and the directions that exceed a vector's cap
 its best codewords of both halves. The cap of a vector is set by its own scores: it holds ``caps``
 directions. Vectors that share a filter meet and are verified in double precision.
 
-At cosine 0.93 in 64 dimensions two vectors share none of 40 filters about once in ten thousand
-pairs, at 0.98 next to never; a pair that shares none is not found. The number of codewords
-follows the number of vectors, so the lists stay short.
+The number of codewords follows the number of vectors, so the lists stay short, and narrower lists
+need more of them per vector: 40 up to 100,000 vectors and 25 more for each factor of ten beyond
+(``caps_for``). At cosine 0.93 in 64 dimensions two vectors then share no filter at most about four times in
+ten thousand pairs (measured with the codes of 1e4 to 1e8 vectors), at 0.98 next to never; a pair
+that shares none is not found.
 
 Defined results: vectors link only if their labels are equal and not null and they have the same
 number of components. A vector that is null, empty or zero, or holds a null or non-finite component,
@@ -21,7 +23,7 @@ unless it has no other. Columns other than vec_id, label and embedding are ignor
 from __future__ import annotations
 
 from functools import lru_cache
-from math import ceil, sqrt
+from math import ceil, log10, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,16 @@ CAPS = 40
 SEED = 17
 
 
+def codewords(n: int) -> int:
+    """Codewords of either half for n vectors: some 4 n directions."""
+    return max(16, ceil(2 * sqrt(n)))
+
+
+def caps_for(n: int) -> int:
+    """Filters per vector, so that pairs at the threshold keep sharing one as the lists get narrower."""
+    return CAPS + max(0, ceil(25 * log10(max(n, 1) / 1e5)))
+
+
 @lru_cache(8)
 def code(dims: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rotation to an even number of dimensions, and the unit codewords of both halves."""
@@ -53,7 +65,7 @@ def decoded(x: np.ndarray, words: int, caps: int = CAPS) -> np.ndarray:
     y = x @ rotation
     half = y.shape[1] // 2
     best = min(caps, words)
-    out = np.empty((len(x), min(caps, best * best)), np.int32)
+    out = np.empty((len(x), min(caps, best * best)), np.int64)
     for i in range(0, len(x), 512):
         a, b = y[i : i + 512, :half] @ one.T, y[i : i + 512, half:] @ two.T
         # The best sums use only the best codewords of either half.
@@ -72,14 +84,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
-def _filters(words: int, caps: int):
+def _filters(words: int, caps: int, kind: type = np.int64):
     def run(batches):
         for b in batches:
             sizes = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
             for size in np.unique(sizes):
                 part = b.take(pa.array(np.flatnonzero(sizes == size)))
                 found = decoded(_matrix(part.column(1)), words, caps)
-                lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32), pa.array(found.ravel()))
+                lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32), pa.array(found.ravel(), pa.from_numpy_dtype(kind)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["node", "caps"])
 
     return run
@@ -125,8 +137,8 @@ def _links(u: np.ndarray, v: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(n.astype(np.int64))], ["u", "v", "n"])
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, caps: int = CAPS) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row."""
+def near_duplicates(vectors: DataFrame, least: float = 0.93, caps: int | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row. ``caps`` filters per vector, by default ``caps_for``."""
     sound = (
         F.col("label").isNotNull()
         & F.exists("embedding", lambda x: x != 0)
@@ -142,8 +154,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, caps: int = CAPS) -
         .agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id")),
         "vectors",
     )
-    words = max(16, ceil(2 * sqrt(nodes.count())))
-    listed = cut(nodes.select("node", "embedding").mapInArrow(_filters(words, caps), "node long, caps array<int>"), "caps")
+    n = nodes.count()
+    words = codewords(n)
+    # Numbers of directions outgrow 32 bits beyond half a thousand million vectors.
+    kind, sql = (np.int32, "int") if words * words < 2**31 else (np.int64, "long")
+    found_caps = _filters(words, caps_for(n) if caps is None else caps, kind)
+    listed = cut(nodes.select("node", "embedding").mapInArrow(found_caps, f"node long, caps array<{sql}>"), "caps")
     # Vectors meet by numbers first; only those in a list with others are sent with their components.
     members = nodes.join(listed, "node").select("label", "node", "embedding", "copies", "caps", F.explode("caps").alias("cap"))
     members = members.withColumn("_size", F.size("embedding"))

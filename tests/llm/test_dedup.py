@@ -238,18 +238,29 @@ def test_hot_vectors_are_split(spark, monkeypatch):
     assert sorted(tuple(r) for r in cap_filters.near_duplicates(df).collect()) == vectors_brute([(*r, i) for i, r in enumerate(rows)])
 
 
-def test_cap_recall():
-    """Pairs at the threshold share a filter nearly always."""
+@pytest.mark.parametrize("n", [10**4, 10**6, 10**7, 10**8])
+def test_cap_recall(n):
+    """Pairs at the threshold share a filter nearly always, with the code of any number of vectors."""
     rng = np.random.default_rng(2)
     unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
     x = unit(rng.standard_normal((2000, 64)))
     z = rng.standard_normal((2000, 64))
     z = unit(z - (z * x).sum(1, keepdims=True) * x)
-    a, b = (cap_filters.decoded(v, 300) for v in (x, 0.93 * x + np.sqrt(1 - 0.93**2) * z))
+    a, b = (cap_filters.decoded(v, cap_filters.codewords(n), cap_filters.caps_for(n)) for v in (x, 0.93 * x + np.sqrt(1 - 0.93**2) * z))
     missed = sum(not set(p) & set(q) for p, q in zip(a.tolist(), b.tolist(), strict=True))
     assert missed <= 4
 
 
+def test_vectors_without_or_with_repeated_ids(spark):
+    """A null vec_id names no component that has another; rows that repeat a vec_id are vectors of their own."""
+    one, other = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    rows = [(None, 1, one), (4, 1, one), (4, 1, one), (7, 1, [1.0, 0.01, 0.0, 0.0]), (None, 1, other), (4, 2, other)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    got = sorted((tuple(r) for r in cap_filters.near_duplicates(df).collect()), key=str)
+    want = [(None, 3, 4, False), (4, 3, 4, True), (4, 3, 4, True), (7, 3, 4, False), (None, 0, None, True), (4, 0, 4, True)]
+    assert got == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("flush", [1, 500_000])
 def test_tasks_of_short_texts(spark, hard_rows, monkeypatch, flush):
     """A task that holds only texts shorter than a window sends nothing and loses no row."""
