@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from ..functions import geometry as G
 from ..functions.weights import placement_score
-from ..stages import cut, measured, spread
+from ..stages import cut, grown, measured, spread
 
 # Fixed values of the candidate search.
 SEARCH_REACH = 2                                        # inner square: 5 x 5
@@ -114,13 +114,18 @@ def nearby_response(response: DataFrame, reach: int = 2) -> DataFrame:
 def door_agreement(cands: DataFrame, doors: DataFrame, response: DataFrame) -> DataFrame:
     """Door span pixels a candidate leaves unexplained, and how many there are.
 
-    Candidates of scans without doors get 0 of 1.
+    Candidates of scans without doors get 0 of 1. Runs jobs.
     """
-    px = door_pixels(doors).join(cands.select(*KEY, "x", "y"), KEY)
+    # Offsets are whole, so points that round to one pixel do so under every candidate and become one row with a
+    # weight. A point within rounding error of a half keeps its place: its side depends on the sign of the sum.
+    half = lambda c: F.abs(F.col(c) - F.floor(c) - 0.5) < 1e-6
+    whole = lambda c: F.when(half(c), F.col(c)).otherwise(F.floor(F.col(c) + 0.5).cast("double")).alias(c)
+    spots = measured(door_pixels(doors).select(*KEY, whole("px"), whole("py")).groupBy(*KEY, "px", "py").agg(F.count("*").alias("n")))
+    px = grown(spots).join(cands.select(*KEY, "x", "y"), KEY)
     away = lambda c: (F.signum(c) * F.floor(F.abs(c) + 0.5)).cast("int")
-    px = px.select(*KEY, "x", "y", away(F.col("py") + F.col("y")).alias("row"), away(F.col("px") + F.col("x")).alias("col"))
-    got = px.join(nearby_response(response), ["row", "col"]).groupBy(*KEY, "x", "y").agg(
-        (F.sum("hit") / 2.0).alias("_got"))
+    px = px.select(*KEY, "x", "y", away(F.col("py") + F.col("y")).alias("row"), away(F.col("px") + F.col("x")).alias("col"), "n")
+    got = px.join(measured(nearby_response(response)), ["row", "col"]).groupBy(*KEY, "x", "y").agg(
+        (F.sum(F.col("hit") * F.col("n")) / 2.0).alias("_got"))
     total = doors.groupBy(*KEY).agg(F.sum(F.ceil("w")).cast("double").alias("_total"))
     zero = F.lit(0.0)
     return cands.join(total, KEY, "left").join(got, KEY + ["x", "y"], "left").select(
