@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.colour import saturate
+from ..stages import grown, measured
 
 # Fixed values of the blur.
 KERNEL_BASE, KERNEL_GROWTH = 13, 6.0
@@ -43,18 +44,20 @@ def redact(image: DataFrame, rects: DataFrame, rows: int, cols: int, channels: l
     ``image`` is ``(scan_id, row, col, channels)``; ``rects`` is ``(rect_id, scan_id, x, y,
     width, height)`` as fractions. The Gaussian and its varying kernel are separable, so
     a row pass and a column pass replace the two-dimensional window. Later rectangles
-    overwrite earlier ones; the blur always reads the original image.
+    overwrite earlier ones; the blur always reads the original image, so of rectangles on the same
+    pixels only the last is blurred. Runs a job.
     """
     x, y, w, h = G.rect_pixels(*[F.col(c) for c in ("x", "y", "width", "height")], cols, rows)
     px = rects.select("rect_id", "scan_id", x.alias("x0"), y.alias("y0"), w.alias("w"), h.alias("h"))
+    px = measured(px.groupBy("scan_id", "x0", "y0", "w", "h").agg(F.max("rect_id").alias("rect_id")))
     across = _taps(px.select("rect_id", "scan_id", "x0", "w"), "x0", "w", "col", "src_col", "wx", cols)
     down = _taps(px.select("rect_id", "scan_id", "y0", "h"), "y0", "h", "row", "src_row", "wy", rows)
     needed = down.select("rect_id", "scan_id", "src_row").distinct()
-    src = needed.join(image.select("scan_id", F.col("row").alias("src_row"), F.col("col").alias("src_col"), *channels),
+    src = grown(needed).join(image.select("scan_id", F.col("row").alias("src_row"), F.col("col").alias("src_col"), *channels),
                       ["scan_id", "src_row"])
-    part = src.join(across.select("rect_id", "scan_id", "col", "src_col", "wx"), ["rect_id", "scan_id", "src_col"]).groupBy(
+    part = src.join(grown(across.select("rect_id", "scan_id", "col", "src_col", "wx")), ["rect_id", "scan_id", "src_col"]).groupBy(
         "rect_id", "scan_id", "src_row", "col").agg(*[F.sum(F.col("wx") * F.col(c)).alias(c) for c in channels], F.sum("wx").alias("wx"))
-    full = part.join(down.select("rect_id", "scan_id", "row", "src_row", "wy"), ["rect_id", "scan_id", "src_row"]).groupBy(
+    full = part.join(grown(down.select("rect_id", "scan_id", "row", "src_row", "wy")), ["rect_id", "scan_id", "src_row"]).groupBy(
         "rect_id", "scan_id", "row", "col").agg(
         *[(F.sum(F.col("wy") * F.col(c)) / F.sum(F.col("wy") * F.col("wx"))).alias(c) for c in channels])
     last = F.max_by(F.struct(*channels), "rect_id").alias("v")

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from pointgrid.operators import placement
+from pointgrid.operators import placement, redact
 
 
 def sent_whole(df) -> list[str]:
@@ -38,3 +38,16 @@ def test_doors_at_one_place_are_one_row(spark):
         assert (r["door_uxp"], r["door_count"]) == (800 - got / 2.0, 800.0)
     spots = [j for j in re.findall(r"FileScan parquet \[[^\]]*\bn#", df._jdf.queryExecution().sparkPlan().toString())]
     assert spots, "door points are not counted before they meet the candidates"
+
+def test_only_the_last_of_equal_rectangles_is_blurred(spark):
+    image = spark.range(10000).select(F.lit(1).alias("scan_id"), F.floor(F.col("id") / 100).cast("int").alias("row"), (F.col("id") % 100).cast("int").alias("col"),
+                                    (F.col("id") % 7).cast("double").alias("r"), (F.col("id") % 5).cast("double").alias("g"), F.lit(1.0).alias("b"))
+    odd = F.col("id") % 2 == 1
+    of = lambda a, b: F.when(odd, F.lit(b)).otherwise(F.lit(a))
+    rects = spark.range(60).select((F.col("id") + 100).alias("rect_id"), F.lit(1).alias("scan_id"), of(0.1, 0.2).alias("x"), F.lit(0.2).alias("y"),
+                                   of(0.2, 0.3).alias("width"), of(0.2, 0.1).alias("height"))
+    blur = lambda some: redact.redact(image, some, 100, 100, ["r", "g", "b"])
+    once, often = blur(rects.where("rect_id >= 158")), blur(rects)
+    assert sent_whole(often) == []
+    plain = lambda df: sorted((*r[:3], *[round(v, 9) for v in r[3:]]) for r in df.collect())
+    assert plain(once) == plain(often)
