@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..stages import cut, measured, spread
+from ..stages import cut, grown, measured, spread
 
 # Fixed values of the door search.
 VPM = 50.0
@@ -62,7 +62,7 @@ def depth_at(probes: DataFrame, voxels: DataFrame, keys: list[str], depth_reach:
     table = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(i).alias("i"), F.lit(j).alias("j")) for o, i, j in moves])
     p = p.withColumn("_m", F.explode(table))
     at = [_away(F.col(f"p{a}") + F.col("_m.i") * F.col(f"d{a}") + F.col("_m.j") * F.col(f"a{a}")).alias(f"v{a}") for a in "xyz"]
-    hit = p.select("scan_id", *[k for k in keys if k != "scan_id"], F.col("_m.o").alias("o"), *at).join(
+    hit = grown(p.select("scan_id", *[k for k in keys if k != "scan_id"], F.col("_m.o").alias("o"), *at)).join(
         voxels, ["scan_id", "vx", "vy", "vz"])
     best = hit.groupBy(*keys).agg(F.min_by("depth", "o").alias("found"))
     return probes.select(*keys).join(best, keys, "left").select(*keys, F.coalesce("found", F.lit(NOTHING)).alias("found"))
@@ -93,7 +93,7 @@ def line_depths(probes: DataFrame, voxels: DataFrame, axes: DataFrame, keys: lis
     ends = p.groupBy(*line).agg(F.min("_t").alias("_a"), F.max("_t").alias("_z"), *[F.first(c).alias(c) for c in ("second", "third", "_ua", "floor")])
     spots = ends.withColumn("_t", F.explode(F.sequence(F.col("_a") - reach, F.col("_z") + reach)))
     spots = spots.select(*line, "_t", *[_away(at(i)).alias(f"v{a}") for i, a in enumerate("xyz")])
-    hits = spots.join(voxels, ["scan_id", "vx", "vy", "vz"]).select(*line, "_t", F.struct("_t", "depth").alias("_hit"))
+    hits = grown(spots).join(voxels, ["scan_id", "vx", "vy", "vz"]).select(*line, "_t", F.struct("_t", "depth").alias("_hit"))
     # The side away from the scanner, as a step along the line.
     a = [fixed[i] * F.col("_sign") for i in range(3)]
     flip = F.when(a[1] * at(0) - a[0] * at(1) + a[2] * at(2) < 0, -1.0).otherwise(1.0)
@@ -130,7 +130,7 @@ def _gap(walk: DataFrame, voxels: DataFrame, keys: list[str], one: tuple[Column,
                  voxels, keys + ["side"], *reach, vpm)
     gap = d.groupBy(*keys).agg(F.abs(F.max(F.when(F.col("side") == 0, F.col("found"))) - F.max(
         F.when(F.col("side") == 1, F.col("found")))).alias("gap"))
-    return walk.join(gap, keys)
+    return grown(walk).join(gap, keys)
 
 
 def find_doors(voxels: DataFrame, axes: DataFrame, limits: DataFrame, vpm: float = VPM) -> DataFrame:
@@ -174,15 +174,15 @@ def find_doors(voxels: DataFrame, axes: DataFrame, limits: DataFrame, vpm: float
         each = lambda i: F.max(F.when(F.col("side") == i, F.col("found")))
         gap = d.groupBy(*keys).agg(F.abs(each(0) - each(1)).alias("gap"))
         other = _gap(walk.where("NOT lines"), voxels, keys, (side, k), (-side, k), (0.8, 0.0), vpm)
-        return walk.join(gap, keys).unionByName(other)
+        return grown(walk).join(gap, keys).unionByName(other)
 
     for steps in (1, 4):
         early = F.least(F.lit(start + steps), F.ceil("h_min").cast("int") - 1)
         ended = climb(base, start + 1, early).where(~(F.col("gap") > GRADIENT)).select(*CANDIDATE).distinct()
-        base = cut(base.join(ended, CANDIDATE, "left_anti"), "doors")
+        base = cut(base.join(grown(ended), CANDIDATE, "left_anti"), "doors")
     walk = climb(base, start + 1, F.floor("h_max").cast("int") + 11)
     height = first_failing(walk, CANDIDATE, "k", ~(F.col("gap") > GRADIENT) | ~(F.col("k") <= F.col("h_max") + 10), "h")
-    found = base.join(height, CANDIDATE).where((F.col("h") >= F.col("h_min")) & (F.col("h") <= F.col("h_max")))
+    found = grown(base).join(height, CANDIDATE).where((F.col("h") >= F.col("h_min")) & (F.col("h") <= F.col("h_max")))
     found = cut(found, "doors")
 
     # Width at heights h/2, h/2 + h/20, ... 18h/20.

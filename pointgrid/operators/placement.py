@@ -70,7 +70,7 @@ def correlate(cands: DataFrame, tmpl: DataFrame, plan: DataFrame, by: list[str]
     salt = F.pmod(F.xxhash64("x", "y"), F.lit(SALTS)).cast("int")
     t = tmpl.select(*by, "row", "col", "s", "e").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     c = spread(cands.select(*by, "x", "y").withColumn("_salt", salt), *by, "_salt")
-    shifted = c.join(t, by + ["_salt"]).select(
+    shifted = grown(c).join(t, by + ["_salt"]).select(
         *by, "x", "y", (F.col("row") + F.col("y")).alias("row"), (F.col("col") + F.col("x")).alias("col"), "s", "e")
     hit = shifted.join(plan, ["row", "col"])
     sums = hit.groupBy(*by, "x", "y").agg(
@@ -156,7 +156,7 @@ def local_minima(df: DataFrame, by: list[str], half: Column) -> DataFrame:
     probe = top.withColumn("i", F.explode(near)).withColumn("j", F.explode(near)).select(
         *by, F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("s").alias("s1"), F.col("h").alias("h1"),
         (F.col("bx") + F.col("i")).alias("bx"), (F.col("by_") + F.col("j")).alias("by_"))
-    beaten = probe.join(cells, by + ["bx", "by_"]).where(
+    beaten = grown(probe).join(cells, by + ["bx", "by_"]).where(
         (F.abs(F.col("x") - F.col("x1")) <= F.col("h1")) & (F.abs(F.col("y") - F.col("y1")) <= F.col("h1"))
         & (F.col("s") < F.col("s1"))).select(*by, F.col("x1").alias("x"), F.col("y1").alias("y")).distinct()
     keep = top.join(beaten, by + ["x", "y"], "left_anti").select(*by, "x", "y", F.col("s").alias("score"))

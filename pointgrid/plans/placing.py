@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import filters, grids, placement
 from ..operators.graph import top_per
-from ..stages import cut
+from ..stages import cut, grown
 
 # Fixed values of the placement run.
 LEVELS = 5
@@ -58,7 +58,7 @@ def search(sheets: DataFrame, sizes: tuple[int, int], templates: DataFrame, exte
         ext = extents.where(F.col("level") == level).select(
             *KEY, (F.col("max_row") - F.col("min_row") + 1).alias("rows"), (F.col("max_col") - F.col("min_col") + 1).alias("cols"))
         tmpl = templates.where(F.col("level") == level).drop("level")
-        fits = placement.initial_candidates(ext, rows, cols) if cands is None else cands.join(ext, KEY).where(
+        fits = placement.initial_candidates(ext, rows, cols) if cands is None else grown(cands).join(ext, KEY).where(
             (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < cols - F.col("cols")) & (F.col("y") < rows - F.col("rows"))
         ).select(*KEY, "x", "y")
         sums = placement.correlate(fits, tmpl, sheets.where(F.col("level") == level).drop("level"))
