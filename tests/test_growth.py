@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from pointgrid.operators import placement, redact
+from pointgrid.operators import doors, grids, placement, redact
 
 
 def sent_whole(df) -> list[str]:
@@ -51,3 +51,20 @@ def test_only_the_last_of_equal_rectangles_is_blurred(spark):
     assert sent_whole(often) == []
     plain = lambda df: sorted((*r[:3], *[round(v, 9) for v in r[3:]]) for r in df.collect())
     assert plain(once) == plain(often)
+
+
+def test_component_links_are_not_broadcast(spark):
+    cells = spark.range(2500).select(F.lit(1).alias("scan_id"), F.floor(F.col("id") / 50).cast("int").alias("row"), (F.col("id") % 50).cast("int").alias("col")).where("col % 7 > 0")
+    df = grids.components(cells, ["scan_id"])
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
+    assert df.groupBy("comp").count().agg(F.count("*"), F.max("count"), F.min("count")).first()[:] == (7, 300, 300)
+
+
+def test_probe_steps_are_not_broadcast(spark):
+    voxels = spark.range(20000).select(F.lit(1).alias("scan_id"), (F.col("id") % 100).cast("int").alias("vx"), F.floor(F.col("id") / 100).cast("int").alias("vy"),
+                                       F.lit(0).alias("vz"), F.col("id").cast("double").alias("depth"))
+    o, z = F.lit(1.0), F.lit(0.0)
+    probes = spark.range(50).select("id", F.lit(1).alias("scan_id"), F.col("id").cast("double").alias("px"), (F.col("id") + 10.0).alias("py"), z.alias("pz"), o.alias("ax"), z.alias("ay"), z.alias("az"))
+    df = doors.depth_at(probes, voxels, ["id", "scan_id"], 0.8, 0.0)
+    assert sent_whole(df) == []
+    assert all(r["found"] == (r["id"] + 10) * 100 + r["id"] for r in df.collect())
