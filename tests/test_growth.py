@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from pointgrid.operators import doors, grids, placement, redact
+from pointgrid.operators import doors, grids, neighbors, placement, redact
 
 
 def sent_whole(df) -> list[str]:
@@ -68,3 +68,34 @@ def test_probe_steps_are_not_broadcast(spark):
     df = doors.depth_at(probes, voxels, ["id", "scan_id"], 0.8, 0.0)
     assert sent_whole(df) == []
     assert all(r["found"] == (r["id"] + 10) * 100 + r["id"] for r in df.collect())
+
+
+def _cloud(spark, n, edge):
+    """Points on a lattice, several to a place."""
+    c = lambda m, d: (F.pmod(F.xxhash64("id", F.lit(d)), F.lit(m)) * edge).alias("xyz"[d])
+    return spark.range(n).select((F.col("id") % 2).cast("int").alias("scan_id"), F.col("id").alias("idx"), c(9, 0), c(9, 1), c(9, 2), (F.col("id") % 5 / 10.0).alias("i"))
+
+
+def test_pairs_of_a_row_are_made_in_one_task(spark):
+    p = _cloud(spark, 3000, 0.05)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pairs = neighbors.bucket_join(p.drop("i"), neighbors.positions(p, ["scan_id"]), ["x", "y", "z"], 0.1, ["scan_id"])
+        plan = pairs.groupBy("scan_id", *neighbors.CUBE, "idx").agg(F.min("qx"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert "Exchange" not in plan[:plan.index("SortMergeJoin")]
+
+
+def test_nearest_in_dense_and_crowded_cubes(spark, monkeypatch):
+    """Cubes smaller than the limit and parts of a crowded cube give what all pairs give."""
+    p = _cloud(spark, 1500, 0.05)
+    q = p.where("idx < 200").withColumn("x", F.col("x") + F.when(F.col("idx") % 9 == 0, 0.55).otherwise(0.013))
+    pairs = q.crossJoin(p.select(F.col("scan_id").alias("s"), *[F.col(c).alias(f"q{c}") for c in "xyzi"])).where("s = scan_id")
+    d2 = neighbors.distance2(["x", "y", "z"]) + F.pow(F.col("i") - F.col("qi"), 2) * 0.25
+    want = pairs.withColumn("d2", d2).where("d2 <= 0.16").groupBy("idx").agg(F.min(F.struct("d2", "qx", "qy", "qz")).alias("p")).select("idx", "p.*")
+    plain = lambda df: sorted([r["idx"], *[round(r[c], 9) for c in ("d2", "qx", "qy", "qz")]] for r in df.collect())
+    monkeypatch.setattr(neighbors, "PART", 16)
+    assert neighbors.dense_levels(p, ["x", "y", "z"], 0.4, ["scan_id"]) > 0
+    assert plain(neighbors.nearest(q, p, 0.4, ["scan_id"], ["i"], [0.5])) == plain(want)
