@@ -115,4 +115,4 @@ def _scores(v):
     need = m.select(F.col("src").alias("scan_id"), F.col("src_level").alias("level")).unionByName(
         m.select(F.col("dst").alias("scan_id"), F.col("dst_level").alias("level")))
     p = pano_of(v)
-    return panorama.ncc(panorama.patches(m, panorama.level_cells(p, need, 100, 100), 100, 100), ["pair", "kp_id"])
+    return panorama.match_scores(m, cut(panorama.level_cells(p, need, 100, 100), "levels"), 100, 100)

@@ -47,8 +47,8 @@ def panorama_edges(nodes: DataFrame, pairs: DataFrame, keypoints: DataFrame, pan
         m = cut(panorama.reproject(keypoints, pano, way, rows, cols), "matches")
         need = m.select(F.col("src").alias("scan_id"), F.col("src_level").alias("level")).unionByName(
             m.select(F.col("dst").alias("scan_id"), F.col("dst_level").alias("level")))
-        img = panorama.level_cells(pano, need, rows, cols)
-        return panorama.ncc(panorama.patches(m, img, rows, cols), ["pair", "kp_id"]).where(
+        img = cut(panorama.level_cells(pano, need, rows, cols), "levels")
+        return panorama.match_scores(m, img, rows, cols).where(
             F.col("n_cells") == panorama.PATCH * panorama.PATCH)
 
     scored = panorama.drop_white(one_way("a", "b")).unionByName(one_way("b", "a"))

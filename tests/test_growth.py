@@ -4,7 +4,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from pointgrid.operators import doors, grids, neighbors, placement, redact
+from pointgrid.checks import panorama as checks
+from pointgrid.operators import doors, graph, grids, neighbors, panorama, placement, redact
+from pointgrid.views import Views
 
 
 def sent_whole(df) -> list[str]:
@@ -99,3 +101,31 @@ def test_nearest_in_dense_and_crowded_cubes(spark, monkeypatch):
     monkeypatch.setattr(neighbors, "PART", 16)
     assert neighbors.dense_levels(p, ["x", "y", "z"], 0.4, ["scan_id"]) > 0
     assert plain(neighbors.nearest(q, p, 0.4, ["scan_id"], ["i"], [0.5])) == plain(want)
+
+
+def test_groups_in_conflict_need_no_pairs(spark):
+    """As the walk over all pairs: ties, unlocked rows, missing agreements and rows without a group."""
+    import random
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice([None, 0.1, 0.2, 0.3, 0.3]), rnd.random() < 0.8, rnd.choice([None, *range(12)])) for i in range(150)]
+    n = spark.createDataFrame(rows, "node_id long, agreement double, locked boolean, g int")
+    side = lambda s: n.select(F.col("node_id").alias(s), "g")
+    pairs = side("a").join(side("b"), "g").where("a <> b").select("a", "b")
+    assert sorted(graph.exclude_within(n, ["g"]).collect()) == sorted(graph.exclude_near(n, pairs).collect())
+
+
+def test_mirrored_edges_are_made_once(spark):
+    e = spark.range(4).select(F.col("id").alias("a"), (F.col("id") + 9).alias("b"), F.lit(1).alias("scan_a"), F.lit(2).alias("scan_b"))
+    df = graph.mirror(e, {"scan_a": "scan_b", "scan_b": "scan_a"})
+    assert "Union" not in df._jdf.queryExecution().sparkPlan().toString()
+    assert sorted(r[:] for r in df.collect()) == sorted([(i, i + 9, 1, 2) for i in range(4)] + [(i + 9, i, 2, 1) for i in range(4)])
+
+
+def test_equal_patches_are_scored_once(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    m = checks.matches_of(v)
+    need = m.select(F.col("src").alias("scan_id"), F.col("src_level").alias("level")).unionByName(m.select(F.col("dst").alias("scan_id"), F.col("dst_level").alias("level")))
+    img = panorama.level_cells(checks.pano_of(v), need, 100, 100)
+    plain = lambda df: {(r["pair"], r["kp_id"]): (r["n_cells"], r["ncc"] and round(r["ncc"], 9)) for r in df.collect()}
+    each = panorama.ncc(panorama.patches(m, img, 100, 100), ["pair", "kp_id"])
+    assert plain(panorama.match_scores(m, img, 100, 100)) == plain(each)
