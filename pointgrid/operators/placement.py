@@ -159,8 +159,8 @@ def local_minima(df: DataFrame, by: list[str], half: Column) -> DataFrame:
     beaten = grown(probe).join(cells, by + ["bx", "by_"]).where(
         (F.abs(F.col("x") - F.col("x1")) <= F.col("h1")) & (F.abs(F.col("y") - F.col("y1")) <= F.col("h1"))
         & (F.col("s") < F.col("s1"))).select(*by, F.col("x1").alias("x"), F.col("y1").alias("y")).distinct()
-    keep = top.join(beaten, by + ["x", "y"], "left_anti").select(*by, "x", "y", F.col("s").alias("score"))
-    return df.join(keep, by + ["x", "y", "score"], "left_semi")
+    keep = top.join(grown(beaten), by + ["x", "y"], "left_anti").select(*by, "x", "y", F.col("s").alias("score"))
+    return df.join(grown(keep), by + ["x", "y", "score"], "left_semi")
 
 
 def adaptive_minima(scores: DataFrame, group: list[str], by: list[str], half: Column, bias: float,

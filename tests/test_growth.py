@@ -129,3 +129,15 @@ def test_equal_patches_are_scored_once(spark, sf_dir):
     plain = lambda df: {(r["pair"], r["kp_id"]): (r["n_cells"], r["ncc"] and round(r["ncc"], 9)) for r in df.collect()}
     each = panorama.ncc(panorama.patches(m, img, 100, 100), ["pair", "kp_id"])
     assert plain(panorama.match_scores(m, img, 100, 100)) == plain(each)
+
+
+def test_minima_are_not_broadcast(spark):
+    """The minima of a level grow with the scans: only tables with a row per scan are sent whole."""
+    at = spark.range(1600)
+    scores = at.select((F.col("id") % 4).cast("int").alias("scan_id"), F.lit(0).alias("rot"), (F.col("id") / 4 % 20).cast("int").alias("x"),
+                       F.floor(F.col("id") / 80).cast("int").alias("y"), F.pmod(F.xxhash64("id"), F.lit(97)).cast("double").alias("score"))
+    df = placement.local_minima(scores, ["scan_id", "rot"], F.lit(2))
+    assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
+    rows = scores.collect()
+    want = [r[:] for r in rows if not any(o["scan_id"] == r["scan_id"] and abs(o["x"] - r["x"]) <= 2 and abs(o["y"] - r["y"]) <= 2 and o["score"] < r["score"] for o in rows)]
+    assert sorted(r[:] for r in df.collect()) == sorted(want)
