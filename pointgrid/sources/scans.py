@@ -21,6 +21,8 @@ SHORT_NAME = r"([A-Za-z]{3})(\d{3})\.[a-z]{3}"
 
 POINT_SCHEMA = "file string, idx long, x float, y float, z float, intensity float, r short, g short, b short"
 RANGE_RECORDS = 1_000_000
+#: Points of small ranges that are decoded together.
+FRAME_RECORDS = 50_000
 
 
 def list_files(spark: SparkSession, path: str, predicate: Column | None = None) -> DataFrame:
@@ -121,23 +123,37 @@ def _decode(frames):
     from pyarrow import fs
 
     record = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("intensity", "<f4"), ("r", "u1"), ("g", "u1"), ("b", "u1")])
+
+    def points(file, firsts, raw):
+        data = np.frombuffer(b"".join(raw), dtype=record)
+        out = pd.DataFrame({n: data[n] for n in record.names})
+        out[["r", "g", "b"]] = out[["r", "g", "b"]].astype("int16")
+        out.insert(0, "idx", np.concatenate([np.arange(first, first + len(part) // record.itemsize, dtype="int64") for first, part in zip(firsts, raw)]))
+        out.insert(0, "file", file)
+        return out
+
+    # Ranges come sorted, so a file is opened once and its small ranges go on in one frame.
     for frame in frames:
-        for row in frame.itertuples(index=False):
-            place, name = fs.FileSystem.from_uri(row.file)
+        for file, ranges in frame.groupby("file", sort=False):
+            place, name = fs.FileSystem.from_uri(file)
+            firsts, raw, held = [], [], 0
             with place.open_input_file(name) as f:
-                f.seek(BINARY_HEADER + int(row.start) * BINARY_RECORD)
-                data = np.frombuffer(f.read(int(row.count) * BINARY_RECORD), dtype=record)
-            out = pd.DataFrame({n: data[n] for n in record.names})
-            out[["r", "g", "b"]] = out[["r", "g", "b"]].astype("int16")
-            out.insert(0, "idx", np.arange(len(out), dtype="int64") + int(row.start))
-            out.insert(0, "file", row.file)
-            yield out
+                for start, count in zip(ranges["start"], ranges["count"]):
+                    f.seek(BINARY_HEADER + int(start) * BINARY_RECORD)
+                    firsts.append(int(start))
+                    raw.append(f.read(int(count) * BINARY_RECORD))
+                    held += int(count)
+                    if held >= FRAME_RECORDS:
+                        yield points(file, firsts, raw)
+                        firsts, raw, held = [], [], 0
+            if raw:
+                yield points(file, firsts, raw)
 
 
 def binary_point_source(spark: SparkSession, path: str, records: int = RANGE_RECORDS) -> DataFrame:
     """Points of binary scans, decoded range by range from shared storage."""
     ranges = binary_ranges(spark, path, records)
-    return ranges.repartition("file", "start").mapInPandas(_decode, POINT_SCHEMA)
+    return ranges.repartition("file", "start").sortWithinPartitions("file", "start").mapInPandas(_decode, POINT_SCHEMA)
 
 
 def write_binary(points: DataFrame, path: str) -> None:

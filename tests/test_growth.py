@@ -141,3 +141,24 @@ def test_minima_are_not_broadcast(spark):
     rows = scores.collect()
     want = [r[:] for r in rows if not any(o["scan_id"] == r["scan_id"] and abs(o["x"] - r["x"]) <= 2 and abs(o["y"] - r["y"]) <= 2 and o["score"] < r["score"] for o in rows)]
     assert sorted(r[:] for r in df.collect()) == sorted(want)
+
+
+def test_small_binary_ranges_share_a_frame(tmp_path):
+    """Ranges of few points are read from a file opened once and go on together, in any number and order."""
+    import numpy as np
+    import pandas as pd
+
+    from pointgrid.sources import scans
+    record = np.dtype([("p", "<f4", 4), ("c", "u1", 3)])
+    files = []
+    for k in range(2):
+        rec = np.zeros(1050, record)
+        rec["p"], rec["c"] = np.arange(4200).reshape(-1, 4) + k, 255 - k
+        (tmp_path / f"{k}.bin").write_bytes(np.array([1050, 1], "<i4").tobytes() + rec.tobytes())
+        files.append((tmp_path / f"{k}.bin").as_uri())
+    ranges = pd.DataFrame([(f, s, min(10, 1050 - s)) for f in files for s in range(0, 1050, 10)][::-1], columns=["file", "start", "count"])
+    frames = list(scans._decode(iter([ranges])))
+    assert len(frames) == 2
+    got = pd.concat(frames).sort_values(["file", "idx"])
+    assert got["idx"].tolist() == [*range(1050)] * 2 and got["file"].tolist() == [f for f in files for _ in range(1050)]
+    assert got["x"].tolist() == [4.0 * i + k for k in range(2) for i in range(1050)] and set(zip(got["file"], got["r"])) == {(files[0], 255), (files[1], 254)}
