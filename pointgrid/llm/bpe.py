@@ -29,6 +29,8 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: Words and fragments whose ids a worker remembers; beyond it the older half of the words, and the
 #: fragments not used for longest, are forgotten.
 REMEMBERED, FRAGMENTS = 120_000, 300_000
+#: The same for a worker that other stages have used and that keeps their memory.
+FEW_REMEMBERED, FEW_FRAGMENTS = 20_000, 50_000
 
 IDS = "doc_id long, ids array<int>"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -44,7 +46,7 @@ def byte_letters() -> list[str]:
 class ForcedBoundaryBpe:
     """Encoder and decoder for one vocabulary file with merges."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED, fragments: int = FRAGMENTS):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         of = {c: b for b, c in enumerate(byte_letters())}
@@ -68,7 +70,7 @@ class ForcedBoundaryBpe:
         self.is_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.known: dict[str, tuple[int, ...]] = {}
         self.known_before: dict[str, tuple[int, ...]] = {}
-        self.fragment = lru_cache(FRAGMENTS)(self._fragment)
+        self.remembered, self.fragment = remembered, lru_cache(fragments)(self._fragment)
         self.listed = [b"%d" % i for i in range(len(self.tokens))]
 
     def fragments(self, raw: bytes) -> Iterator[bytes]:
@@ -127,7 +129,7 @@ class ForcedBoundaryBpe:
         if ids is None:
             ids = tuple(i for w in self.word.findall(unit) for f in self.fragments(w.encode()) for i in self.fragment(f))
         if len(unit) <= 64:
-            if len(self.known) >= REMEMBERED:
+            if len(self.known) >= self.remembered:
                 self.known_before, self.known = self.known, {}
             self.known[unit] = ids
         return ids
@@ -158,8 +160,8 @@ class ForcedBoundaryBpe:
 
 
 @lru_cache(2)
-def tokenizer(path: str) -> ForcedBoundaryBpe:
-    return ForcedBoundaryBpe(path)
+def tokenizer(path: str, remembered: int = REMEMBERED, fragments: int = FRAGMENTS) -> ForcedBoundaryBpe:
+    return ForcedBoundaryBpe(path, remembered, fragments)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -216,7 +218,7 @@ def encoded_corpus(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, source, n_tokens, ids of every row, and whether the ids decode to the text."""
 
     def run(batches):
-        bpe = tokenizer(path)
+        bpe = tokenizer(path, FEW_REMEMBERED, FEW_FRAGMENTS)
         for b in batches:
             for chunk in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
                 texts = [t or "" for t in chunk.column(2).to_pylist()]

@@ -39,6 +39,17 @@ def test_bpe_forced_cuts():
     assert all(list(ours.fragments(t)) == [t] for t in ours.ids)
 
 
+def test_bpe_memory_is_bounded_as_asked():
+    """A worker that remembers few words gives the same ids and holds no more than asked."""
+    few, many = bpe.ForcedBoundaryBpe(vocabulary(), 50, 80), bpe.ForcedBoundaryBpe(vocabulary())
+    rng = random.Random(5)
+    for _ in range(200):
+        text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(30))
+        assert few.encode(text) == many.encode(text)
+        assert max(len(few.known), len(few.known_before), few.fragment.cache_info().currsize) <= 80
+    assert bpe.FEW_REMEMBERED < bpe.REMEMBERED and bpe.FEW_FRAGMENTS < bpe.FRAGMENTS
+
+
 def test_bpe_hard(hard, hard_rows, empty, library):
     path = vocabulary()
     rows = bpe.encode(hard, path).collect()
