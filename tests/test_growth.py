@@ -162,3 +162,53 @@ def test_small_binary_ranges_share_a_frame(tmp_path):
     got = pd.concat(frames).sort_values(["file", "idx"])
     assert got["idx"].tolist() == [*range(1050)] * 2 and got["file"].tolist() == [f for f in files for _ in range(1050)]
     assert got["x"].tolist() == [4.0 * i + k for k in range(2) for i in range(1050)] and set(zip(got["file"], got["r"])) == {(files[0], 255), (files[1], 254)}
+
+
+def test_nearest_and_the_way_to_the_next(spark):
+    """As all pairs: the nearest target, a distance that no other falls below, and rows without one."""
+    p = _cloud(spark, 400, 0.05).withColumnRenamed("i", "f")
+    q = p.where("idx < 120").withColumn("x", F.col("x") + F.when(F.col("idx") % 9 == 0, 0.7).otherwise(0.013))
+    rhs = p.select("scan_id", "x", "y", "z", F.col("f").alias("qf")).distinct()
+    got = {r["idx"]: r for r in neighbors.with_nearest(q, rhs, 0.2, 2, ["scan_id"], ["f"], [0.5]).collect()}
+    assert len(got) == 120
+    targets = [r[:] for r in rhs.collect()]
+    for r in q.collect():
+        d = sorted(((r["x"] - x) ** 2 + (r["y"] - y) ** 2 + (r["z"] - z) ** 2 + 0.25 * (r["f"] - f) ** 2, x, y, z) for s, x, y, z, f in targets if s == r["scan_id"])
+        g = got[r["idx"]]
+        if d[0][0] ** 0.5 > 0.2:
+            assert g["qx"] is None and g["low"] == 0.2
+        else:
+            assert (g["qx"], g["qy"], g["qz"]) in [t[1:] for t in d if abs(t[0] - d[0][0]) < 1e-12] and g["low"] <= d[1][0] ** 0.5 + 1e-12
+
+
+def _closest_points(q, p, rounds, limit):
+    """Two fits a round over all pairs, as ``refine`` is defined while its limit stays."""
+    import numpy as np
+
+    m = np.eye(4)
+    for _ in range(2 * rounds):
+        at = q @ m[:3, :3].T + m[:3, 3]
+        d = ((at[:, None] - p[None]) ** 2).sum(2)
+        near, ok = d.argmin(1), d.min(1) <= limit * limit
+        a, b = at[ok], p[near[ok]]
+        u, _, vt = np.linalg.svd((a - a.mean(0)).T @ (b - b.mean(0)))
+        r = vt.T @ np.diag([1, 1, np.sign(np.linalg.det(vt.T @ u.T))]) @ u.T
+        step = np.eye(4)
+        step[:3, :3], step[:3, 3] = r, b.mean(0) - r @ a.mean(0)
+        m = step @ m
+    return m
+
+
+def test_only_rows_that_may_match_another_target_are_searched_again(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    p = rng.random((200, 3)) * [2, 2, 1]
+    q = np.r_[p + [0.03, -0.02, 0.015], rng.random((20, 3)) + 5]
+    make = lambda m: spark.createDataFrame([(0, i, *map(float, r)) for i, r in enumerate(m)], "scan_id int, idx long, x double, y double, z double")
+    asked, search = [], neighbors.bucket_join
+    monkeypatch.setattr(neighbors, "bucket_join", lambda left, *rest: asked.append(left.count()) or search(left, *rest))
+    out = neighbors.refine(make(q), make(p), ["scan_id"], rounds=3).first()
+    assert np.abs(np.array(out["m"]).reshape(4, 4) - _closest_points(q, p, 3, 0.1)).max() < 1e-9
+    first = asked.index(max(asked)) + 1
+    assert len(asked) < 12 and sum(asked[first:]) < len(q), asked
