@@ -1,6 +1,8 @@
 """Steps whose rows grow faster than the planner sees, or than the input: plans and results."""
 
+import math
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -212,3 +214,31 @@ def test_only_rows_that_may_match_another_target_are_searched_again(spark, monke
     assert np.abs(np.array(out["m"]).reshape(4, 4) - _closest_points(q, p, 3, 0.1)).max() < 1e-9
     first = asked.index(max(asked)) + 1
     assert len(asked) < 12 and sum(asked[first:]) < len(q), asked
+
+
+def _met(monkeypatch, module) -> list:
+    """Row counts of the joins whose rows ``module`` makes pairs of."""
+    rows, make = [], module.each_pair
+    monkeypatch.setattr(module, "each_pair", lambda pairs, *names: rows.append(pairs.count()) or make(pairs, *names))
+    return rows
+
+
+def test_nodes_with_one_box_are_compared_as_a_bunch(spark, monkeypatch):
+    """All columns as by brute force, also with rows that come twice and null scans; a tile's block, a bunch and a tile can be small."""
+    box = lambda i: (i % 3 * 30, i % 3 * 30 + 40, 0, 70, -5, 5) if i % 4 == 0 else (20, 10 if i % 9 == 0 else 29, 0, 9, 0, 9)
+    rows = [(i, None if i % 50 == 49 else i // 4 % 3, i % 2, box(i)) for i in range(300)]
+    rows += rows[40:60]
+    nodes = spark.createDataFrame(rows, "node_id long, scan_id int, rot int, box struct<x1: int, x2: int, y1: int, y2: int, z1: int, z2: int>")
+    want = Counter()
+    for a, sa, ra, u in rows:
+        for b, sb, rb, v in rows:
+            cross = tuple((min if k % 2 else max)(u[k], v[k]) for k in range(6))
+            size = [cross[k + 1] - cross[k] + 1 for k in (0, 2, 4)]
+            if a < b and None not in (sa, sb) and sa != sb and min(size) > 0 and all(w[k] <= w[k + 1] for w in (u, v) for k in (0, 2, 4)):
+                rel = [tuple(cross[k] - w[k // 2 * 2] for k in range(6)) for w in (u, v)]
+                want[a, b, sa, ra, sb, rb, *rel, math.prod(size)] += 1
+    plain = lambda df: Counter((*r[:6], *map(tuple, r[6:8]), r[8]) for r in df.collect())
+    met = _met(monkeypatch, graph)
+    assert plain(graph.overlap_pairs(nodes)) == want
+    assert met[0] * 20 < want.total(), "nodes with one box are compared one by one"
+    assert plain(graph.overlap_pairs(nodes, tile=16, block=8)) == want
