@@ -242,3 +242,11 @@ def test_nodes_with_one_box_are_compared_as_a_bunch(spark, monkeypatch):
     assert plain(graph.overlap_pairs(nodes)) == want
     assert met[0] * 20 < want.total(), "nodes with one box are compared one by one"
     assert plain(graph.overlap_pairs(nodes, tile=16, block=8)) == want
+
+
+def test_mirroring_builds_no_rows_besides_the_edges(spark):
+    e = spark.range(4).select(F.col("id").cast("int").alias("a"), (F.col("id") + 9).cast("int").alias("b"), F.when(F.col("id") > 0, F.col("id") / 2).alias("w"))
+    df = graph.mirror(e)
+    assert "struct(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.dtypes == e.dtypes
+    assert Counter(map(tuple, df.collect())) == Counter(t for i in range(4) for w in [i / 2 if i else None] for t in ((i, i + 9, w), (i + 9, i, w)))
