@@ -3,9 +3,12 @@
 import math
 import re
 from collections import Counter
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
+from pointgrid.checks import graph as graph_checks
 from pointgrid.checks import panorama as checks
 from pointgrid.operators import doors, graph, grids, neighbors, panorama, placement, redact
 from pointgrid.views import Views
@@ -250,3 +253,30 @@ def test_mirroring_builds_no_rows_besides_the_edges(spark):
     assert "struct(" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert df.dtypes == e.dtypes
     assert Counter(map(tuple, df.collect())) == Counter(t for i in range(4) for w in [i / 2 if i else None] for t in ((i, i + 9, w), (i + 9, i, w)))
+
+
+def test_edges_are_normalised_without_comparing_equal_boxes_one_by_one(spark, monkeypatch):
+    """The query on candidates with few boxes, against sums over every edge."""
+    ids = [4200 * j + i for j in range(60) for i in range(4)]
+    rows = [(c, c // 4200 % 3, c % 4, c * 13 % 200, c * 29 % 150) for c in ids]
+    place = spark.createDataFrame(rows, "cand_id long, scan_id int, rot int, x int, y int")
+    boxes = {r["node_id"]: r["box"] for r in graph_checks.boxes_of(SimpleNamespace(place=place)).collect()}
+    scan, edges = {r[0]: r[1] for r in rows}, {}
+    for a in ids:
+        for b in ids:
+            u, v = boxes[a], boxes[b]
+            if a < b and scan[a] != scan[b] and all(u[k] <= v[k + 1] and v[k] <= u[k + 1] for k in (0, 2, 4)):
+                w = (a * 7 + b * 3) % 101 / 100.0 - 0.2
+                edges[a, b] = edges[b, a] = (0.0 if abs(w) < 0.05 else w, (a + b) % 3 * 0.3)
+    stats = {}
+    for s in range(3):
+        for k in range(2):
+            x = [e[k] for (a, _), e in edges.items() if scan[a] == s and e[k] != 0]
+            m = sum(x) / len(x)
+            stats[s, k] = m, math.sqrt(sum((v - m) ** 2 for v in x) / (len(x) - 1))
+    norm = lambda v, m, s, low, high: max(-1.0, min(2.5, (v - max(low, min(high, m))) / s)) if v else v
+    want = {k: (norm(w, *stats[scan[k[0]], 0], 0.1, 0.6), norm(p, *stats[scan[k[0]], 1], 0.3, 0.7)) for k, (w, p) in edges.items()}
+    met = _met(monkeypatch, graph)
+    got = graph_checks._d24(SimpleNamespace(place=place)).collect()
+    assert max(met) * 20 < len(edges), "nodes with one box are compared one by one"
+    assert len(got) == len(want) and {(r["a"], r["b"]): (r["w"], r["pano_w"]) for r in got} == {k: pytest.approx(v, abs=1e-4) for k, v in want.items()}
