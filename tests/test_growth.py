@@ -280,3 +280,16 @@ def test_edges_are_normalised_without_comparing_equal_boxes_one_by_one(spark, mo
     got = graph_checks._d24(SimpleNamespace(place=place)).collect()
     assert max(met) * 20 < len(edges), "nodes with one box are compared one by one"
     assert len(got) == len(want) and {(r["a"], r["b"]): (r["w"], r["pano_w"]) for r in got} == {k: pytest.approx(v, abs=1e-4) for k, v in want.items()}
+
+
+def test_nodes_at_one_position_are_compared_as_a_bunch(spark, monkeypatch):
+    """Pairs as by brute force, also with rows that come twice and nulls; a block may hold fewer nodes than a position."""
+    rows = [(i, None if i == 7 else i % 3 * 1.2, -0.0 if i % 2 else 0.0) for i in range(240)] + [(None, 0.0, 0.0), (0, 0.0, 0.0), (500, 0.9, 1.1)]
+    nodes = spark.createDataFrame(rows, "node_id long, x double, y double")
+    far = lambda u, v: math.dist(u[1:], v[1:])
+    real = [r for r in rows if None not in r]
+    want = Counter((u[0], v[0]) for u in real for v in real if u[0] != v[0] and far(u, v) < 1.5)
+    met = _met(monkeypatch, neighbors)
+    assert Counter(map(tuple, neighbors.near_pairs(nodes, 1.0).collect())) == want
+    assert met[0] * 20 < want.total(), "nodes at one position are compared one by one"
+    assert Counter(map(tuple, neighbors.near_pairs(nodes, 1.0, block=8).collect())) == want
